@@ -60,6 +60,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .signature_tree import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_to_weights
 
@@ -74,7 +80,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op9_mixing, op10_token_binary)
+    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op8_ngram_jaccard, op9_mixing, op10_token_binary)
     return {f.__name__: f for f in own}
 
 
