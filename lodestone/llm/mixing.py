@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Each document with its source's size and target, and ``upto``: the words of its source up to and with it."""
-    sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("shuffled"))
+    sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("shuffled"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
     sized = sized.withColumn("stretch", F.coalesce(F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int"), F.lit(0)))
     sized = staged(sized, "mix-sizes")
     # Two steps of sums: a hot source is spread over its stretches first.
@@ -57,11 +57,11 @@ def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     ahead = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     by_stretch = by_stretch.select(F.col("source").alias("s"), F.col("stretch").alias("k"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
     wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
-    inside = W.partitionBy("source", "stretch").orderBy(F.asc_nulls_first("shuffled"), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "stretch").orderBy(F.asc_nulls_first("shuffled"), "size", "body").rowsBetween(W.unboundedPreceding, W.currentRow)
     q = sized.withColumn("here", F.sum("size").over(inside))
     q = q.join(by_stretch, q["source"].eqNullSafe(by_stretch["s"]) & (q["stretch"] == by_stretch["k"]), "left").drop("s", "k")
     q = q.join(wanted, q["source"].eqNullSafe(wanted["s"]), "left").drop("s")
-    return q.select("source", "id", "size", "shuffled", "source_size", "target", (F.col("before") + F.col("here")).alias("upto"))
+    return q.select("source", "id", "body", "size", "shuffled", "source_size", "target", (F.col("before") + F.col("here")).alias("upto"))
 
 
 def _times(most: int) -> Column:
@@ -94,6 +94,20 @@ def _cut(q: DataFrame, budget: int, most: int):
     return (last[0]["time"], last[0]["shuffled"] or "", last[0]["size"], last[0]["k"]) if last else (low, "", 0, -1)
 
 
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, most: int) -> DataFrame:
+    """The queues with ``times``: how often the mix takes the document."""
+    q = staged(_queued(docs, id_col, text_col, source_col), "mix-queues")
+    budget = q.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).collect()[0]["n"]
+    cut = _cut(q, budget, most) if budget else None
+    times = _times(most)
+    if cut is None:
+        return q.withColumn("times", F.size(F.filter(times, lambda t: t < 2)))
+    time, shuffled, size, k = cut
+    place = F.struct(F.lit(time).alias("a"), F.lit(shuffled).alias("b"), F.lit(size).cast("long").alias("c"), F.lit(k).alias("d"))
+    own = lambda t, i: F.struct(t.alias("a"), F.coalesce("shuffled", F.lit("")).alias("b"), F.col("size").alias("c"), i.alias("d"))
+    return q.withColumn("times", F.size(F.filter(times, lambda t, i: own(t, i) <= place)))
+
+
 def mix_to_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_REPEATS) -> DataFrame:
     """One row per document: id_col, source, size, source_size, target, taken.
 
@@ -105,14 +119,19 @@ def mix_to_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words, are taken 0 times. An empty table gives no rows. Other columns are
     not read.
     """
-    q = staged(_queued(docs, id_col, text_col, source_col), "mix-queues")
-    budget = q.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).collect()[0]["n"]
-    cut = _cut(q, budget, most) if budget else None
-    times = _times(most)
-    if cut is None:
-        takes = F.size(F.filter(times, lambda t: t < 2))
-    else:
-        time, shuffled, size, k = cut
-        place = F.struct(F.lit(time).alias("a"), F.lit(shuffled).alias("b"), F.lit(size).cast("long").alias("c"), F.lit(k).alias("d"))
-        takes = F.size(F.filter(times, lambda t, i: F.struct(t.alias("a"), F.coalesce("shuffled", F.lit("")).alias("b"), F.col("size").alias("c"), i.alias("d")) <= place))
-    return q.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * takes).alias("taken"))
+    q = _planned(docs, id_col, text_col, source_col, most)
+    return q.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_REPEATS) -> DataFrame:
+    """The mix itself: every column of ``docs``, each document as often as mix_to_weights takes it.
+
+    Rows alike in id and text stand for each other. Other columns are carried
+    whatever their names.
+    """
+    q = _planned(docs, id_col, text_col, source_col, most).groupBy("id", "body").agg(F.sum("times").alias("times")).where("times > 0")
+    q = q.select(F.struct("id", "body").alias("mix_key"), "times")
+    one = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), one.alias("mix_key")).dropDuplicates(["mix_key"])
+    taken = rows.join(q, "mix_key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    return taken.select("row.*")

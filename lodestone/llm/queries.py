@@ -60,6 +60,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .signature_tree import link_documents
 
@@ -80,7 +86,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op8_ngram_jaccard, op9_mixing, op10_token_binary)
+    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_ngram_jaccard, op9_mixing, op10_token_binary)
     return {f.__name__: f for f in own}
 
 

@@ -32,7 +32,7 @@ from .words import Words, mix, slices, span_hashes, text_bytes, windows
 
 U = np.uint64
 SHINGLE, SIMILAR = 4, 85  # words; per cent
-BINS, ROWS = 96, 3
+BINS, ROWS = 126, 3
 #: Share of agreeing least hashes below which two sets are not kept together.
 ALIKE = 0.5
 #: Classes in a tile of a hot key, and of a large family.
@@ -297,8 +297,37 @@ def _connected(texts: DataFrame, classes: DataFrame, width: int, similar: int) -
     return found.join(joined, found["root"] == joined["node"], "left").select("class", F.coalesce("to", "root").alias("root"))
 
 
-def link_documents(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id, class (binary), and the columns in ``carry``.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
+
+
+def _rooted(docs: DataFrame, width: int, similar: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all documents; class, doc, body (its first document) and root of all classes."""
+    texts = _texts(docs, id_col, text_col)
+    profiles = staged(_profiles(texts, width), "profiles")
+    classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "body", "signs", "keys")).alias("x")).select("class", "x.*")
+    classes = staged(classes, "classes")
+    roots = _connected(texts, classes, width, similar).withColumnRenamed("class", "c")
+    roots = classes.select("class", "doc", "body").join(roots, F.col("class") == F.col("c"), "left").select("class", "doc", "body", F.coalesce("root", "class").alias("root"))
+    return profiles, staged(roots, "roots")
+
+
+def one_of_each(docs: DataFrame, width: int, similar: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component: that of the least id; all columns, whatever their names.
+
+    Texts without words are no copies of each other and stay; a row repeated as
+    a whole stays once.
+    """
+    profiles, roots = _rooted(docs, width, similar, id_col, text_col)
+    first = roots.groupBy("root").agg(F.min(F.struct("doc", "body")).alias("key")).select("key")
+    first = first.unionByName(profiles.where("n = 0").select(F.struct("doc", "body").alias("key")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body")).alias("key"))
+    return rows.join(first, "key").dropDuplicates(["key"]).select("row.*")
+
+
+def link_documents(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id_col, n_shingles, component_id, class (binary).
 
     Words are lower-cased (A-Z); sets are of distinct ``width``-word shingles,
     or the whole of a shorter text; two documents are linked if the shared
@@ -308,20 +337,8 @@ def link_documents(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR
     a component has a null id only if all its ids are null. Equal rows are in
     one component; an empty table gives no rows. No other columns are read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    texts = docs.select(number.alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
-    profiles = staged(_profiles(texts, width), "profiles")
-    classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "body", "signs", "keys")).alias("x")).select("class", "x.*")
-    classes = staged(classes, "classes")
-    roots = _connected(texts, classes, width, similar).withColumnRenamed("class", "c")
-    roots = classes.select("class", "doc").join(roots, F.col("class") == F.col("c"), "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
-    roots = staged(roots, "roots")
+    profiles, roots = _rooted(docs, width, similar, id_col, text_col)
     least = roots.groupBy("root").agg(F.min("doc").alias("least"))
     roots = roots.join(least, "root").select("class", "least")
-    source = docs.select(F.col(id_col).alias("id"), number.alias("doc"), F.xxhash64(text).alias("body"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else None
-    rows = profiles.select("doc", "body", "class", "n").join(roots, "class", "left")
-    if carry:
-        rows = source.join(rows.dropDuplicates(["doc", "body"]), ["doc", "body"])
-    out = [F.nullif("doc", F.lit(_LAST)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("least", "doc"), F.lit(_LAST)).alias("component_id"), "class"]
-    return rows.select(*out, *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
+    rows = profiles.select("doc", "class", "n").join(roots, "class", "left")
+    return rows.select(F.nullif("doc", F.lit(_LAST)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("least", "doc"), F.lit(_LAST)).alias("component_id"), "class")
