@@ -1,8 +1,67 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: documents to packed sequences, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import mixing, outliers, packing, recompression, signature_tree
+from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.staging import staged
+
+#: Near duplicates in the pipeline: shingles of five words, shared by 80 per cent.
+SHINGLE, SIMILAR = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier test reject go."""
+    body = F.xxhash64(F.coalesce("text", F.lit(""))).alias("body")
+    verdicts = outliers.judge(docs.select("doc_id", "text", "lang", "source", body), carry=("lang", "source", "body"))
+    rejected = verdicts.where("NOT kept").select(F.struct(F.col("doc_id").alias("i"), F.col("c2").alias("l"), F.col("c3").alias("s"), F.col("c4").alias("b")).alias("key")).distinct()
+    key = F.struct(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("source").alias("s"), body.alias("b")).alias("key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key)
+    return rows.join(rejected, "key", "left_anti").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by their shingles, the one with the least id stays."""
+    return signature_tree.one_of_each(docs, SHINGLE, SIMILAR)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has are cut out; documents of which nothing is left go."""
+    kept = recompression.remove_repeats(docs, carry=("text", "lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
+    whole = F.col("n_removed") == 0
+    return kept.select("doc_id", F.when(whole, F.col("text")).otherwise(F.col("kept_text")).alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources to their target weights takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", source_mix),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
