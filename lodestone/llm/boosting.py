@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"id {kind}, label int, x array<double>").orderBy(F.xxhash64("id"), "id", "x").limit(sample).toArrow()
-    x = np.array(rows["x"].to_pylist(), np.float64).reshape(rows.num_rows, -1)
+    x = np.array(rows["x"].to_pylist(), np.float64) if rows.num_rows else np.zeros((0, 1))
     return fit(x, rows["label"].to_numpy().astype(np.float64))
 
 

@@ -140,6 +140,8 @@ class Pieces:
         return self._run(texts, True)
 
     def _run(self, texts: list[str], want_ids: bool):
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         segments, rows, follow = self._segments(texts)
         joined = "\0".join([*segments, ""])
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
