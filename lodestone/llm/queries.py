@@ -91,7 +91,33 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9}
+    return {"op6_substring_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_mixing": OP9}
+
+
+OP6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, UNNEST(range(1, len(ws) - 48)) AS s FROM w WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM places),
+least AS (SELECT h, MIN(doc_id) AS first_id FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, UNNEST(range(s, s + 50)) AS k FROM windows JOIN least USING (h) WHERE doc_id > first_id),
+words AS (SELECT doc_id, UNNEST(ws) AS word, UNNEST(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, COUNT(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s:s + 3], ' ') AS h FROM (SELECT doc_id, ws, UNNEST(range(1, greatest(len(ws) - 3, 1) + 1)) AS s FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS i FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, MIN(b) AS component_id FROM documents d JOIN reach ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
 
 
 OP9 = r"""
