@@ -124,20 +124,25 @@ def _book(key: str, symbols: np.ndarray, lengths: np.ndarray) -> Book:
     return _books[key]
 
 
-def _tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def _tokenised(texts: DataFrame, path: str, end_id: int) -> DataFrame:
+    """id, n, ids, start (the ids before the document in its part, that is, in its task), part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in text_slices(texts):
                 counts, flat = byte_level(path).ids([t or "" for t in texts[i:j]])
                 cuts = np.cumsum(counts)
+                ends = cuts + np.arange(1, len(cuts) + 1)
                 with_end = np.insert(flat, cuts, end_id).astype("<u4").view(np.uint8)
-                offsets = np.concatenate([[0], 4 * (cuts + np.arange(1, len(cuts) + 1))])
-                tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(counts + 1), tokens.cast(pa.binary())], ["id", "n", "ids"])
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int64)
+                tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(with_end)])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(counts + 1), tokens.cast(pa.binary()), pa.array(done + ends - counts - 1)], ["id", "n", "ids", "start"])
+                done += int(ends[-1])
 
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, n long, ids binary")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, n long, ids binary, start long").withColumn("part", F.spark_partition_id())
 
 
 def _totals(tokens: DataFrame, size: int) -> DataFrame:
@@ -165,10 +170,11 @@ def write_ids(docs: DataFrame, path: str, to: str | None = None, end_id: int = E
     spark = docs.sparkSession
     to = to or new_path(spark, "token-ids")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tokens = _tokenised(docs, path, end_id, id_col, text_col)
-    # Each part is a range of documents; which rows a part holds is fixed by the table.
-    tokens = tokens.repartitionByRange(ranges, F.asc_nulls_first("id"), F.xxhash64("ids")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("ids"))
-    tokens = staged(tokens.withColumn("part", F.spark_partition_id()), "ids")
+    # Each part is a range of documents in order; which rows a part holds is fixed by the table.
+    # Texts are put in order, not ids: choosing the ranges reads the rows once more.
+    order = [F.asc_nulls_first("id"), F.xxhash64("text")]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    tokens = staged(_tokenised(texts, path, end_id), "ids")
     totals = np.array([(r["token"], r["n"]) for r in _totals(tokens, 1 << 16).collect()], np.int64).reshape(-1, 2)  # a row for each id of the vocabulary
     totals = totals[np.argsort(totals[:, 0])]
     symbols, lengths = totals[:, 0], code_lengths(totals[:, 1])
@@ -180,31 +186,28 @@ def write_ids(docs: DataFrame, path: str, to: str | None = None, end_id: int = E
         held: list[tuple] = []
 
         def block():
-            part, ids, counts, data = held[0][0], [h[1] for h in held], [h[2] for h in held], b"".join(h[3] for h in held)
+            part, start = held[0][0], held[0][4]
+            ids, counts, data = [h[1] for h in held], [h[2] for h in held], b"".join(h[3] for h in held)
             bits, marks = book.encode(np.frombuffer(data, "<u4"))
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([held[0][4]], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([marks], pa.list_(pa.int64()))], ["part", "start", "doc_ids", "counts", "codes", "marks"])
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([marks], pa.list_(pa.int64()))], ["part", "start", "doc_ids", "counts", "codes", "marks"])
 
-        done, size, part, kind = 0, 0, None, pa.int64()
+        # A task may read any stretches of the parts: a block ends where the next row does not follow.
+        size, follows, kind = 0, None, pa.int64()
         for batch in batches:
             kind = batch.column(1).type
-            for p, i, n, ids in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
-                if held and (p != part or size + n > BLOCK):
+            for p, i, n, start, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                if held and ((p, start) != follows or size + n > BLOCK):
                     yield block()
                     size = 0
-                if p != part:
-                    part, done = p, 0
-                held.append((p, i, n, ids.as_buffer().to_pybytes(), done))
+                held.append((p, i, n, ids.as_buffer().to_pybytes(), start))
                 size += n
-                done += n
+                follows = (p, start + n)
         if held:
             yield block()
 
     doc_type = tokens.schema["id"].dataType.simpleString()
-    # One task for each part, and its rows in order.
-    ordered = tokens.select("part", "id", "n", "ids", F.xxhash64("ids").alias("h")).repartition(ranges, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "h").drop("h")
-    blocks = ordered.mapInArrow(run, f"part int, start long, doc_ids array<{doc_type}>, counts array<long>, codes binary, marks array<long>")
+    blocks = tokens.select("part", "id", "n", "start", "ids").mapInArrow(run, f"part int, start long, doc_ids array<{doc_type}>, counts array<long>, codes binary, marks array<long>")
     blocks.write.option("compression", "none").parquet(f"{to}/blocks")
     book = spark.createDataFrame([(int(s), int(n)) for s, n in zip(symbols, lengths, strict=True)], "token long, length int")
     book.coalesce(1).write.parquet(f"{to}/book")
