@@ -187,29 +187,31 @@ def covered_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc, body, start, n: ranges of n windows whose words also start in a document with a smaller id.
 
     Hot names and windows meet only in aggregations that are combined before
-    they are shuffled and in joins that Spark splits.
+    they are shuffled and in joins that Spark splits; it splits joins of plain
+    tables, so what was aggregated is written first.
     """
     rows = staged(_surroundings(texts, width), "surroundings")
-    shared = rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("name")
+    shared = staged(rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("name"), "names")
     rows = staged(rows.join(shared, "name"), "shared-names")
-    kinds = rows.groupBy("name", "around").agg(F.min("doc").alias("least"))
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("k"), F.lit(0).alias("z")).where("k > 1").select("name")
+    kinds = staged(rows.groupBy("name", "around").agg(F.min("doc").alias("least")), "kinds")
+    mixed = staged(kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "mixed")
     rows = rows.join(kinds, ["name", "around"])
     settled = rows.where("doc > least").select("doc", "body", "start", "n")
     tasks = rows.where("doc = least").join(mixed, "name").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("asked"))  # of one text
     tasks = texts.join(tasks, ["doc", "body"]).select("doc", "body", "text", "asked").dropDuplicates(["doc", "body"])
     hashed = staged(_window_hashes(tasks, width), "windows")
-    least = hashed.groupBy("a", "b").agg(F.min("doc").alias("least"))
+    least = staged(hashed.groupBy("a", "b").agg(F.min("doc").alias("least")), "least")
     found = hashed.join(least, ["a", "b"]).where("doc > least").select("doc", "body", "start", F.lit(1).alias("n"))
     return settled.unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id_col, n_words, n_removed, kept_text, and the columns in ``carry``.
+    """One row per document: id_col, n_words, n_removed, kept_text, whole_text, and the columns in ``carry``.
 
     A word is removed if a window of ``width`` words of its document covers it
     whose words also start in a document with a smaller id; windows are judged
-    on the input. kept_text: the other words joined by one space. Null texts
+    on the input. kept_text: the other words joined by one space; whole_text:
+    the text as it was (null: empty). Null texts
     have no words; null ids come before all others; documents of one id never
     take from each other; equal rows get equal results; an empty table gives no
     rows. No other columns are read.
@@ -253,9 +255,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
                 lens = np.diff(row_ends) - full
                 at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
                 text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(at), pa.py_buffer(out)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(w.counts().astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), text, *(c[i:j] for c in rest)], ["id", "n_words", "n_removed", "kept_text", *carried])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(w.counts().astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), text, batch.column(1)[i:j], *(c[i:j] for c in rest)], ["id", "n_words", "n_removed", "kept_text", "whole_text", *carried])
 
     columns = joined.select("id", "text", "ranges", *carried)
-    kinds = [f"id {columns.schema['id'].dataType.simpleString()}", "n_words long, n_removed long, kept_text string", *(f"{c} {columns.schema[c].dataType.simpleString()}" for c in carried)]
+    kinds = [f"id {columns.schema['id'].dataType.simpleString()}", "n_words long, n_removed long, kept_text string, whole_text string", *(f"{c} {columns.schema[c].dataType.simpleString()}" for c in carried)]
     out = columns.mapInArrow(run, ", ".join(kinds))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(F.col(k).alias(c) for k, c in zip(carried, carry, strict=True)))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", "whole_text", *(F.col(k).alias(c) for k, c in zip(carried, carry, strict=True)))
