@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut out; documents of which nothing is left go."""
-    kept = recompression.remove_repeats(docs, carry=("text", "lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
+    kept = recompression.remove_repeats(docs, carry=("lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
     whole = F.col("n_removed") == 0
-    return kept.select("doc_id", F.when(whole, F.col("text")).otherwise(F.col("kept_text")).alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+    return kept.select("doc_id", F.when(whole, F.col("whole_text")).otherwise(F.col("kept_text")).alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
