@@ -56,7 +56,8 @@ def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     by_stretch = sized.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     by_stretch = by_stretch.select(F.col("source").alias("s"), F.col("stretch").alias("k"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
-    wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
+    # Written, so that Spark knows its size, and can split a hot source where it is too large to broadcast.
+    wanted = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s"), "mix-targets")
     inside = W.partitionBy("source", "stretch").orderBy(F.asc_nulls_first("shuffled"), "size", "body").rowsBetween(W.unboundedPreceding, W.currentRow)
     q = sized.withColumn("here", F.sum("size").over(inside))
     q = q.join(by_stretch, q["source"].eqNullSafe(by_stretch["s"]) & (q["stretch"] == by_stretch["k"]), "left").drop("s", "k")

@@ -74,7 +74,7 @@ def _grouped(passing: DataFrame) -> DataFrame:
     rest = rest.withColumnRenamed("c0", "l2")
     own = own.join(rest, own["l"].eqNullSafe(rest["l2"]), "left")
     name = F.when(F.col("n") >= FEWEST, F.to_json(F.struct("l", "s"))).when(F.col("m") >= FEWEST, F.to_json(F.struct("l"))).otherwise(F.lit("rest"))
-    own = own.select("l", "s", F.concat(F.when(F.col("n") >= FEWEST, "2").otherwise("1"), name).alias("grp"))
+    own = staged(own.select("l", "s", F.concat(F.when(F.col("n") >= FEWEST, "2").otherwise("1"), name).alias("grp")), "groups")
     return passing.join(own, passing["c0"].eqNullSafe(own["l"]) & passing["c1"].eqNullSafe(own["s"])).drop("l", "s")
 
 
@@ -132,7 +132,8 @@ def _nearest(measured: DataFrame) -> DataFrame:
     steps = measured.groupBy("grp", "step").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     steps = steps.select("grp", "step", (before < F.sum("n").over(W.partitionBy("grp")) * SUPPORT).alias("near"))
-    edge = steps.where("near").groupBy("grp").agg(F.max("step").alias("edge"))
+    # Written, so that Spark knows its size, and can split a hot group where it is too large to broadcast.
+    edge = staged(steps.where("near").groupBy("grp").agg(F.max("step").alias("edge")), "edge")
     return measured.join(edge, "grp").where("step <= edge").drop("edge", "step")
 
 
