@@ -19,17 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars (Kiveris et al. 2014): each round hangs
     neighbours on the least one they know, until every node hangs on its root.
     Rounds grow with the logarithm of the longest path. A node with very many
-    edges meets them in a combined aggregation and in a join that Spark splits.
+    edges meets them in a combined aggregation and in a join that Spark splits
+    (it splits joins of plain tables, so the least nodes are written first).
     """
     # Smaller node first: parent, child.
     e = staged(edges.where("a <> b").select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("c")).distinct(), "edges")
     mark = _mark(e)
     while True:
         both = e.select(F.col("p").alias("u"), F.col("c").alias("v")).unionByName(e.select(F.col("c").alias("u"), F.col("p").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("p"), F.col("v").alias("c")).where("p <> c").distinct()
         large = staged(large, "edges")
-        least = large.groupBy("c").agg(F.min("p").alias("m"))
+        least = staged(large.groupBy("c").agg(F.min("p").alias("m")), "least")
         small = large.join(least, "c")
         small = small.select(F.col("m").alias("p"), F.col("c")).unionByName(small.select(F.col("m").alias("p"), F.col("p").alias("c"))).where("p <> c").distinct()
         e = staged(small, "edges")

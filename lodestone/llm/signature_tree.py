@@ -34,9 +34,11 @@ U = np.uint64
 SHINGLE, SIMILAR = 4, 85  # words; per cent
 BINS, ROWS = 126, 3
 #: Share of agreeing least hashes below which two sets are not kept together.
-ALIKE = 0.5
+ALIKE = 0.45
 #: Classes in a tile of a hot key, and of a large family.
 KEY_TILE, FAMILY_TILE = 512, 192
+#: One in so many keys is looked at first.
+EARLY = 5
 _ARITY = 4
 _LAST = (1 << 63) - 1
 
@@ -99,50 +101,100 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return same >= ALIKE * ((x > 0) | (y > 0)).sum(1)
 
 
-def _kept_together(blocks: DataFrame) -> DataFrame:
-    """key, i, j, tile, class, signs -> a, b: classes of a block that are connected by likeness, each with the first."""
+def _kept_together(blocks: DataFrame, across: bool) -> DataFrame:
+    """key, i, j, side, class, signs, first -> key, a, b: classes of a group that are connected by likeness.
+
+    ``across``: only classes of different sides are compared. Otherwise a row
+    without b tells that a is not connected to ``first``, if there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        key, a, b = [], [], []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["key", "a", "b"])
+            for x in (key, a, b):
+                x.clear()
+            return made
+
         for g in groups(batches, 3):
-            names = g.column(4).to_pylist()
+            own, names, first = g.column(0)[0].as_py(), g.column(4).to_pylist(), g.column(6)[0].as_py()
             signs = np.frombuffer(b"".join(g.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
-            tile = g.column(3).to_numpy()
-            across = g.column(1)[0].as_py() != g.column(2)[0].as_py()
+            side = g.column(3).to_numpy()
             left = np.arange(len(names))
             while len(left):
                 at, left = [int(left[0])], left[1:]
-                root = names[at[0]]
+                whole = list(at)
                 while at and len(left):
                     x = at.pop()
                     near = _alike(signs[x], signs[left])
                     if across:
-                        near &= tile[left] != tile[x]  # those of one tile meet in their own block
+                        near &= side[left] != side[x]
                     found, left = left[near], left[~near]
                     at += found.tolist()
-                    a += [root] * len(found)
-                    b += [names[f] for f in found]
+                    whole += found.tolist()
+                members = [names[k] for k in whole]
+                a += [members[0]] * (len(members) - 1)
+                b += members[1:]
+                if first is not None and first not in members:
+                    a += members
+                    b += [None] * len(members)
+            key += [own] * (len(a) - len(key))
             if len(a) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield out()
+        yield out()
+
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "class").mapInArrow(run, "key long, a binary, b binary")
+
 
-    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class").mapInArrow(run, "a binary, b binary")
+def _edges(rows: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: what is kept together, from key, class and, for each key that counts, its size and first class.
+
+    A hot key is cut in tiles, each with the key's first class, so one round
+    connects all that are like it; only what is still apart meets other tiles.
+    """
+    # Keys that hold the same classes say the same: one of them is enough.
+    keys = keys.groupBy("size", "x", "s").agg(F.min(F.struct("key", "first")).alias("k")).select("k.*", F.ceil(F.col("size") / KEY_TILE).cast("int").alias("tiles"))
+    keys = staged(keys, "keys")
+    rows = rows.join(keys, "key").withColumn("tile", F.pmod(F.xxhash64("class", F.lit(1)), F.col("tiles")).cast("int"))
+    rows = staged(rows.join(classes.select("class", "signs"), "class"), "blocks")
+    no = F.lit(0)
+    copies = rows.where("tiles > 1 AND class = first").withColumn("tile", F.explode(F.filter(F.sequence(no, F.col("tiles") - 1), lambda t: t != F.col("tile"))))
+    first = F.when(F.col("tiles") > 1, F.col("first")).alias("first")
+    found = staged(_kept_together(rows.unionByName(copies).select("key", F.col("tile").alias("i"), no.alias("j"), no.alias("side"), "class", "signs", first), False), "kept-together")
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    apart = staged(found.where("b IS NULL").select("key", F.col("a").alias("class")), "apart")
+    if not apart.isEmpty():
+        parts = staged(apart.groupBy("key").agg(F.ceil(F.count("*") / KEY_TILE).cast("int").alias("parts")), "parts")
+        hot = rows.join(parts, "key")
+        ours = hot.join(apart, ["key", "class"]).withColumn("j", F.explode(F.sequence(no, F.col("tiles") - 1))).withColumn("i", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int"))
+        theirs = hot.withColumn("i", F.explode(F.sequence(no, F.col("parts") - 1))).withColumn("j", F.col("tile"))
+        pairs = ours.withColumn("side", F.lit(1)).select("key", "i", "j", "side", "class", "signs").unionByName(theirs.withColumn("side", no).select("key", "i", "j", "side", "class", "signs"))
+        edges = edges.unionByName(_kept_together(pairs.withColumn("first", F.lit(None).cast("binary")), True).select("a", "b"))
+    return edges
+
+
+def _held(rows: DataFrame, *more) -> DataFrame:
+    """key, size, first, and x and s, a digest of its classes."""
+    h = F.xxhash64("class")
+    return rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.min("class").alias("first"), *more).where("size > 1")
 
 
 def _families(classes: DataFrame) -> DataFrame:
-    """class -> node, root for every class that is kept together with another."""
+    """node, root for every class that is kept together with another.
+
+    A few keys of each class come first. Of the others, those whose classes are
+    connected by then say nothing new and are left out, so that a large group
+    of near copies is not gone through under all its keys.
+    """
     rows = classes.select("class", F.explode("keys").alias("key"))
-    h = F.xxhash64("class")
-    keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s")).where("size > 1")
-    # Keys that hold the same classes say the same: one of them is enough.
-    keys = keys.groupBy("size", "x", "s").agg(F.min("key").alias("key")).select("key", "size")
-    tiles = F.ceil(F.col("size") / KEY_TILE).cast("int")
-    rows = rows.join(keys, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class", F.lit(1)), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "class")
-    blocks = rows.join(classes.select("class", "signs"), "class").select("key", "i", "j", "tile", "class", "signs")
-    return components(_kept_together(blocks))
+    early = F.pmod(F.col("key"), F.lit(EARLY)) == 0
+    some, others = rows.where(early), rows.where(~early)
+    done = staged(components(_edges(some, _held(some), classes)), "connected-early")
+    known = others.join(done, F.col("class") == F.col("node"), "left").select("class", "key", F.coalesce("root", "class").alias("root"))
+    new = _held(known, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    more = _edges(others, new, classes)
+    return components(more.unionByName(done.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 class Tree:
@@ -277,7 +329,7 @@ def _connected(texts: DataFrame, classes: DataFrame, width: int, similar: int) -
     """class, root: the connected classes of each family."""
     families = _families(classes).select(F.col("node").alias("class"), F.col("root").alias("family"))
     families = staged(families.unionByName(families.select(F.col("family").alias("class"), "family").distinct()), "families")
-    size = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_TILE).cast("int").alias("tiles"))
+    size = staged(families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_TILE).cast("int").alias("tiles")), "family-sizes")
     members = families.join(size, "family").join(classes.select("class", "doc", "body"), "class")
     members = members.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     members = staged(texts.join(members, ["doc", "body"]).select("family", "tile", "class", "tiles", "text").dropDuplicates(["class"]), "families-texts")
@@ -293,7 +345,7 @@ def _connected(texts: DataFrame, classes: DataFrame, width: int, similar: int) -
     ours = rows.join(apart.select("class"), "class").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     ours = ours.select("family", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int").alias("i"), "j", F.lit(1).alias("apart"), "class", "root", "text")
     theirs = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "i", F.col("tile").alias("j"), F.lit(0).alias("apart"), "class", "root", "text")
-    joined = components(_second_round(ours.unionByName(theirs), width, similar)).withColumnRenamed("root", "to")
+    joined = staged(components(_second_round(ours.unionByName(theirs), width, similar)).withColumnRenamed("root", "to"), "joined")
     return found.join(joined, found["root"] == joined["node"], "left").select("class", F.coalesce("to", "root").alias("root"))
 
 
@@ -338,7 +390,7 @@ def link_documents(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR
     one component; an empty table gives no rows. No other columns are read.
     """
     profiles, roots = _rooted(docs, width, similar, id_col, text_col)
-    least = roots.groupBy("root").agg(F.min("doc").alias("least"))
-    roots = roots.join(least, "root").select("class", "least")
+    least = staged(roots.groupBy("root").agg(F.min("doc").alias("least")), "least")
+    roots = staged(roots.join(least, "root").select("class", "least"), "least-of-class")
     rows = profiles.select("doc", "class", "n").join(roots, "class", "left")
     return rows.select(F.nullif("doc", F.lit(_LAST)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("least", "doc"), F.lit(_LAST)).alias("component_id"), "class")
