@@ -6,8 +6,10 @@ of the half of the documents that lie closest together (minimum covariance
 determinant), found by concentration steps: distances to the present estimate,
 the share SUPPORT of documents nearest to it, their mean and covariance, and so
 on. Each step is two small aggregations; the nearest documents are found by a
-histogram of distances, so no group is ever gathered. Documents whose squared
-Mahalanobis distance is beyond CUTOFF are rejected.
+histogram of distances, so no group is ever gathered. The rows of the step in
+which the share is reached count in part, so that they add up to the share and
+a group of copies never enters beyond it. Documents whose squared Mahalanobis
+distance is beyond CUTOFF are rejected.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The vector, and the least standard deviation of each part: below it,
 #: differences do not matter, however alike the other documents are.
 PARTS = {"log_word": 0.10, "root_symbols": 0.05, "root_dup_lines": 0.15, "root_repeats": 0.10}
-SUPPORT = 0.75
+SUPPORT = 0.5
 STEPS = 4
 #: chi-square with four degrees of freedom: one in 10^9 documents that follow the estimate lies beyond.
 CUTOFF = 47.0
 #: The factor that makes the covariance of the nearest SUPPORT of normal vectors in four dimensions that of all.
-CONSISTENT = 1.0 / 0.6236
+CONSISTENT = 1.0 / 0.4741
 #: A language and source with fewer documents is judged with the other small ones of its language; those with all small ones.
 FEWEST = 60
 #: Steps of the distance histogram to a doubling of 1 + distance.
@@ -82,9 +84,10 @@ _P = tuple(PARTS)
 _CROSS = [(i, j) for i in range(len(_P)) for j in range(i, len(_P))]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """grp, mean (array), inverse (array, row by row) of the covariance with its floors."""
-    sums = [F.sum(p).alias(p) for p in _P] + [F.sum(F.col(_P[i]) * F.col(_P[j])).alias(f"x{i}{j}") for i, j in _CROSS]
+def _moments(rows: DataFrame, weight: str = "1.0D") -> DataFrame:
+    """grp, mean (array), inverse (array, row by row) of the covariance with its floors; rows count by ``weight``."""
+    w = F.expr(weight)
+    sums = [F.sum(w * F.col(p)).alias(p) for p in _P] + [F.sum(w * F.col(_P[i]) * F.col(_P[j])).alias(f"x{i}{j}") for i, j in _CROSS]
     least = np.array(list(PARTS.values())) ** 2
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +107,7 @@ def _moments(rows: DataFrame) -> DataFrame:
                 out.append((r["grp"], mean.round(12).tolist(), np.linalg.inv(cov).ravel().round(9).tolist()))
             yield pd.DataFrame(out, columns=["grp", "mean", "inverse"])
 
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), *sums).mapInPandas(solve, "grp string, mean array<double>, inverse array<double>")
+    return rows.groupBy("grp").agg(F.sum(w).alias("n"), *sums).mapInPandas(solve, "grp string, mean array<double>, inverse array<double>")
 
 
 def _medians(rows: DataFrame) -> DataFrame:
@@ -127,14 +130,16 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def _nearest(measured: DataFrame) -> DataFrame:
-    """The rows up to the histogram step in which the share SUPPORT of their group is reached."""
+    """The rows up to the histogram step in which the share SUPPORT of their group is reached, with their ``weight``: in that step the part of it that is needed, 1 before."""
     measured = measured.withColumn("step", F.floor(F.log2(F.col("distance") + 1) * FINE).cast("int"))
     steps = measured.groupBy("grp", "step").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.select("grp", "step", (before < F.sum("n").over(W.partitionBy("grp")) * SUPPORT).alias("near"))
+    needed = F.sum("n").over(W.partitionBy("grp")) * SUPPORT - before
+    steps = steps.select("grp", "step", (needed / F.col("n")).alias("part")).where("part > 0")
     # Written, so that Spark knows its size, and can split a hot group where it is too large to broadcast.
-    edge = staged(steps.where("near").groupBy("grp").agg(F.max("step").alias("edge")), "edge")
-    return measured.join(edge, "grp").where("step <= edge").drop("edge", "step")
+    edge = staged(steps.groupBy("grp").agg(F.max("step").alias("edge"), F.least(F.lit(1.0), F.max_by("part", "step")).alias("part")), "edge")
+    weight = F.when(F.col("step") < F.col("edge"), 1.0).otherwise(F.col("part"))
+    return measured.join(edge, "grp").where("step <= edge").withColumn("weight", weight).drop("edge", "part", "step")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -155,7 +160,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     vectors = passing.select("grp", *_P)
     estimate = staged(_medians(vectors), "estimate")
     for _ in range(STEPS):
-        estimate = staged(_moments(_nearest(_measured(vectors, estimate))), "estimate")
+        estimate = staged(_moments(_nearest(_measured(vectors, estimate)), "weight"), "estimate")
     carried = [f"c{k + 2}" for k in range(len(carry))]
     good = _measured(passing, estimate).select("id", *carried, *BASE, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= CUTOFF).alias("kept"))
     bad = rows.where("base_failed").select("id", *carried, *BASE, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

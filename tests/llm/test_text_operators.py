@@ -57,6 +57,27 @@ def test_outliers_are_told_from_their_own_group(spark):
     assert [i for i, k in kept.items() if not k] == [i for i in sorted(kept) if i % 20 == 3] or {i for i, k in kept.items() if not k} == {i for i in kept if i % 20 == 3}
 
 
+def test_outliers_that_are_copies_of_one_text(spark):
+    rng = random.Random(6)
+    rows = []
+    for lang, n_junk in (("aa", 90), ("bb", 130), ("cc", 163)):  # 31, 39 and 45 per cent
+        for i in range(200):
+            ws = ["".join(rng.choice("abcdef") for _ in range(max(1, int(rng.gauss(5, 1))))) + ("|" if rng.random() < 0.03 else "") for _ in range(80)]
+            rows.append((len(rows), " ".join(ws), lang, "s"))
+        junk = " ".join("".join(rng.choice("#*$%&ab") for _ in range(5)) for _ in range(80))
+        rows += [(len(rows) + i, junk, lang, "s") for i in range(n_junk)]
+    junk = {r[0] for r in rows if "#" in r[1]}
+    verdicts = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in verdicts) and len(junk) == 383
+    assert {r["doc_id"] for r in verdicts if not r["kept"]} == junk
+
+
+def test_the_nearest_rows_weigh_the_share_together(spark):
+    df = spark.createDataFrame([("g", 0.0)] * 30 + [("g", 5.0)] * 60 + [("g", 90.0)] * 10 + [("h", 1.0)] * 7, "grp string, distance double")
+    near = outliers._nearest(df).groupBy("grp", "distance").agg(F.sum("weight").alias("w")).collect()
+    assert sorted((r["grp"], r["distance"], round(r["w"], 9)) for r in near) == [("g", 0.0, 30.0), ("g", 5.0, 20.0), ("h", 1.0, 3.5)]
+
+
 def test_outlier_moments_are_those_of_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) * [1, 2, 3, 4] + [5, 0, 1, 2]
