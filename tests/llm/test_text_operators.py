@@ -72,6 +72,19 @@ def test_outliers_that_are_copies_of_one_text(spark):
     assert {r["doc_id"] for r in verdicts if not r["kept"]} == junk
 
 
+def test_repeated_lines_alone_make_an_outlier(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, int(rng.gauss(5, 1))))) for _ in range(2))
+    rows = [(i, "\n".join(line() for _ in range(200)), "en", "s") for i in range(120)]
+    some = [line() for _ in range(30)]
+    rows.append((500, "\n".join(rng.choice(some) for _ in range(200)), "en", "s"))  # in changing order: the base rule passes it
+    a_third = [line() for _ in range(134)]
+    rows.append((501, "\n".join(a_third + rng.sample(a_third, 66)), "en", "s"))
+    verdicts = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in verdicts)
+    assert [r["doc_id"] for r in verdicts if not r["kept"]] == [500]
+
+
 def test_the_nearest_rows_weigh_the_share_together(spark):
     df = spark.createDataFrame([("g", 0.0)] * 30 + [("g", 5.0)] * 60 + [("g", 90.0)] * 10 + [("h", 1.0)] * 7, "grp string, distance double")
     near = outliers._nearest(df).groupBy("grp", "distance").agg(F.sum("weight").alias("w")).collect()
