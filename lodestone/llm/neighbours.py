@@ -25,6 +25,8 @@ from .staging import staged
 TABLES, PROBES = 20, 6
 SEED = 20_240_601
 TILE, QUERY_TILE = 4096, 1024
+#: What rounding may take from a product of unit vectors; pairs measured again at a time.
+MARGIN, PAIRS = 1e-12, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,14 +109,17 @@ def _best(pairs: DataFrame, keep: int) -> DataFrame:
             unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
             first = np.array([ids[0] for ids in g.column(8).to_pylist()])
             near = unit[q] @ unit[c].T
-            some = min(len(c), keep + 4)  # rounding of the product may change places; these are measured again
-            found = np.argpartition(-near, some - 1, axis=1)[:, :some]
-            a, b = np.repeat(q, some), c[found.ravel()]
-            score = cosines(x[a], x[b]).reshape(len(q), some)
-            order = np.lexsort((first[b].reshape(len(q), some), -score), axis=1)[:, :keep]
-            a = np.repeat(q, order.shape[1])
-            b = np.take_along_axis(b.reshape(len(q), some), order, 1).ravel()
-            yield pa.RecordBatch.from_arrays([g.column(6).take(pa.array(a)), g.column(6).take(pa.array(b)), pa.array(np.take_along_axis(score, order, 1).ravel()), g.column(8).take(pa.array(b))], ["class", "found", "score", "ids"])
+            some = min(len(c), keep)
+            least = np.partition(near, len(c) - some, axis=1)[:, len(c) - some]
+            # Rounding of the product may change places, and any number may tie: all that come near the last are measured again.
+            a, b = np.nonzero(near >= least[:, None] - MARGIN)
+            a, b = q[a], c[b]
+            score = np.concatenate([cosines(x[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)])
+            order = np.lexsort((first[b], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            best = np.arange(len(a)) - np.searchsorted(a, a) < some
+            a, b = a[best], b[best]
+            yield pa.RecordBatch.from_arrays([g.column(6).take(pa.array(a)), g.column(6).take(pa.array(b)), pa.array(score[best]), g.column(8).take(pa.array(b))], ["class", "found", "score", "ids"])
 
     kind = pairs.schema["ids"].dataType.simpleString()
     sort = ["dims", "tab", "axis", "i", "j"]

@@ -259,6 +259,17 @@ def test_neighbours_of_odd_rows(spark, monkeypatch, tile):
     assert neighbours.nearest(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_neighbours_that_tie_go_by_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0] * 16)]
+    for i in range(1, 2000):  # all with the same cosine to the first
+        ones = rng.permutation(16)[:8]
+        rows.append((i, [float(k in ones) for k in range(16)]))
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.nearest(df, F.col("vec_id") == 0, tables=2, probes=32).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and len({r["score"] for r in got}) == 1
+
+
 def test_neighbour_query_recall(spark):
     folder = "/root/testdata/sf0.1"
     got = {}
