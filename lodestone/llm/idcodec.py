@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import new_path, staged
-from .tokens import byte_level, text_slices
+from .tokens import byte_level, sliced_texts
 
 LIMIT = 18
 STEP = 128
@@ -130,9 +130,9 @@ def _tokenised(texts: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                counts, flat = byte_level(path).ids([t or "" for t in texts[i:j]])
+            ids = batch.column(0)
+            for i, j, texts in sliced_texts(batch.column(1)):
+                counts, flat = byte_level(path).ids(texts)
                 cuts = np.cumsum(counts)
                 ends = cuts + np.arange(1, len(cuts) + 1)
                 with_end = np.insert(flat, cuts, end_id).astype("<u4").view(np.uint8)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import staged, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -127,12 +127,14 @@ def mix_to_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_REPEATS) -> DataFrame:
     """The mix itself: every column of ``docs``, each document as often as mix_to_weights takes it.
 
-    Rows alike in id and text stand for each other. Other columns are carried
-    whatever their names.
+    Rows alike in id and text stand for each other: that whose other columns
+    have the least hash is taken for all. Other columns are carried whatever
+    their names. Documents without words, null texts among them, are not taken;
+    an empty table gives no rows.
     """
     q = _planned(docs, id_col, text_col, source_col, most).groupBy("id", "body").agg(F.sum("times").alias("times")).where("times > 0")
     q = q.select(F.struct("id", "body").alias("mix_key"), "times")
     one = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), one.alias("mix_key")).dropDuplicates(["mix_key"])
+    rows = docs.select(whole_row(docs).alias("row"), one.alias("mix_key")).groupBy("mix_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     taken = rows.join(q, "mix_key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     return taken.select("row.*")

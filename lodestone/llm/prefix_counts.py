@@ -19,11 +19,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .tokens import CONTRACTIONS, Pieces, byte_level, piece_starts, sign_bytes, text_slices
+from .tokens import CONTRACTIONS, Pieces, byte_level, piece_starts, sign_bytes, sliced_texts
+from .words import text_bytes
 
-#: Pairs of neighbours that a worker remembers.
-_PAIRS = 1 << 20
+#: Pairs of neighbours, and pieces with the counts of all their prefixes, that a worker remembers.
+_PAIRS, _STORED = 1 << 20, 1 << 16
 
 
 class PrefixTable:
@@ -54,6 +56,7 @@ class PrefixTable:
         self.left = {t: self._edge(t, made, 0) for t in self.spelt}
         self.may_follow: dict[int, bool] = {}
         self.pieces = Pieces(self._encode, self.special)
+        self.stored: dict[str, list[int]] = {}
 
     @staticmethod
     def _edge(token: int, made: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
@@ -136,10 +139,16 @@ class PrefixTable:
         return out
 
     def _by_sign(self, piece: str) -> list[int]:
-        """Tokens of each prefix of 0, 1, 2, ... code points."""
-        counts = self.counts(piece.encode())
-        ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
-        return [counts[e] for e in ends]
+        """Tokens of each prefix of 0, 1, 2, ... code points; stored, as pieces come again and again."""
+        found = self.stored.get(piece)
+        if found is None:
+            counts = self.counts(piece.encode())
+            ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
+            found = [counts[e] for e in ends]
+            if len(self.stored) >= _STORED:
+                self.stored.clear()
+            self.stored[piece] = found
+        return found
 
     def _segment(self, text: str) -> np.ndarray:
         """As prefix_counts, for a text without special strings."""
@@ -172,20 +181,53 @@ class PrefixTable:
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Tokens of text[:0], text[:1], ... text; an entry more than code points. Null: empty."""
-        text = text or ""
-        found = min(((at, s) for s in self.special if (at := text.find(s)) >= 0), default=None)
-        if found is None:
-            return self._segment(text)
-        at, special = found
-        head = self._segment(text[:at])
-        partly = [self._segment(text[: at + i])[-1] for i in range(1, len(special))]  # not yet the special string
-        return np.concatenate([head, partly, head[-1] + 1 + self.prefix_counts(text[at + len(special) :])])
+        text, begin, base, out = text or "", 0, 0, [np.zeros(1, np.int64)]
+        while True:
+            at, size, special = min(((at, -len(s), s) for s in self.special if (at := text.find(s, begin)) >= 0), default=(len(text), 0, None))
+            head = base + self._segment(text[begin:at])
+            out.append(head[1:])
+            if special is None:
+                return np.concatenate(out)
+            out.append(np.array([base + self._segment(text[begin : at + i])[-1] for i in range(1, len(special))], np.int64))  # not yet the special string
+            base = int(head[-1]) + 1
+            out.append(np.array([base]))
+            begin = at + len(special)
 
     def longest_within(self, text: str | None, limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens."""
-        text = text or ""
-        counts = self.prefix_counts(text)
-        return int(np.flatnonzero(counts <= limit)[-1])
+        return int(np.flatnonzero(self.prefix_counts(text) <= limit)[-1])
+
+    def measured(self, texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and code points of its longest prefix of at most ``limit`` tokens.
+
+        The counts of whole pieces tell where the limit is passed; around that
+        place the counts of all prefixes decide.
+        """
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        segments, rows, follow = self.pieces._segments(texts)
+        starts, each, _, _, ending = self.pieces.located(segments, follow)
+        total = np.concatenate([[0], np.cumsum(each)])
+        begins = np.concatenate([[0], ending[:-1] + 1])  # a segment's first piece
+        n = np.bincount(rows, weights=total[ending + 1] - total[begins], minlength=len(texts)).astype(np.int64)
+        kept = np.fromiter(map(len, texts), np.int64, len(texts))
+        plain = np.bincount(rows, minlength=len(texts)) == 1
+        first = np.searchsorted(rows, np.arange(len(texts)))
+        for k in np.flatnonzero(n > limit).tolist():
+            text = texts[k]
+            if not plain[k]:  # it holds a special string
+                kept[k] = self.longest_within(text, limit)
+                continue
+            lo, hi = int(begins[first[k]]), int(ending[first[k]])
+            at = lambda p: int(starts[p] - starts[lo])  # noqa: B023, E731
+            b = e = int(np.searchsorted(total[lo + 1 : hi + 1], total[lo] + limit, "right")) + lo  # the piece that passes the limit
+            while b > lo and (b == e or text[at(b) - 1].isspace()):
+                b -= 1
+            while e + 1 < hi and text[at(e + 1) - 1].isspace():
+                e += 1
+            counts = int(total[b] - total[lo]) + self._segment(text[at(b) : at(e + 1)])
+            kept[k] = at(b) + int(np.flatnonzero(counts <= limit)[-1])
+        return n, kept
 
 
 @lru_cache(2)
@@ -202,9 +244,9 @@ def store_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in text_slices(texts, 1 << 18):
-                counts = [table(path).prefix_counts(t).astype(np.int32) for t in texts[i:j]]
+            ids = batch.column(0)
+            for i, j, texts in sliced_texts(batch.column(1), 1 << 18):
+                counts = [table(path).prefix_counts(t).astype(np.int32) for t in texts]
                 offsets = np.cumsum([0, *map(len, counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.ListArray.from_arrays(offsets, np.concatenate(counts))], [id_col, "prefix_tokens"])
 
@@ -213,23 +255,23 @@ def store_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit).
+    """One row per document: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit), kept_chars.
 
     The counts are those of the tokenizers library for the whole text, special
     strings in it included, without added tokens; they are the last entries of
-    the prefix counts of all pieces of the text. Null texts are empty (0, 0,
-    false); null ids stay null; equal rows give equal rows; an empty table gives
-    no rows. Other columns are not read.
+    the prefix counts of all pieces of the text. kept_chars: code points of the
+    longest prefix of at most ``limit`` tokens, from the prefix counts. Null
+    texts are empty (0, 0, false, 0); null ids stay null; equal rows give equal
+    rows; an empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                part = [t or "" for t in texts[i:j]]
-                n = table(path).pieces.counts(part)
-                size = np.fromiter((len(t.encode()) for t in part), np.int64, len(part))
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(size), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
-
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+            ids = batch.column(0)
+            size = np.diff(text_bytes(batch.column(1))[0])
+            for i, j, texts in sliced_texts(batch.column(1)):
+                n, kept = table(path).measured(texts, limit)
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(size[i:j]), pa.array(n), pa.array(n > limit), pa.array(kept)], [id_col, "n_bytes", "n_tokens", "over_limit", "kept_chars"])
+
+    source = docs.select(F.col(id_col), F.col(text_col))
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
     own = spark.conf.get("spark.checkpoint.dir", None)
-    if own is None:
-        own = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="lodestone-")
-        shared_dir.local = own
-    return own.rstrip("/")
+    return (own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,11 +27,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again.staged_at = path
+    return again
 
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Deletes a staged path through Hadoop's file system (it may be remote)."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads, through Hadoop's file system (they may be remote).
+
+    Shuffle files of jobs that are over go when the driver's collector finds
+    their plans; it is told to look.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns, whatever their names, as one."""
+    return F.struct(*(named(c) for c in docs.columns))

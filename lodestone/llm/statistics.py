@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .words import BYTE_VALUES, Words, mix, slices, span_hashes, text_bytes, windows
+from .words import Words, byte_hashes, mix, row_hashes, slices, text_bytes, windows
 
 U = np.uint64
 #: The signs that count as symbols.
@@ -74,7 +74,7 @@ def of_slice(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     again, later = _repeats(mix(w.hashes + salt[w.rows]))
     out["n_distinct_words"] = _of_rows(~later, w.at)
     starts, rows = windows(w.at, WIDTH)
-    again, _ = _repeats(mix(span_hashes(w.hashes, starts, starts + WIDTH) + salt[rows]))
+    again, _ = _repeats(mix(row_hashes(w.hashes, starts, WIDTH) + salt[rows]))
     cover = np.zeros(len(w.starts) + 1, np.int64)
     np.add.at(cover, starts[again], 1)
     np.add.at(cover, starts[again] + WIDTH, -1)
@@ -88,7 +88,7 @@ def of_slice(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     cuts, stops = cuts[worded], stops[worded]
     rows = np.searchsorted(w.offsets, cuts, "right") - 1
     at = np.searchsorted(cuts, w.offsets)
-    _, later = _repeats(mix(span_hashes(BYTE_VALUES[w.data], cuts, stops) + salt[rows]))
+    _, later = _repeats(mix(byte_hashes(w.data, cuts, stops) + salt[rows]))
     out["n_lines"], out["n_dup_lines"] = np.diff(at), _of_rows(later, at)
     shout = w.data[w.ends - 1] if len(w.ends) else np.zeros(0, np.uint8)
     out["n_marked_words"] = _of_rows(np.isin(shout, np.frombuffer(b"!?#*$%&|<>", np.uint8)), w.at)

@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from .words import mix, span_hashes
+from .words import byte_hashes, slices, text_bytes
 
 U = np.uint64
-#: Code points in a slice of texts; a longer text is a slice of its own.
+#: Bytes in a slice of texts; a longer text is a slice of its own.
 SLICE = 1 << 20
 #: Pieces that a worker remembers; beyond, it forgets and starts again.
 REMEMBERED = 1 << 20
@@ -74,7 +75,11 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Encodes pieces with ``encode`` (list of str to lists of ids) and remembers them by 64-bit hash."""
+    """Encodes pieces with ``encode`` (list of str to lists of ids) and remembers them.
+
+    Pieces are looked up by a 64-bit hash and compared sign by sign with what
+    is remembered; a slice in which two pieces clash is worked on without.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int]):
         self.encode, self.special = encode, special
@@ -86,26 +91,32 @@ class Pieces:
         if not 0 < len(keep) < REMEMBERED // 2:
             self.known = np.zeros(0, U)
             self.slot = np.zeros(0, np.int64)  # where the ids of known[i] begin
-            self.count = np.zeros(0, np.int32)
+            self.count = np.zeros(0, np.int64)
             self.flat = np.zeros(0, np.uint32)
+            self.sign_slot = np.zeros(0, np.int64)  # and its code points
+            self.signs = np.zeros(0, np.int64)
+            self.flat_signs = np.zeros(0, np.uint32)
             self.met = np.zeros(0, bool)
             return
-        count = self.count[keep].astype(np.int64)
-        ends = np.cumsum(count)
-        self.flat = self.flat[np.repeat(self.slot[keep] - ends + count, count) + np.arange(count.sum())]
-        self.known, self.count, self.slot = self.known[keep], self.count[keep], ends - count
+        self.slot, self.count, self.flat = _packed(self.slot[keep], self.count[keep], self.flat)
+        self.sign_slot, self.signs, self.flat_signs = _packed(self.sign_slot[keep], self.signs[keep], self.flat_signs)
+        self.known = self.known[keep]
         self.met = np.zeros(len(keep), bool)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, texts: list[str]) -> None:
         ids = self.encode(texts)
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))
         slot = len(self.flat) + np.cumsum(count) - count
+        _, signs, flat_signs = _packed(starts, stops - starts, points)
+        sign_slot = len(self.flat_signs) + np.cumsum(signs) - signs
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
-        self.known, self.slot, self.count = known[order], np.concatenate([self.slot, slot])[order], np.concatenate([self.count, count])[order]
-        self.met = np.concatenate([self.met, np.zeros(len(hashes), bool)])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        joined = lambda x, y: np.concatenate([x, y])[order]
+        self.known, self.slot, self.count = known[order], joined(self.slot, slot), joined(self.count, count)
+        self.sign_slot, self.signs = joined(self.sign_slot, sign_slot), joined(self.signs, signs)
+        self.met = joined(self.met, np.zeros(len(hashes), bool))
+        self.flat, self.flat_signs = np.concatenate([self.flat, flat]), np.concatenate([self.flat_signs, flat_signs])
 
     def _found(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -115,6 +126,39 @@ class Pieces:
         self.met[at[found]] = True
         return found
 
+    def _looked_up(self, points: np.ndarray, joined: str, starts: np.ndarray, stops: np.ndarray, real: np.ndarray):
+        """For each piece that is ``real``: number of ids, where they begin in the ids that are returned; None if pieces clash."""
+        hashes = byte_hashes(points.view(np.uint8), 4 * starts, 4 * stops)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        size = stops - starts
+        if not _same(points, starts, size, points, starts[first][back], size[first][back]):
+            return None
+        wanted = real[first]
+        found = self._found(distinct)
+        new = wanted & ~found
+        if new.any():
+            if len(self.known) + int(new.sum()) > REMEMBERED:
+                self._forget()
+                found = self._found(distinct)
+                new = wanted & ~found
+            self._learn(distinct[new], points, starts[first[new]], stops[first[new]], [joined[i:j] for i, j in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+        if not len(self.known):
+            return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), self.flat
+        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        old = wanted & found
+        if not _same(points, starts[first[old]], size[first[old]], self.flat_signs, self.sign_slot[at[old]], self.signs[at[old]]):
+            return None
+        return np.where(wanted, self.count[at], 0)[back], np.where(wanted, self.slot[at], 0)[back], self.flat
+
+    def _plainly(self, joined: str, starts: np.ndarray, stops: np.ndarray, real: np.ndarray):
+        """As _looked_up, without hashes."""
+        place: dict[str, int] = {}
+        names = [joined[i:j] if r else "" for i, j, r in zip(starts.tolist(), stops.tolist(), real.tolist(), strict=True)]
+        back = np.array([place.setdefault(x, len(place)) for x in names])
+        ids = [i if x else [] for x, i in zip(place, self.encode([x or " " for x in place]), strict=True)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return count[back], (np.cumsum(count) - count)[back], np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))
+
     def _segments(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Texts cut at special strings; the row of each segment, and the id that follows it (-1: none)."""
         if not any(s in t for s in self.special for t in texts):
@@ -143,53 +187,56 @@ class Pieces:
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         segments, rows, follow = self._segments(texts)
-        joined = "\0".join([*segments, ""])
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
-        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1) - 1
-        points[ends] = 0x110000
-        starts = piece_starts(points)
-        stops = np.append(starts[1:], len(points))
-        hashes = span_hashes(mix(points.astype(U) + U(1)), starts, stops)
-        is_end = points[starts] == 0x110000
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        real = ~is_end[first]
-        new = real & ~self._found(distinct)
-        if new.any():
-            if len(self.known) + int(new.sum()) > REMEMBERED:
-                self._forget()
-                new = real & ~self._found(distinct)
-            self._learn(distinct[new], [joined[i:j] for i, j in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        count = np.where(real, self.count[at] if len(self.known) else 0, 0)
-        each = count[back].astype(np.int64)
-        ending = np.flatnonzero(is_end)
-        each[ending] = follow >= 0
+        _, each, slot, flat, ending = self.located(segments, follow)
         total = np.concatenate([[0], np.cumsum(each)])
         seg_total = np.diff(np.concatenate([[0], total[ending + 1]]))
         lengths = np.bincount(rows, weights=seg_total, minlength=len(texts)).astype(np.int64)
         if not want_ids:
             return lengths, None
-        slot = np.where(real, self.slot[at] if len(self.known) else 0, 0)[back]
         source = np.repeat(slot - total[:-1], each) + np.arange(total[-1])
         marks = follow >= 0
         put = total[:-1][ending[marks]]
         source[put] = 0
-        ids = self.flat[source] if len(self.flat) else np.zeros(total[-1], np.uint32)
+        ids = flat[source] if len(flat) else np.zeros(total[-1], np.uint32)
         ids[put] = follow[marks]
         return lengths, ids
 
+    def located(self, segments: list[str], follow: np.ndarray):
+        """The pieces of segments one after another, each segment's end as a piece: starts, numbers of ids, slots in the ids, the ids, and which pieces are ends."""
+        joined = "\0".join([*segments, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1) - 1
+        points[ends] = 0x110000
+        starts = piece_starts(points)
+        stops = np.append(starts[1:], len(points))
+        is_end = points[starts] == 0x110000
+        found = self._looked_up(points, joined, starts, stops, ~is_end)
+        each, slot, flat = self._plainly(joined, starts, stops, ~is_end) if found is None else found
+        ending = np.flatnonzero(is_end)
+        each[ending] = follow >= 0
+        return starts, each, slot, flat, ending
+
+
+def _packed(slot: np.ndarray, count: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches flat[slot:slot + count] one after another: new slots, counts, values."""
+    ends = np.cumsum(count)
+    return ends - count, count, flat[np.repeat(slot - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _same(x: np.ndarray, x_at: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_at: np.ndarray, y_size: np.ndarray) -> bool:
+    """Whether all stretches x[x_at:x_at + x_size] equal y[y_at:y_at + y_size]."""
+    if (x_size != y_size).any():
+        return False
+    ends = np.cumsum(x_size)
+    steps = np.arange(ends[-1] if len(ends) else 0)
+    own = ends - x_size
+    return bool((x[np.repeat(x_at - own, x_size) + steps] == y[np.repeat(y_at - own, x_size) + steps]).all())
+
 
-def text_slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` code points."""
-    i = size = 0
-    for j, t in enumerate(texts):
-        n = len(t or "") + 1
-        if j > i and size + n > limit:
-            yield i, j
-            i, size = j, 0
-        size += n
-    if i < len(texts):
-        yield i, len(texts)
+def sliced_texts(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, list[str]]]:
+    """Rows i to j of a string column and their texts, a slice of about ``limit`` bytes at a time; nulls are empty."""
+    for i, j in slices(text_bytes(column)[0], limit):
+        yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
 
 
 @lru_cache(4)

@@ -10,28 +10,94 @@ not depend on how many rows Spark puts in a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd, so it has an inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE2 = 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 1 << 20
+#: The prime 2**61 - 1, and a base below it for each lane (drawn at random once).
+P61 = (1 << 61) - 1
+_BASES = (0x0C3A5F6D1E2B4987, 0x17D80B3C95A2E46F)
+#: Spans of bytes over this length are hashed one by one.
+_LONG = 512
+_TAKE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values (the splitmix64 finaliser)."""
+    x = x ^ (x >> U(30))
+    x = x * U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+def _mix2(x: np.ndarray) -> np.ndarray:
+    """Another such scramble (the finaliser of MurmurHash3), for the second lane."""
+    x = x ^ (x >> U(33))
+    x = x * U(0xFF51AFD7ED558CCD)
+    x ^= x >> U(33)
+    x *= U(0xC4CEB9FE1A85EC53)
+    x ^= x >> U(33)
+    return x
+
+
+_LANES = (mix, _mix2)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes data[s:e], by place and value: eight bytes at a time go through a scramble.
+
+    Not linear in the bytes, so texts built to agree in a polynomial differ
+    here; the lanes share nothing but the bytes.
+    """
+    size = ends - starts
+    scramble = _LANES[lane]
+    out = scramble(size.astype(U) + U(0xA24BAED4963EE407))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = scramble(h ^ (eight[at] & _TAKE[np.minimum(left, 8)]))
+        done = left <= 8
+        if done.any():
+            out[live[done]] = h[done]
+            more = ~done
+            live, at, left, h = live[more], at[more], left[more], h[more]
+        at, left = at + 8, left - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8, person=b"lane%d" % lane).digest(), "little")
+    return out
+
+
+def _times(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo P61, for values below it."""
+    low, b = U((1 << 31) - 1), U(b) if isinstance(b, int) else b
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _below((a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """x modulo P61, for any 64-bit values."""
+    x = (x & U(P61)) + (x >> U(61))
+    return np.where(x >= U(P61), x - U(P61), x)
+
+
 def _made(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, by doubling."""
+    """base**i and base**-i modulo P61, by doubling."""
     out = []
-    for b in (base, pow(base, -1, 1 << 64)):
+    for b in (base, pow(base, -1, P61)):
         p = np.ones(n, U)
         have = 1
         while have < n:
-            step = U(pow(b, have, 1 << 64))
             more = min(have, n - have)
-            p[have : have + more] = p[:more] * step
+            p[have : have + more] = _times(p[:more], pow(b, have, P61))
             have += more
         out.append(p)
     return out[0], out[1]
@@ -46,30 +112,37 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values (the splitmix64 finaliser)."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(27)
-    x *= U(0x94D049BB133111EB)
-    x ^= x >> U(31)
-    return x
+class Spans:
+    """Hashes of spans of a row of values, of any length: equal spans hash alike wherever they stand.
 
+    A polynomial modulo a prime: two different spans of n values agree for n of
+    the 2**61 bases at most.
+    """
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hashes of values[s:e] for each s, e; equal spans hash alike wherever they stand."""
-    n = len(values)
-    up, down = powers(base, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(values * up[:n], out=total[1:])
-    out = total[ends]
-    out -= total[starts]
-    out *= down[starts]
-    return mix(out + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+    def __init__(self, values: np.ndarray, lane: int = 0):
+        n = len(values)
+        up, self.down = powers(_BASES[lane], n + 1)
+        terms = _times(_below(values), up[:n])
+        high, low = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        np.cumsum(terms >> U(32), out=high[1:])
+        np.cumsum(terms & U(0xFFFFFFFF), out=low[1:])
+        self.total = _below(_times(_below(high), 1 << 32) + _below(low))
 
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        own = _below(self.total[ends] + U(P61) - self.total[starts])
+        return mix(_times(own, self.down[starts]) + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 
-def second_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(values, starts, ends, _BASE2)
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    return Spans(values, lane).hashes(starts, ends)
+
+
+def row_hashes(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` (a few) values from each start."""
+    out = np.full(len(starts), width, U)
+    for k in range(width):
+        out = mix(out ^ values[starts + k])
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +173,6 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A fixed random value for each byte.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -115,14 +186,12 @@ class Words:
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
-        edge = np.zeros(n + 1, bool)  # word or not changes here, or a text begins
         solid = ~_SPACE[self.data]
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         begins = solid.copy()
         if n:
             begins[1:] &= ~solid[:-1] | first[1:n]
-            edge[:n] = solid
         ends = solid.copy()
         if n:
             ends[:-1] &= ~solid[1:] | first[1:n]
@@ -132,13 +201,16 @@ class Words:
         #: Word index at which each row begins; one more than rows.
         self.at = np.searchsorted(self.starts, self.offsets)
         self.solid = solid
-        self._hash: np.ndarray | None = None
+        self._hash: dict[int, np.ndarray] = {}
+
+    def hashes_of(self, lane: int) -> np.ndarray:
+        if lane not in self._hash:
+            self._hash[lane] = byte_hashes(self.data, self.starts, self.ends, lane)
+        return self._hash[lane]
 
     @property
     def hashes(self) -> np.ndarray:
-        if self._hash is None:
-            self._hash = span_hashes(BYTE_VALUES[self.data], self.starts, self.ends)
-        return self._hash
+        return self.hashes_of(0)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
