@@ -1,126 +1,208 @@
 """Harmonic packing of tokenised documents into sequences.
 
-The capacity C is divided by 1, 2, 3, ...: a piece of floor(C / k) tokens
-belongs to class k, and k such pieces fill a sequence. A document is cut into
-pieces of exactly these lengths, always the longest that fits, so full
-sequences waste at most C mod k tokens and a document has few pieces beside
-its full sequences. Every class is filled by itself: pieces are dealt to
-buckets by hash, numbered in each, and the counts of the buckets before give
-each bucket its offset; the number divided by k is the sequence. What is left
-of a class at the end, fewer than k pieces, is bounded by a constant for all
-classes together and is packed first-fit by length.
+Documents of n tokens, C / (k + 1) < n <= C / k for the capacity C, are class k:
+k of them, uncut, fill a bin of their class. Each worker fills its own bins as
+documents come, so nothing is shuffled and no class meets in one place. What a
+full bin has left is filled from documents longer than the capacity, which have
+to be cut anyway. Where those do not suffice, a short document goes whole into
+the open rest it fits best, and only if it fits none is it cut over several.
+The bins not yet full at the end of a worker's part are taken apart, their
+documents fill the rests still open, and what is left follows each other in
+sequences, so a part has one sequence with padding beside rests that nothing
+was left for.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .tokens import byte_level, text_slices
+from .tokens import byte_level, sliced_texts
 
 CAPACITY = 1024
 END_ID = 0
-#: Of pieces, for numbering; a bucket's rows are a class's pieces divided by this.
-BUCKETS = 1024
-
-
-def class_lengths(capacity: int) -> np.ndarray:
-    """The lengths of classes, descending: floor(capacity / k) for each k."""
-    return np.unique(capacity // np.arange(1, capacity + 1))[::-1]
-
-
-def cut_lengths(n: int, capacity: int, lengths: np.ndarray | None = None) -> list[int]:
-    """Lengths of the pieces of a document of n tokens, in order."""
-    lengths = class_lengths(capacity) if lengths is None else lengths
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    while n:
-        out.append(int(lengths[np.searchsorted(-lengths, -n)]))
-        n -= out[-1]
-    return out
+#: Tokens of long documents that a worker holds back for rests, in capacities; rests that it leaves open before short documents fill them.
+RESERVE, OPEN_RESTS = 64, 256
+
+
+class Document:
+    """Ids not yet placed of one document."""
+
+    __slots__ = ("row", "ids", "at", "n")
+
+    def __init__(self, row, ids: bytes):
+        self.row, self.ids, self.at, self.n = row, ids, 0, len(ids) // 4
+
+    @property
+    def left(self) -> int:
+        return self.n - self.at
+
+    def cut(self, size: int) -> tuple:
+        """row, start, length, checksum, tokens of the document of the next ``size`` ids."""
+        start, self.at = self.at, self.at + size
+        return self.row, start, size, zlib.crc32(memoryview(self.ids)[4 * start : 4 * self.at]), self.n
+
+
+class Bins:
+    """The sequences of one part. Finished pieces gather in ``out``: (row, start, length, crc, tokens, sequence, offset)."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.made, self.out = capacity, 0, []
+        self.classes: dict[int, list[Document]] = {}
+        self.rests: list[tuple[int, int]] = []  # (open places, sequence), ascending
+        self.reserve: list[Document] = []
+        self.held = 0
+
+    def _place(self, piece: tuple, sequence: int, offset: int) -> None:
+        self.out.append((*piece, sequence, offset))
+
+    def _sequence(self) -> int:
+        self.made += 1
+        return self.made - 1
+
+    def _into_rests(self, doc: Document) -> None:
+        """What is left of the document goes into open rests, the largest first."""
+        while doc.left and self.rests:
+            room, sequence = self.rests.pop()
+            size = min(room, doc.left)
+            self._place(doc.cut(size), sequence, self.capacity - room)
+            if room > size:
+                insort(self.rests, (room - size, sequence))
+
+    def _whole_into_rest(self, doc: Document) -> bool:
+        """A document goes uncut into the smallest rest that holds it, if there is one."""
+        k = bisect_left(self.rests, (doc.left, -1))
+        if k == len(self.rests):
+            return False
+        room, sequence = self.rests.pop(k)
+        size = doc.left
+        self._place(doc.cut(size), sequence, self.capacity - room)
+        if room > size:
+            insort(self.rests, (room - size, sequence))
+        return True
+
+    def add(self, doc: Document) -> None:
+        if doc.n > self.capacity:
+            self._into_rests(doc)
+            if doc.left and self.held < RESERVE * self.capacity:
+                self.reserve.append(doc)
+                self.held += doc.left
+                return
+            while doc.left >= self.capacity:
+                self._place(doc.cut(self.capacity), self._sequence(), 0)
+            if not doc.left:
+                return
+            if doc.at:
+                self._shelve(doc)
+                return
+        if len(self.rests) >= OPEN_RESTS:
+            if self._whole_into_rest(doc):
+                return
+            if len(self.rests) >= 2 * OPEN_RESTS:
+                self._into_rests(doc)
+                return
+        self._shelve(doc)
+
+    def _shelve(self, doc: Document) -> None:
+        """Into its class; a class that has its number makes a sequence."""
+        k = self.capacity // doc.left
+        shelf = self.classes.setdefault(k, [])
+        shelf.append(doc)
+        if len(shelf) < k:
+            return
+        sequence, at = self._sequence(), 0
+        for d in shelf:
+            size = d.left
+            self._place(d.cut(size), sequence, at)
+            at += size
+        shelf.clear()
+        while at < self.capacity and self.reserve:
+            d = self.reserve[-1]
+            size = min(self.capacity - at, d.left)
+            self._place(d.cut(size), sequence, at)
+            at, self.held = at + size, self.held - size
+            if not d.left:
+                self.reserve.pop()
+        if at < self.capacity:
+            insort(self.rests, (self.capacity - at, sequence))
+
+    def end(self) -> None:
+        """Everything still held is placed."""
+        held = sorted((d for shelf in self.classes.values() for d in shelf), key=lambda d: -d.left)
+        self.classes.clear()
+        for d in self.reserve:
+            while d.left >= self.capacity:
+                self._place(d.cut(self.capacity), self._sequence(), 0)
+            if d.left:
+                held.append(d)
+        self.reserve, self.held = [], 0
+        held = [d for d in held if not self._whole_into_rest(d)]
+        sequence, at = None, self.capacity
+        for d in held:
+            if self.rests and d.left <= sum(room for room, _ in self.rests[-8:]):
+                self._into_rests(d)
+            while d.left:
+                if at == self.capacity:
+                    sequence, at = self._sequence(), 0
+                size = min(self.capacity - at, d.left)
+                self._place(d.cut(size), sequence, at)
+                at += size
+
+    def taken(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+
+_NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset"]
+
+
+def _packed(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """The pieces of each part, sequences numbered from 0 in each; one pass over the texts."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, end, id_type = Bins(capacity), np.array([end_id], "<u4").tobytes(), pa.int64()
 
-def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, start, length, crc, doc_tokens of each piece; one pass over the texts."""
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*bins.taken(), strict=True)) or [()] * len(_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], _NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = class_lengths(capacity)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                counts, flat = byte_level(path).ids([t or "" for t in texts[i:j]])
-                rows, start, length, crc, total = [], [], [], [], []
-                at = 0
-                end = np.array([end_id], "<u4").tobytes()
-                for row, n in enumerate(counts.tolist()):
-                    data = flat[at : at + n].astype("<u4").tobytes() + end
-                    at += n
-                    begin = 0
-                    for size in cut_lengths(n + 1, capacity, lengths):
-                        rows.append(i + row)
-                        start.append(begin)
-                        length.append(size)
-                        crc.append(zlib.crc32(data[4 * begin : 4 * (begin + size)]))
-                        total.append(n + 1)
-                        begin += size
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length, the longest placed first, each in the first bin with room."""
-    room: list[int] = []
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable"):
-        n = int(lengths[i])
-        b = next((b for b, free in enumerate(room) if free >= n), len(room))
-        if b == len(room):
-            room.append(capacity)
-        bins[i], offsets[i] = b, capacity - room[b]
-        room[b] -= n
-    return bins, offsets
+            ids = batch.column(0)
+            id_type = ids.type
+            for i, j, texts in sliced_texts(batch.column(1)):
+                counts, flat = byte_level(path).ids(texts)
+                data, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+                for row, e, n in zip(ids.slice(i, j - i).to_pylist(), ends.tolist(), counts.tolist(), strict=True):
+                    bins.add(Document(row, data[e - 4 * n : e] + end))
+                yield told()
+        bins.end()
+        yield told()
+
+    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in _NAMES[1:])).withColumn("part", F.spark_partition_id())
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text (null: none) and ``end_id``; its
-    pieces follow each other without gaps. Sequences are numbered from 0 by
-    class, the leftovers' last. Nothing is dropped: documents longer than the
-    capacity fill sequences of their own and their rest goes on. Null ids are
-    kept; equal rows are packed as often as they occur; an empty table gives no
-    rows. Other columns are not read.
+    pieces follow each other without gaps. Sequences are numbered from 0, part
+    by part. Nothing is dropped. Null ids are kept; equal rows are packed as
+    often as they occur; an empty table gives no rows. Other columns are not
+    read, whatever their names. Which documents share a sequence depends on
+    the parts in which Spark reads the table; they are pinned in a table.
     """
-    pieces = tokenised_pieces(docs, path, capacity, end_id, id_col, text_col)
-    pieces = pieces.withColumns({"fill": F.expr(f"{capacity} div length"), "bucket": F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")})
-    pieces = staged(pieces, "pack-pieces")
-    counts = pieces.groupBy("fill", "bucket").agg(F.count("*").alias("n"))
-    ahead = W.partitionBy("fill").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("fill", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("fill")).alias("of_class"))
-    classes = pieces.groupBy("fill").agg(F.count("*").alias("n"))  # a row for each class
-    first = W.orderBy("fill").rowsBetween(W.unboundedPreceding, -1)
-    classes = classes.select("fill", F.coalesce(F.sum(F.expr("n div fill")).over(first), F.lit(0)).alias("base"), F.sum(F.expr("n div fill")).over(W.partitionBy(F.lit(0))).alias("full"))
-    nth = F.row_number().over(W.partitionBy("fill", "bucket").orderBy("id", "start", "ids_crc32"))
-    placed = pieces.withColumn("nth", nth).join(F.broadcast(counts), ["fill", "bucket"]).join(F.broadcast(classes), "fill")  # at most BUCKETS x classes rows
-    placed = placed.withColumn("nth", F.col("before") + F.col("nth") - 1)
-    done = placed.where("nth < of_class - of_class % fill").select("id", "start", "length", "ids_crc32", "doc_tokens", F.expr("base + nth div fill").alias("sequence_id"), F.expr("nth % fill * length").alias("offset"))
-    rest = placed.where("nth >= of_class - of_class % fill").select("id", "start", "length", "ids_crc32", "doc_tokens", "full", F.lit(0).alias("one"))
-
-    def last(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "nth_key", "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=group["full"] + bins, offset=offsets)[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema)
-    rest = rest.withColumn("nth_key", F.xxhash64("id", "start", "ids_crc32")).groupBy("one").applyInPandas(last, schema)
-    return done.unionByName(rest).withColumnRenamed("id", id_col)
+    pieces = staged(_packed(docs, path, capacity, end_id, id_col, text_col), "pack-pieces")
+    parts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("sequences"))  # a row for each part
+    before = F.coalesce(F.sum("sequences").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = pieces.join(parts.select("part", before.alias("before")), "part")
+    return numbered.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset")

@@ -45,10 +45,20 @@ def test_every_prefix_has_its_exact_count(tokenizer, tokenizer_path, text, limit
     assert table.longest_within(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
 
 
+def kept_chars(tokenizer, text, limit):
+    """Code points of the longest prefix within the limit, by encoding the prefixes around the place."""
+    if len(tokenizer.encode(text, add_special_tokens=False).ids) <= limit:
+        return len(text)
+    ends = [e for _, e in tokenizer.encode(text, add_special_tokens=False).offsets]
+    middle = ends[limit] if limit < len(ends) else len(text)
+    near = range(max(0, middle - 60), min(len(text), middle + 60) + 1)
+    return max((k for k in near if len(tokenizer.encode(text[:k], add_special_tokens=False).ids) <= limit), default=0)
+
+
 def test_token_counts_of_odd_rows(odd, odd_rows, empty, tokenizer, tokenizer_path):
     got = prefix_counts.count_tokens(odd, tokenizer_path, 100).collect()
     n = [len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows]
-    want = [(r[0], len((r[1] or "").encode()), k, k > 100) for r, k in zip(odd_rows, n, strict=True)]
+    want = [(r[0], len((r[1] or "").encode()), k, k > 100, kept_chars(tokenizer, r[1] or "", 100)) for r, k in zip(odd_rows, n, strict=True)]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     assert prefix_counts.count_tokens(empty, tokenizer_path).collect() == []
     short = odd.where(F.length("text") < 300)
@@ -56,6 +66,27 @@ def test_token_counts_of_odd_rows(odd, odd_rows, empty, tokenizer, tokenizer_pat
         assert r["prefix_tokens"][-1] == len(tokenizer.encode(r["text"], add_special_tokens=False).ids) or r["doc_id"] in (20, 40, 89)
 
 
+@settings(max_examples=40, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), max_size=4), limit=st.integers(0, 14))
+def test_the_limit_is_found_from_counts_of_pieces(tokenizer, tokenizer_path, texts, limit):
+    table = prefix_counts.table(tokenizer_path)
+    n, kept = table.measured(texts, limit)
+    assert n.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert kept.tolist() == [table.longest_within(t, limit) for t in texts]
+
+
+def test_many_special_strings_in_a_text(tokenizer_path):
+    table = prefix_counts.table(tokenizer_path)
+    assert table.prefix_counts("<|endoftext|>" * 3000)[-1] == 3000 and table.longest_within("<|endoftext|>" * 3000, 7) == 7 * 13
+
+
+def test_pieces_that_clash_are_told_apart(monkeypatch, tokenizer, tokenizer_path):
+    monkeypatch.setattr(tokens, "byte_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(8))
+    made = tokens.Pieces(tokens.byte_level(tokenizer_path).encode, {})
+    for text in ("one two three", "six\n ten  one", "", " a b c", "one two three"):
+        assert made.ids([text, "the end"])[1].tolist() == [x for t in (text, "the end") for x in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def checked_shards(rows, got, shards):
     size = {}
     for r in got:
@@ -82,34 +113,31 @@ def test_shard_query(spark, data):
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
 
 
-@pytest.mark.parametrize("capacity", [7, 64, 1000, 1024])
-def test_cuts_are_of_class_lengths(capacity):
-    lengths = set(packing.class_lengths(capacity).tolist())
-    for n in range(1, 3 * capacity):
-        cut = packing.cut_lengths(n, capacity)
-        assert sum(cut) == n and set(cut) <= lengths and all(capacity // c * c <= capacity for c in cut)
-
-
 def checked_packs(docs, got, capacity, end):
-    """docs: (id, ids). Every id of every document in exactly one piece, sequences gapless."""
-    sequences, pieces = {}, {}
+    """docs: (id, ids). Every id of every document in exactly one piece, sequences gapless; the share of padding."""
+    sequences, pieces = {}, []
     for r in got:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], r["ids_crc32"]))
+        pieces.append((r["doc_id"], r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]))
+    assert sorted(sequences) == list(range(len(sequences)))
     for parts in sequences.values():
         at = 0
         for offset, n in sorted(parts):
-            assert offset == at
+            assert offset == at and n > 0
             at += n
         assert at <= capacity
+    # Documents alike in id and length may be cut alike; each piece is one of some such document, and all ids are covered.
     want = {}
     for i, ids in docs:
-        whole = [*ids, end]
-        at = 0
-        for n in packing.cut_lengths(len(whole), capacity):
-            want.setdefault((i, len(whole)), []).append((at, n, brute.crc(whole[at : at + n])))
-            at += n
-    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
+        want.setdefault((i, len(ids) + 1), []).append([*ids, end])
+    begun, ended = {}, {}
+    for i, total, start, n, crc in pieces:
+        assert any(brute.crc(ids[start : start + n]) == crc for ids in want[i, total])
+        begun.setdefault((i, total), []).append(start)
+        ended.setdefault((i, total), []).append(start + n)
+    for (i, total), same in want.items():
+        assert sorted(begun[i, total] + [total] * len(same)) == sorted(ended[i, total] + [0] * len(same))
+    assert set(begun) == set(want)
     total = [sum(n for _, n in p) for p in sequences.values()]
     return sum(capacity - t for t in total if t & (t - 1)) / max(1, sum(total))
 
@@ -120,6 +148,37 @@ def test_packs_of_odd_rows(odd, odd_rows, empty, tokenizer, tokenizer_path):
     assert packing.pack(empty, tokenizer_path).collect() == []
 
 
+@pytest.mark.parametrize("most", [60, 600, 3000])
+def test_bins_of_any_lengths(most):
+    rng = np.random.default_rng(most)
+    sizes = rng.integers(1, most, 5000).tolist()
+    bins = packing.Bins(1024)
+    for k, n in enumerate(sizes):
+        bins.add(packing.Document(k, np.arange(n, dtype="<u4").tobytes()))
+    bins.end()
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    got = [dict(zip(names, x, strict=True)) for x in bins.taken()]
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for k, n in enumerate(sizes):
+        ends = [0, *(a + m for a, m in sorted(by_doc[k]))]
+        assert [a for a, _ in sorted(by_doc[k])] == ends[:-1] and ends[-1] == n
+    room = {}
+    for r in got:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in room.values():
+        ends = [0, *(a + m for a, m in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+    assert sum(1024 - sum(n for _, n in parts) for parts in room.values()) < 0.02 * sum(sizes)
+
+
+def test_short_documents_stay_whole(spark, tokenizer_path):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer_path).groupBy("doc_id", "doc_tokens").count().collect()
+    short = [r["count"] for r in got if r["doc_tokens"] <= 1024]
+    assert sum(n > 1 for n in short) < 0.1 * len(short)
+
+
 def test_pack_query(spark, data, tokenizer):
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
     ids = [(r["doc_id"], tokenizer.encode(r["text"], add_special_tokens=False).ids) for r in docs]
@@ -338,3 +397,15 @@ def test_pipeline_on_odd_rows_and_nothing(spark, odd, empty, data):
 
 def test_pipeline_runs(spark, data):
     assert corpus_pipeline.run(spark, data).count()
+
+
+def test_stages_carry_columns_of_any_name(spark, odd_rows, data):
+    odd_names = ["a.b", "row", "key", "x`y", "class", "body"]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), k, None, "t", 2.5, [1, 2], "") for k, r in enumerate(odd_rows)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `row` string, `key` string, `x``y` double, `class` array<int>, body string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        given = {r["doc_id"]: r["a.b"] for r in docs.select("doc_id", "`a.b`").collect()}
+        docs = stage(spark, docs, data)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *odd_names]
+        rows = docs.collect()
+        assert rows and all(r["class"] == [1, 2] and r["x`y"] == 2.5 and r["doc_id"] in given for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count()
