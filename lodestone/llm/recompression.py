@@ -11,9 +11,13 @@ level, the one with the least name is the window's anchor.
 
 Windows next to each other with one anchor are one row: the anchor's name and a
 hash of all words that these windows cover. Only names that two documents share
-go on. Rows alike in both are equal repeats and are settled at once; where one
-name has several surroundings, the windows of one document for each surrounding
-are compared by 128-bit hashes.
+go on. Rows alike in both are equal repeats and are settled at once. Where one
+name has several surroundings, two of them can share a window only if they
+share the anchor together with half of the window's other words on its left or
+on its right: what shares neither is done. For the rest, the windows of one
+document for each surrounding are compared by 128-bit hashes. Names come from
+one hash of each word's bytes and surroundings from another that has nothing in
+common with it, so what is called equal is so in about 128 bits everywhere.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .staging import staged
-from .words import Words, mix, second_hashes, slices, span_hashes, text_bytes, windows
+from .staging import drop_staged, named, staged
+from .words import Spans, Words, mix, slices, text_bytes, windows
 
 U = np.uint64
 WINDOW = 50
@@ -98,8 +103,8 @@ def _least_in(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return best
 
 
-def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Name and identity of the anchor of each window; windows with one identity are next to each other."""
+def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Name, identity, and first and last word (exclusive) of the anchor of each window; windows with one identity are next to each other."""
     at = np.arange(len(hashes))
     state = (hashes, rows, at, at + 1)
     levels = [state]
@@ -108,7 +113,8 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int
             state = _runs(*state)
         state = _pairs(*state, turn)
         levels.append(state)
-    name, who = np.zeros(len(starts), U), np.zeros(len(starts), np.int64)
+    name = np.zeros(len(starts), U)
+    who, low, high = np.zeros((3, len(starts)), np.int64)
     open_ = np.arange(len(starts))
     given = 0
     for level, (names, _, lo, hi) in reversed(list(enumerate(levels))):
@@ -120,11 +126,11 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int
         first, last = np.searchsorted(lo, s), np.searchsorted(hi, s + width, "right") - 1
         ok = last >= first
         k = _least_in(names, first[ok], last[ok])
-        name[open_[ok]] = names[k]
-        who[open_[ok]] = given + k
+        found = open_[ok]
+        name[found], who[found], low[found], high[found] = names[k], given + k, lo[k], hi[k]
         given += len(names)
         open_ = open_[~ok]
-    return name, who
+    return name, who, low, high
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -137,8 +143,19 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text")]
 
 
+def _side(spans: Spans, first: np.ndarray, last: np.ndarray, there: np.ndarray) -> pa.Array:
+    """32 bits of the hashes of words first to last, null where they are not ``there``; only to tell what cannot be equal."""
+    out = np.zeros(len(first), np.uint32)
+    out[there] = spans.hashes(first[there], last[there]).astype(np.uint32)
+    return pa.array(out.view(np.int32), mask=~there)
+
+
 def _surroundings(texts: DataFrame, width: int) -> DataFrame:
-    """A row for each anchor: doc, body, name, around (hash of the words its windows cover), start, n (windows)."""
+    """A row for each anchor: doc, body, name, around (hash of the words its windows cover), left, right, start, n (windows).
+
+    left, right: the anchor with half of a window's other words before or after
+    it. A window has them on one side at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +166,19 @@ def _surroundings(texts: DataFrame, width: int) -> DataFrame:
                 starts, rows = windows(w.at, width)
                 if not len(starts):
                     continue
-                name, who = anchors(w.hashes, w.rows, starts, width)
+                name, who, low, high = anchors(w.hashes, w.rows, starts, width)
                 same = np.zeros(len(starts), bool)
                 same[1:] = (who[1:] == who[:-1]) & (rows[1:] == rows[:-1]) & (name[1:] == name[:-1])
                 first, last = _ends(same)
-                around = span_hashes(w.hashes, starts[first], starts[last] + width)
-                r = rows[first]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i + r]), pa.array(body[i + r]), _signed(name[first]), _signed(around), pa.array((starts[first] - w.at[r]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["doc", "body", "name", "around", "start", "n"])
+                spans = Spans(w.hashes_of(1), 1)
+                around = spans.hashes(starts[first], starts[last] + width)
+                low, high, r = low[first], high[first], rows[first]
+                more = (width - (high - low) + 1) // 2
+                left = _side(spans, low - more, high, starts[first] <= low - more)
+                right = _side(spans, low, high + more, starts[last] + width >= high + more)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i + r]), pa.array(body[i + r]), _signed(name[first]), _signed(around), left, right, pa.array((starts[first] - w.at[r]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["doc", "body", "name", "around", "left", "right", "start", "n"])
 
-    return texts.mapInArrow(run, "doc long, body long, name long, around long, start int, n int")
+    return texts.mapInArrow(run, "doc long, body long, name long, around long, left int, right int, start int, n int")
 
 
 def _window_hashes(tasks: DataFrame, width: int) -> DataFrame:
@@ -177,32 +198,46 @@ def _window_hashes(tasks: DataFrame, width: int) -> DataFrame:
                 at, size = start[own] + w.at[rows], n[own]
                 rows = np.repeat(rows, size)
                 at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                one, two = span_hashes(w.hashes, at, at + width), second_hashes(w.hashes, at, at + width)
+                one, two = (Spans(w.hashes_of(lane), lane).hashes(at, at + width) for lane in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i + rows]), pa.array(body[i + rows]), pa.array((at - w.at[rows]).astype(np.int32)), _signed(one), _signed(two)], ["doc", "body", "start", "a", "b"])
 
     return tasks.mapInArrow(run, "doc long, body long, start int, a long, b long")
 
 
 def covered_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc, body, start, n: ranges of n windows whose words also start in a document with a smaller id.
+    """doc, body, ranges: (start, n) of n windows whose words also start in a document with a smaller id.
 
     Hot names and windows meet only in aggregations that are combined before
     they are shuffled and in joins that Spark splits; it splits joins of plain
-    tables, so what was aggregated is written first.
+    tables, so what was aggregated is written first, without what only one
+    document has. Tables go as soon as the next ones are there.
     """
     rows = staged(_surroundings(texts, width), "surroundings")
-    shared = staged(rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("name"), "names")
-    rows = staged(rows.join(shared, "name"), "shared-names")
-    kinds = staged(rows.groupBy("name", "around").agg(F.min("doc").alias("least")), "kinds")
-    mixed = staged(kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "mixed")
-    rows = rows.join(kinds, ["name", "around"])
-    settled = rows.where("doc > least").select("doc", "body", "start", "n")
-    tasks = rows.where("doc = least").join(mixed, "name").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("asked"))  # of one text
-    tasks = texts.join(tasks, ["doc", "body"]).select("doc", "body", "text", "asked").dropDuplicates(["doc", "body"])
-    hashed = staged(_window_hashes(tasks, width), "windows")
-    least = staged(hashed.groupBy("a", "b").agg(F.min("doc").alias("least")), "least")
+    names = staged(rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name"), "names")
+    shared = staged(rows.join(names, "name"), "shared-names")
+    drop_staged(rows, names)
+    kinds = staged(shared.groupBy("name", "around").agg(F.min("doc").alias("least"), F.min("left").alias("left"), F.min("right").alias("right")), "kinds")
+    sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words"))))
+    sides = kinds.select("name", "around", "least", sides).where("words IS NOT NULL")
+    met = sides.groupBy("name", "side", "words").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("name", "side", "words")
+    met = staged(met, "met")
+    mixed = staged(sides.join(met, ["name", "side", "words"]).select("name", "around").distinct().withColumn("mixed", F.lit(True)), "mixed")
+    kinds_mixed = staged(kinds.select("name", "around", "least").join(mixed, ["name", "around"], "left"), "kinds-mixed")
+    judged = shared.join(kinds_mixed, ["name", "around"]).where("doc > least OR mixed").select("doc", "body", "start", "n", (F.col("doc") > F.col("least")).alias("settled"))
+    judged = staged(judged, "judged")
+    drop_staged(shared, kinds, met, mixed, kinds_mixed)
+    settled = judged.where("settled").select("doc", "body", "start", "n")
+    tasks = judged.where("NOT settled").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("asked"))  # of one text
+    tasks = staged(tasks, "asked")
+    hashed = texts.join(tasks, ["doc", "body"]).select("doc", "body", "text", "asked").dropDuplicates(["doc", "body"])
+    hashed = staged(_window_hashes(hashed, width), "windows")
+    least = hashed.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("a", "b", "least")
+    least = staged(least, "least")
     found = hashed.join(least, ["a", "b"]).where("doc > least").select("doc", "body", "start", F.lit(1).alias("n"))
-    return settled.unionByName(found)
+    ranges = settled.unionByName(found).groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # of one text
+    ranges = staged(ranges, "ranges")
+    drop_staged(judged, tasks, hashed, least)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -216,11 +251,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
     take from each other; equal rows get equal results; an empty table gives no
     rows. No other columns are read.
     """
-    source = docs.select(F.col(id_col).alias("id"), *_identity(id_col, text_col), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
+    source = docs.select(F.col(id_col).alias("id"), *_identity(id_col, text_col), *(named(c).alias(f"c{k}") for k, c in enumerate(carry)))
     texts = docs.select(*_identity(id_col, text_col))
-    ranges = covered_windows(texts, width).groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # of one text
-    ranges = staged(ranges, "ranges")
-    joined = source.join(ranges, ["doc", "body"], "left")
+    joined = source.join(covered_windows(texts, width), ["doc", "body"], "left")
     carried = [f"c{k}" for k in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +291,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(w.counts().astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), text, batch.column(1)[i:j], *(c[i:j] for c in rest)], ["id", "n_words", "n_removed", "kept_text", "whole_text", *carried])
 
     columns = joined.select("id", "text", "ranges", *carried)
-    kinds = [f"id {columns.schema['id'].dataType.simpleString()}", "n_words long, n_removed long, kept_text string, whole_text string", *(f"{c} {columns.schema[c].dataType.simpleString()}" for c in carried)]
-    out = columns.mapInArrow(run, ", ".join(kinds))
+    given = columns.schema
+    fields = [T.StructField("id", given["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("whole_text", T.StringType())]
+    out = columns.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, given[c].dataType) for c in carried)]))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", "whole_text", *(F.col(k).alias(c) for k, c in zip(carried, carry, strict=True)))
