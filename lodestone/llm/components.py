@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import drop_staged, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while True:
         both = e.select(F.col("p").alias("u"), F.col("c").alias("v")).unionByName(e.select(F.col("c").alias("u"), F.col("p").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("p"), F.col("v").alias("c")).where("p <> c").distinct()
+        nearest = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.join(nearest, "u").where("v > u").select(F.col("m").alias("p"), F.col("v").alias("c")).where("p <> c").distinct()
         large = staged(large, "edges")
         least = staged(large.groupBy("c").agg(F.min("p").alias("m")), "least")
         small = large.join(least, "c")
         small = small.select(F.col("m").alias("p"), F.col("c")).unionByName(small.select(F.col("m").alias("p"), F.col("p").alias("c"))).where("p <> c").distinct()
-        e = staged(small, "edges")
+        before, e = e, staged(small, "edges")
+        drop_staged(before, nearest, large, least)
         now = _mark(e)
         if now == mark:
             return e.groupBy("c").agg(F.min("p").alias("root")).select(F.col("c").alias("node"), "root")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import drop_staged, named, staged
+from .staging import drop_staged, named, release, staged
 from .words import Spans, Words, mix, slices, text_bytes, windows
 
 U = np.uint64
@@ -216,6 +216,7 @@ def covered_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     names = staged(rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name"), "names")
     shared = staged(rows.join(names, "name"), "shared-names")
     drop_staged(rows, names)
+    release(texts.sparkSession)
     kinds = staged(shared.groupBy("name", "around").agg(F.min("doc").alias("least"), F.min("left").alias("left"), F.min("right").alias("right")), "kinds")
     sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words"))))
     sides = kinds.select("name", "around", "least", sides).where("words IS NOT NULL")
@@ -226,6 +227,7 @@ def covered_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     judged = shared.join(kinds_mixed, ["name", "around"]).where("doc > least OR mixed").select("doc", "body", "start", "n", (F.col("doc") > F.col("least")).alias("settled"))
     judged = staged(judged, "judged")
     drop_staged(shared, kinds, met, mixed, kinds_mixed)
+    release(texts.sparkSession)
     settled = judged.where("settled").select("doc", "body", "start", "n")
     tasks = judged.where("NOT settled").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("asked"))  # of one text
     tasks = staged(tasks, "asked")
@@ -237,6 +239,7 @@ def covered_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     ranges = settled.unionByName(found).groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # of one text
     ranges = staged(ranges, "ranges")
     drop_staged(judged, tasks, hashed, least)
+    release(texts.sparkSession)
     return ranges
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups
-from .staging import staged
-from .words import Words, mix, slices, span_hashes, text_bytes, windows
+from .staging import drop_staged, release, staged, tasks, whole_row
+from .words import Words, mix, row_hashes, slices, span_hashes, text_bytes, windows
 
 U = np.uint64
 SHINGLE, SIMILAR = 4, 85  # words; per cent
@@ -48,9 +48,8 @@ def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     starts, rows = windows(w.at, width)
     n = np.diff(w.at)
     short = np.flatnonzero((n > 0) & (n < width))
-    begin, stop = np.concatenate([starts, w.at[short]]), np.concatenate([starts + width, w.at[short + 1]])
     rows = np.concatenate([rows, short])
-    values = span_hashes(w.hashes, begin, stop)
+    values = np.concatenate([row_hashes(w.hashes, starts, width), span_hashes(w.hashes, w.at[short], w.at[short + 1])])
     order = np.lexsort((values, rows))
     values, rows = values[order], rows[order]
     new = np.ones(len(rows), bool)
@@ -112,7 +111,7 @@ def _kept_together(blocks: DataFrame, across: bool) -> DataFrame:
         key, a, b = [], [], []
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["key", "a", "b"])
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], ["key", "a", "b"])
             for x in (key, a, b):
                 x.clear()
             return made
@@ -144,7 +143,7 @@ def _kept_together(blocks: DataFrame, across: bool) -> DataFrame:
                 yield out()
         yield out()
 
-    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "class").mapInArrow(run, "key long, a binary, b binary")
+    return blocks.repartition(tasks(blocks.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "class").mapInArrow(run, "key long, a long, b long")
 
 
 def _edges(rows: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
@@ -170,31 +169,66 @@ def _edges(rows: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
         ours = hot.join(apart, ["key", "class"]).withColumn("j", F.explode(F.sequence(no, F.col("tiles") - 1))).withColumn("i", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int"))
         theirs = hot.withColumn("i", F.explode(F.sequence(no, F.col("parts") - 1))).withColumn("j", F.col("tile"))
         pairs = ours.withColumn("side", F.lit(1)).select("key", "i", "j", "side", "class", "signs").unionByName(theirs.withColumn("side", no).select("key", "i", "j", "side", "class", "signs"))
-        edges = edges.unionByName(_kept_together(pairs.withColumn("first", F.lit(None).cast("binary")), True).select("a", "b"))
+        edges = edges.unionByName(_kept_together(pairs.withColumn("first", F.lit(None).cast("long")), True).select("a", "b"))
     return edges
 
 
-def _held(rows: DataFrame, *more) -> DataFrame:
-    """key, size, first, and x and s, a digest of its classes."""
+def _held(rows: DataFrame) -> DataFrame:
+    """key, size, first, and x and s, a digest of its classes, of keys with two classes or more."""
     h = F.xxhash64("class")
-    return rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.min("class").alias("first"), *more).where("size > 1")
+    return rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"), F.min("class").alias("first")).where("size > 1")
 
 
 def _families(classes: DataFrame) -> DataFrame:
     """node, root for every class that is kept together with another.
 
-    A few keys of each class come first. Of the others, those whose classes are
-    connected by then say nothing new and are left out, so that a large group
-    of near copies is not gone through under all its keys.
+    A few keys of each class come first, and connect most of what belongs
+    together. Of the other keys only those count under which classes of two
+    roots stand. There the classes of the largest root stay where they are;
+    only the others, the strangers, go on: once to the whole of that root,
+    however many keys they share with it, and among themselves.
     """
-    rows = classes.select("class", F.explode("keys").alias("key"))
-    early = F.pmod(F.col("key"), F.lit(EARLY)) == 0
-    some, others = rows.where(early), rows.where(~early)
+    spark = classes.sparkSession
+    early = lambda k: F.pmod(k, F.lit(EARLY)) == 0
+    some = classes.select("class", F.explode(F.filter("keys", early)).alias("key"))
     done = staged(components(_edges(some, _held(some), classes)), "connected-early")
-    known = others.join(done, F.col("class") == F.col("node"), "left").select("class", "key", F.coalesce("root", "class").alias("root"))
-    new = _held(known, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    more = _edges(others, new, classes)
-    return components(more.unionByName(done.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    release(spark)
+    # A root's code orders it by the power of two of its classes, largest first: the least code of a key is its main root.
+    sizes = staged(done.groupBy("root").agg((F.count("*") + 1).alias("n")), "root-sizes")
+    nodes = done.unionByName(sizes.select(F.col("root").alias("node"), "root"))
+    codes = nodes.join(sizes, "root").select("node", ((F.lit(62) - F.floor(F.log2("n"))).cast("long") * F.lit(1 << 57) + F.col("root")).alias("code"))
+    rooted = classes.select("class", "keys").join(codes, F.col("class") == F.col("node"), "left")
+    rooted = rooted.select("class", F.coalesce("code", F.lit(62 << 57) + F.col("class")).alias("code"), F.filter("keys", lambda k: ~early(k)).alias("keys"))
+    rooted = staged(rooted, "rooted")
+    known = rooted.select("class", "code", F.explode("keys").alias("key"))
+    split = known.groupBy("key").agg(F.min("code").alias("main"), F.max("code").alias("high")).where("main < high").select("key", "main")
+    split = staged(split, "split-keys")
+    strangers = staged(known.join(split, "key").where("code <> main").select("class", "key", "code", "main"), "strangers")
+    drop_staged(split, sizes)
+    release(spark)
+    to_main = _with_roots(strangers.select("class", "main").distinct(), rooted.select("class", F.col("code").alias("main")), classes)
+    apart = strangers.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high").select("key")
+    among = strangers.select("class", "key").join(staged(apart, "apart-keys"), "key")
+    among = staged(among, "among-strangers")
+    edges = staged(to_main.unionByName(_edges(among, _held(among), classes)), "found-edges")
+    drop_staged(rooted, strangers, among)
+    release(spark)
+    return components(edges.unionByName(done.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+
+def _with_roots(asks: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: strangers (class, main) that are like one of the members (class, main); both sides in tiles, so no task meets a whole root."""
+    asks = staged(asks, "asks")
+    parts = staged(asks.groupBy("main").agg(F.ceil(F.count("*") / KEY_TILE).cast("int").alias("parts")), "parts")
+    members = staged(members.join(parts, "main"), "members")
+    tiles = staged(members.groupBy("main").agg(F.ceil(F.count("*") / KEY_TILE).cast("int").alias("tiles"), F.max("parts").alias("parts")), "tiles")
+    no, group = F.lit(0), F.xxhash64("main").alias("key")
+    ours = asks.join(tiles, "main").withColumns({"side": F.lit(1), "i": F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int"), "j": F.explode(F.sequence(no, F.col("tiles") - 1))})
+    theirs = members.drop("parts").join(tiles, "main").withColumns({"side": no, "i": F.explode(F.sequence(no, F.col("parts") - 1)), "j": F.pmod(F.xxhash64("class", F.lit(1)), F.col("tiles")).cast("int")})
+    columns = [group, "i", "j", "side", "class"]
+    pairs = ours.select(*columns).unionByName(theirs.select(*columns)).join(classes.select("class", "signs"), "class")
+    pairs = pairs.select("key", "i", "j", "side", "class", "signs", F.lit(None).cast("long").alias("first"))
+    return _kept_together(pairs, True).where("b IS NOT NULL").select("a", "b")
 
 
 class Tree:
@@ -295,12 +329,12 @@ def _first_round(tiles: DataFrame, width: int, similar: int) -> DataFrame:
             for x, y in connect(sets, group.copy(), similar):
                 group[group == group[y]] = group[x]
             first = firsts[0]
-            root: dict[int, bytes] = {}
+            root: dict[int, int] = {}
             for k, name in zip(group.tolist(), names, strict=True):
                 root[k] = first if first in (name, root.get(k)) else min(name, root.get(k, name))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([root[k] for k in group.tolist()], pa.binary()), pa.array([g.column(3)[0].as_py()] * len(names), pa.int32()), pa.array([first] * len(names), pa.binary())], ["class", "root", "tiles", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([root[k] for k in group.tolist()], pa.int64()), pa.array([g.column(3)[0].as_py()] * len(names), pa.int32()), pa.array([first] * len(names), pa.int64())], ["class", "root", "tiles", "first"])
 
-    return tiles.repartition("family", "tile").sortWithinPartitions("family", "tile", "class").mapInArrow(run, "class binary, root binary, tiles int, first binary")
+    return tiles.repartition(tasks(tiles.sparkSession), "family", "tile").sortWithinPartitions("family", "tile", "class").mapInArrow(run, "class long, root long, tiles int, first long")
 
 
 def _second_round(pairs: DataFrame, width: int, similar: int) -> DataFrame:
@@ -320,9 +354,9 @@ def _second_round(pairs: DataFrame, width: int, similar: int) -> DataFrame:
             for p, q in connect([sets[k] for k in x], group[x], similar, ([sets[k] for k in y], group[y])):
                 a.append(roots[x[p]])
                 b.append(roots[y[q]])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "apart", "class").mapInArrow(run, "a binary, b binary")
+    return pairs.repartition(tasks(pairs.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "apart", "class").mapInArrow(run, "a long, b long")
 
 
 def _connected(texts: DataFrame, classes: DataFrame, width: int, similar: int) -> DataFrame:
@@ -359,23 +393,30 @@ def _rooted(docs: DataFrame, width: int, similar: int, id_col: str, text_col: st
     texts = _texts(docs, id_col, text_col)
     profiles = staged(_profiles(texts, width), "profiles")
     classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "body", "signs", "keys")).alias("x")).select("class", "x.*")
-    classes = staged(classes, "classes")
-    roots = _connected(texts, classes, width, similar).withColumnRenamed("class", "c")
-    roots = classes.select("class", "doc", "body").join(roots, F.col("class") == F.col("c"), "left").select("class", "doc", "body", F.coalesce("root", "class").alias("root"))
-    return profiles, staged(roots, "roots")
+    # Classes are numbered for what follows; the numbers are pinned by the table.
+    classes = staged(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    release(docs.sparkSession)
+    roots = _connected(texts, classes.withColumn("class", F.col("number")), width, similar).select(F.col("class").alias("c"), F.col("root").alias("r"))
+    roots = classes.select("class", "doc", "body", "number").join(roots, F.col("number") == F.col("c"), "left").select("class", "doc", "body", F.coalesce("r", "number").alias("root"))
+    roots = staged(roots, "roots")
+    drop_staged(classes)
+    release(docs.sparkSession)
+    return profiles, roots
 
 
 def one_of_each(docs: DataFrame, width: int, similar: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one stays for each component: that of the least id; all columns, whatever their names.
 
-    Texts without words are no copies of each other and stay; a row repeated as
-    a whole stays once.
+    Texts without words, and null texts, are no copies of each other and stay.
+    Null ids come after all others. Of rows alike in id and text one stays,
+    that whose other columns have the least hash; an empty table gives no rows.
     """
     profiles, roots = _rooted(docs, width, similar, id_col, text_col)
     first = roots.groupBy("root").agg(F.min(F.struct("doc", "body")).alias("key")).select("key")
     first = first.unionByName(profiles.where("n = 0").select(F.struct("doc", "body").alias("key")).distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body")).alias("key"))
-    return rows.join(first, "key").dropDuplicates(["key"]).select("row.*")
+    rows = docs.select(whole_row(docs).alias("row"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body")).alias("key"))
+    chosen = rows.join(first, "key").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return chosen.select("row.*")
 
 
 def link_documents(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,18 +33,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later plan reads, through Hadoop's file system (they may be remote).
-
-    Shuffle files of jobs that are over go when the driver's collector finds
-    their plans; it is told to look.
-    """
+    """Deletes staged tables that no later plan reads, through Hadoop's file system (they may be remote)."""
     for df in tables:
         spark = df.sparkSession
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are over go when the driver's collector finds their plans; it is told to look."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for groups that cost more time than bytes, which adaptive plans would put together by size."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def named(column: str) -> Column:
