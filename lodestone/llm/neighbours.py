@@ -1,11 +1,22 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-In each table a vector is turned by a pseudo-rotation (three times random signs
-and a fast Hadamard transform) and hashed to the signed axis that it is nearest
-to. A query looks at the PROBES nearest signed axes of each table; what it finds
-there is ranked by exact cosine. Equal vectors are indexed once, with their
-smallest ids. A hot bucket is split into tiles of vectors and of queries, so no
-task meets a whole one, and a task keeps only the best of each query.
+In each table a vector is turned by a few pseudo-rotations (each three times
+random signs and a fast Hadamard transform); the signed axes that it is nearest
+to in each of them are together its key, so the number of buckets grows with
+the number of rotations in a key. A query looks at the keys of each table in
+order of the sum of its entries on their axes. What it finds is ranked by exact
+cosine.
+
+How many tables, rotations in a key and probes are needed depends on dimension,
+number and structure of the vectors. It is measured: for a bounded sample of
+queries the true neighbours are found by looking at everything, and the
+cheapest plan is taken that finds the share TARGET of them. Queries that hold
+fewer rows than they could go on until they have looked at all keys.
+
+Equal vectors are indexed once, with their smallest ids. Rows are dealt by
+table and part of the keys; a query goes once to each part that holds any of
+its keys. A hot part is split into tiles of vectors and of queries, so no task
+meets a whole one, and a task returns only the best of each query.
 """
 
 from __future__ import annotations
@@ -14,15 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import groups
-from .staging import staged
+from .staging import drop_staged, release, staged, tasks
+from .words import mix
 
-#: Tables, and probes in each. Recall at 5, measured against brute force on unstructured unit vectors in 64 dimensions: README.
-TABLES, PROBES = 20, 6
+U = np.uint64
+#: Queries whose true neighbours are looked up to choose a plan (those of least hash), and the share of these that it has to find.
+SAMPLE, TARGET = 64, 0.97
+#: What plans are chosen from; most probes of a table. Dimensions with a plan of their own: the commonest; the others, and
+#: tables of fewer vectors than SMALL, are probed whole.
+TABLES, ROTATIONS, MOST_PROBES, PLANNED, SMALL = (1, 2, 4, 8), (1, 2, 3), 4096, 4, 2048
+#: Entries of a rotated vector that probes combine, by the number of rotations.
+_AXES = {1: 1 << 12, 2: 128, 3: 40}
+#: What a row of a table costs, in comparisons.
+_ROW_COST = 3000
 SEED = 20_240_601
 TILE, QUERY_TILE = 4096, 1024
 #: What rounding may take from a product of unit vectors; pairs measured again at a time.
@@ -50,14 +70,26 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first: 2 * axis + (1 if its positive end)."""
-    y = rotate(x, table)
-    both = np.stack([-y, y], 2).reshape(len(y), -1)
-    probes = min(probes, both.shape[1])
-    near = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    order = np.argsort(-np.take_along_axis(both, near, 1), axis=1, kind="stable")
-    return np.take_along_axis(near, order, 1)
+def _both_ends(x: np.ndarray, turn: int) -> np.ndarray:
+    """Entries on the signed axes of a rotation: 2 * axis + (1 if its positive end)."""
+    y = rotate(x, turn)
+    return np.stack([-y, y], 2).reshape(len(y), -1)
+
+
+def keys_of(x: np.ndarray, table: int, rotations: int, probes: int = 1) -> np.ndarray:
+    """The keys of each unit row in a table, best first: numbers of as many digits as rotations, one for each nearest signed axis."""
+    total, key = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    few = 1 if probes == 1 else _AXES[rotations]
+    for r in range(rotations):
+        ends = _both_ends(x, table * max(ROTATIONS) + r)
+        n = min(few, ends.shape[1])
+        near = np.argpartition(-ends, n - 1, axis=1)[:, :n]
+        total = (total[:, :, None] + np.take_along_axis(ends, near, 1)[:, None, :]).reshape(len(x), -1)
+        key = (key[:, :, None] * ends.shape[1] + near[:, None, :]).reshape(len(x), -1)
+    n = min(probes, total.shape[1])
+    best = np.argpartition(-total, n - 1, axis=1)[:, :n]
+    order = np.lexsort((np.take_along_axis(key, best, 1), -np.take_along_axis(total, best, 1)), axis=1)
+    return np.take_along_axis(key, np.take_along_axis(best, order, 1), 1)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,33 +102,55 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
-    """Adds dims, place (table, axis) for each table and probe."""
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.astype(U)) % U(parts)).astype(np.int64)
+
+
+#: dims -> tables, rotations in a key, probes (0: all), parts of a table.
+Plan = dict[int, tuple[int, int, int, int]]
+
+
+def _dealt(vectors: DataFrame, plan: Plan, asks: bool) -> DataFrame:
+    """dims, tab, part, keys, number, vector: each vector in each table, by its own key or, if it asks, once for each part with the keys that it looks at there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                lengths = part.column(0).value_lengths().to_numpy(zero_copy_only=False)
-                for d in np.unique(lengths):
-                    rows = np.flatnonzero(lengths == d)
-                    own = part.take(pa.array(rows))
-                    x = np.stack(_rows(own.column(0)))
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x /= np.sqrt((x * x).sum(1, keepdims=True))
+            for i in range(0, batch.num_rows, 64 if asks else 512):
+                cut = batch.slice(i, 64 if asks else 512)
+                lengths = cut.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for d in np.unique(lengths).tolist():
+                    own = cut.take(pa.array(np.flatnonzero(lengths == d)))
+                    x = _units(np.stack(_rows(own.column(1))))
+                    tables, rotations, probes, parts = plan.get(d, (1, 1, 0, 1))
                     for t in range(tables):
-                        found = axes(x, t, probes)
-                        p = found.shape[1]
-                        out = own.take(pa.array(np.repeat(np.arange(len(rows)), p)))
-                        n = len(rows) * p
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(found.ravel().astype(np.int32)), *out.columns], ["dims", "tab", "axis", *out.schema.names])
+                        if asks and not probes:  # no keys: everything
+                            row, part = np.repeat(np.arange(len(x)), parts), np.tile(np.arange(parts), len(x))
+                            cuts, keys = np.zeros(len(row) + 1, np.int32), np.zeros(0, np.int64)
+                        else:
+                            keys = keys_of(x, t, rotations, probes if asks else 1)
+                            row = np.repeat(np.arange(len(x)), keys.shape[1])
+                            keys = keys.ravel()
+                            part = _part(keys, parts)
+                            order = np.lexsort((keys, part, row))
+                            keys, row, part = keys[order], row[order], part[order]
+                            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+                            cuts, row, part = np.append(first, len(keys)).astype(np.int32), row[first], part[first]
+                        for k in range(0, len(row), 4096):
+                            e = min(k + 4096, len(row))
+                            n, out = e - k, own.take(pa.array(row[k:e]))
+                            told = pa.ListArray.from_arrays(pa.array(cuts[k : e + 1] - cuts[k]), pa.array(keys[cuts[k] : cuts[e]]))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(part[k:e]), told, *out.columns], ["dims", "tab", "part", "keys", *out.schema.names])
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(run, f"dims int, tab int, axis int, {kept}")
+    return vectors.select("number", "vector", "first").mapInArrow(run, f"dims int, tab int, part long, keys array<long>, number long, vector {vectors.schema['vector'].dataType.simpleString()}, first long")
 
 
 def _best(pairs: DataFrame, keep: int) -> DataFrame:
-    """dims, tab, axis, i, j, asks, class, vector, ids -> the ``keep`` best classes of each asking class in each tile."""
+    """dims, tab, part, i, j, asks, keys, number, vector, first (least id) -> the ``keep`` best of each asking vector in each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 5):
@@ -104,26 +158,97 @@ def _best(pairs: DataFrame, keep: int) -> DataFrame:
             q, c = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
             if not len(q) or not len(c):
                 continue
-            x = np.stack(_rows(g.column(7)))
-            unit = x / np.abs(x).max(1, keepdims=True)
-            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-            first = np.array([ids[0] for ids in g.column(8).to_pylist()])
-            near = unit[q] @ unit[c].T
-            some = min(len(c), keep)
-            least = np.partition(near, len(c) - some, axis=1)[:, len(c) - some]
-            # Rounding of the product may change places, and any number may tie: all that come near the last are measured again.
-            a, b = np.nonzero(near >= least[:, None] - MARGIN)
-            a, b = q[a], c[b]
-            score = np.concatenate([cosines(x[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)])
-            order = np.lexsort((first[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            best = np.arange(len(a)) - np.searchsorted(a, a) < some
-            a, b = a[best], b[best]
-            yield pa.RecordBatch.from_arrays([g.column(6).take(pa.array(a)), g.column(6).take(pa.array(b)), pa.array(score[best]), g.column(8).take(pa.array(b))], ["class", "found", "score", "ids"])
-
-    kind = pairs.schema["ids"].dataType.simpleString()
-    sort = ["dims", "tab", "axis", "i", "j"]
-    return pairs.repartition(*sort).sortWithinPartitions(*sort, "asks", "class").mapInArrow(run, f"class binary, found binary, score double, ids {kind}")
+            keys, cuts = g.column(6).flatten().to_numpy(), np.concatenate([[0], np.cumsum(g.column(6).value_lengths().to_numpy())])
+            own = keys[cuts[c]]
+            order = np.argsort(own, kind="stable")
+            c, own = c[order], own[order]
+            x = np.stack(_rows(g.column(8)))
+            unit = _units(x)
+            number, first = g.column(7).to_numpy(), g.column(9).to_numpy()
+            found, near = unit[c], [[], [], []]
+            for a in q.tolist():
+                looked = keys[cuts[a] : cuts[a + 1]]
+                if len(looked):
+                    lo, hi = np.searchsorted(own, looked, "left"), np.searchsorted(own, looked, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                else:
+                    at = np.arange(len(c))
+                if not len(at):
+                    continue
+                score = found[at] @ unit[a]
+                some = min(len(at), keep)
+                # Rounding of the product may change places, and any number may tie: all that come near the last are measured again.
+                close = c[at[score >= np.partition(score, len(at) - some)[len(at) - some] - MARGIN]]
+                exact = np.concatenate([cosines(np.broadcast_to(x[a], (len(part), x.shape[1])), x[part]) for part in np.split(close, range(PAIRS, len(close), PAIRS))])
+                best = np.lexsort((first[close], -exact))[:some]
+                for column, values in zip(near, (np.full(some, number[a]), number[close[best]], exact[best]), strict=True):
+                    column.append(values)
+            if near[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in near], ["asker", "found", "score"])
+
+    sort = ["dims", "tab", "part", "i", "j"]
+    return pairs.repartition(tasks(pairs.sparkSession), *sort).sortWithinPartitions(*sort, "asks", "number").mapInArrow(run, "asker long, found long, score double")
+
+
+def _search(classes: DataFrame, asking: DataFrame, plan: Plan, keep: int) -> DataFrame:
+    """asker, found, score: the ``keep`` best that each asking vector finds in all its tiles."""
+    place = ["dims", "tab", "part"]
+    index = staged(_dealt(classes, plan, False), "index")
+    asked = staged(_dealt(asking, plan, True), "probes")
+    load = index.groupBy(*place).agg(F.ceil(F.count("*") / (2 * TILE)).cast("int").alias("tiles"))
+    load = staged(load.join(asked.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_TILE).cast("int").alias("parts")), place), "load")
+    row = [*place, "i", "j", "asks", "keys", "number", "vector", "first"]
+    no = F.lit(0)
+    left = index.join(load, place).withColumns({"i": F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"), "j": F.explode(F.sequence(no, F.col("parts") - 1)), "asks": no})
+    right = asked.join(load, place).withColumns({"i": F.explode(F.sequence(no, F.col("tiles") - 1)), "j": F.pmod(F.xxhash64("number", F.lit(1)), F.col("parts")).cast("int"), "asks": F.lit(1)})
+    found = _best(left.select(*row).unionByName(right.select(*row)), keep).groupBy("asker", "found").agg(F.max("score").alias("score"))
+    found = staged(found, "found")
+    drop_staged(index, asked, load)
+    release(classes.sparkSession)
+    return found
+
+
+def _plan(classes: DataFrame, k: int, tables: tuple[int, ...], rotations: tuple[int, ...]) -> Plan:
+    """Measured on a sample: for each of the commonest dimensions the cheapest plan that finds TARGET of its true neighbours."""
+    counts = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(PLANNED).collect()}
+    plan = {d: (1, 1, 0, max(1, n // TILE)) for d, n in counts.items()}
+    large = [d for d, n in counts.items() if n > SMALL]
+    sample = classes.where("asks").where(F.size("vector").isin(large)) if large else None
+    if sample is None:
+        return plan
+    rank = F.row_number().over(W.partitionBy(F.size("vector")).orderBy(F.xxhash64("number"), "number"))
+    sample = staged(sample.withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r"), "sample")
+    found = _search(classes, sample, plan, k + 1).where("asker <> found")
+    true = found.withColumn("r", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "found"))).where(F.col("r") <= k)
+    vectors = classes.select("number", "vector")
+    pairs = true.join(vectors.withColumnsRenamed({"number": "asker", "vector": "x"}), "asker").join(vectors.withColumnsRenamed({"number": "found", "vector": "y"}), "found")
+    pairs = pairs.select("x", "y").collect()  # at most SAMPLE * k for each of PLANNED dimensions
+    for d in large:
+        own = [r for r in pairs if len(r["x"]) == d]
+        if not own:
+            continue
+        x, y = (_units(np.array([r[c] for r in own], np.float64)) for c in "xy")
+        n, axes = counts[d], 2 << max(0, d - 1).bit_length()
+        best = (n + _ROW_COST, plan[d])
+        for m in rotations:
+            buckets = axes**m
+            if m > 1 and buckets > 64 * n or buckets > 1 << 62:
+                continue
+            place = np.full((max(tables), len(own)), MOST_PROBES)
+            for t in range(max(tables)):
+                for i in range(0, len(own), 64):
+                    hit = keys_of(x[i : i + 64], t, m, MOST_PROBES) == keys_of(y[i : i + 64], t, m)
+                    place[t, i : i + 64] = np.where(hit.any(1), hit.argmax(1), MOST_PROBES)
+            for t in tables:
+                needed = np.sort(place[:t].min(0))[min(len(own) - 1, int(np.ceil(TARGET * len(own))))]
+                probes = min(int(needed) + 1, buckets)
+                cost = t * (_ROW_COST + probes * max(1.0, n / buckets))
+                if needed < MOST_PROBES and cost < best[0]:
+                    best = (cost, (t, m, probes, max(1, n // TILE)))
+        plan[d] = best[1]
+    drop_staged(sample)
+    return plan
 
 
 def usable(column: str):
@@ -133,8 +258,8 @@ def usable(column: str):
     return F.coalesce(F.col(column).isNotNull() & (F.size(c) > 0) & plain & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for the ``k`` nearest found of each query row, itself left out.
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: tuple[int, ...] = TABLES, rotations: tuple[int, ...] = ROTATIONS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score for the ``k`` nearest found of each query row, itself left out; all candidates, if fewer.
 
     ``is_query``: a condition on the columns. All usable rows are indexed; ties
     in score go to smaller ids. Null, zero and non-finite vectors take no part,
@@ -143,7 +268,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, prob
     empty table. Other columns are not read. Components are taken in double
     precision.
     """
-    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + 0.0).alias("vector"))
+    number = vectors.schema[vector_col].dataType.elementType.simpleString()
+    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.transform(F.col(vector_col), lambda v: v + F.lit(0).cast(number)).alias("vector"))
     rows = rows.withColumn("class", F.unhex(F.md5(F.to_json("vector").cast("binary"))))
     rows = staged(rows, "vectors")
     ids = rows.select("class", "id", "asks").distinct()
@@ -151,21 +277,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, prob
     few = ids.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("r") <= k + 1)
     few = few.groupBy("class").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = rows.groupBy("class").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"))
-    classes = staged(classes.join(few, "class"), "vector-classes")
-    index = _hashed(classes.select("vector", "class", "ids"), tables, 1)
-    asked = _hashed(classes.where("asks").select("vector", "class", "ids"), tables, probes)
-    place = ["dims", "tab", "axis"]
-    index, asked = staged(index, "index"), staged(asked, "probes")
-    load = index.groupBy(*place).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    load = load.join(asked.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_TILE).cast("int").alias("parts")), place)
-    row = ["asks", "class", "vector", "ids"]
-    left = index.join(load, place).withColumns({"i": F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(0)}).select(*place, "i", "j", *row)
-    right = asked.join(load, place).withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "j": F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int"), "asks": F.lit(1)}).select(*place, "i", "j", *row)
-    found = _best(left.unionByName(right), k + 1).groupBy("class", "found").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = W.partitionBy("class").orderBy(F.desc("score"), F.col("ids")[0])
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("class", "score", F.explode("ids").alias("vec_id"))
-    best = W.partitionBy("class").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("class", "score", "vec_id")
-    out = ids.where("asks").select("class", F.col("id").alias("query_id")).join(found, "class").where("query_id <> vec_id")
+    classes = staged(classes.join(few, "class").withColumns({"number": F.monotonically_increasing_id(), "first": F.col("ids")[0].cast("long")}), "vector-classes")  # which pins the numbers
+    found = _search(classes, classes.where("asks"), plan := _plan(classes, k, tables, rotations), k + 1)
+    # What could have more goes on to look at everything.
+    there = classes.groupBy(F.size("vector").alias("d")).agg(F.sum(F.size("ids")).alias("ids"))
+    held = found.join(classes.select(F.col("number").alias("found"), F.size("ids").alias("n")), "found").groupBy("asker").agg(F.sum("n").alias("held"))
+    short = classes.where("asks").join(there.withColumnRenamed("ids", "most"), F.size("vector") == F.col("d")).join(held, F.col("number") == F.col("asker"), "left")
+    short = staged(short.where(F.coalesce("held", F.lit(0)) < F.least(F.col("most"), F.lit(k + 1))).select("number", "vector", "first"), "short")
+    if any(p[2] for p in plan.values()) and not short.isEmpty():
+        everything = {d: (1, 1, 0, p[3]) for d, p in plan.items()}
+        found = found.unionByName(_search(classes, short, everything, k + 1)).groupBy("asker", "found").agg(F.max("score").alias("score"))
+    found = found.join(classes.select(F.col("number").alias("found"), "ids", "first"), "found")
+    best = W.partitionBy("asker").orderBy(F.desc("score"), "first")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("asker", "score", F.explode("ids").alias("vec_id"))
+    best = W.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("asker", "score", "vec_id")
+    asking = ids.where("asks").select("class", F.col("id").alias("query_id")).join(classes.select("class", "number"), "class")
+    out = asking.join(found, F.col("number") == F.col("asker")).where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

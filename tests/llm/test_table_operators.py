@@ -312,7 +312,7 @@ def test_neighbours_of_odd_rows(spark, monkeypatch, tile):
     rows += [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (450, [None] + [1.0] * 7), (None, [1.0] * 8), (403, [1.0, 2.0]), (500, [2.0, 2.0]), rows[50], (600, [2 * x for x in rows[100][1]]), (650, []), (403, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, None) for r in rows], "vec_id long, embedding array<float>, class string").repartition(3)
     got = {}
-    for r in sorted(neighbours.nearest(df, F.col("vec_id") % 50 == 0, probes=16).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
     assert got == {i: n for i, n in plain_neighbours(rows).items() if n}
     assert neighbours.nearest(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
@@ -325,34 +325,66 @@ def test_neighbours_that_tie_go_by_id(spark):
         ones = rng.permutation(16)[:8]
         rows.append((i, [float(k in ones) for k in range(16)]))
     df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<float>").repartition(3)
-    got = neighbours.nearest(df, F.col("vec_id") == 0, tables=2, probes=32).orderBy("rank").collect()
+    got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and len({r["score"] for r in got}) == 1
 
 
-def test_neighbour_query_recall(spark):
-    folder = "/root/testdata/sf0.1"
-    got = {}
-    for r in Q.op7_nearest_neighbours(spark, folder).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+def recall(rows, got, k=5):
+    """rows: ids and vectors. Share of the true neighbours of the queries in ``got``; each query has as many rows as it can."""
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
         near = x @ x[q]
         near[q] = -2
-        want = set(ids[np.argsort(-near)[:5]].tolist())
-        hits, total = hits + len(want & got[ids[q]]), total + 5
-    assert hits / total >= 0.9
+        want = set(ids[np.argsort(-near)[: min(k, len(ids) - 1)]].tolist())
+        assert len(got[ids[q]]) == min(k, len(ids) - 1)
+        hits, total = hits + len(want & got[ids[q]]), total + len(want)
+    return hits / total
+
+
+def found(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return got
+
+
+def test_neighbour_query_recall(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert recall(rows, found(Q.op7_nearest_neighbours(spark, folder))) >= 0.9
+
+
+@pytest.mark.parametrize(("n", "dims", "spread"), [(8, 64, 1), (8, 512, 1), (60, 512, 1), (3000, 256, 0.05), (3000, 768, 0.03), (4000, 256, 1)])
+def test_recall_in_any_dimension(spark, n, dims, spread):
+    rng = np.random.default_rng(n + dims)
+    centres = rng.normal(size=(max(1, n // 30), dims)) / np.sqrt(dims)
+    x = (centres[rng.integers(0, len(centres), n)] * (spread < 1) + spread * rng.normal(size=(n, dims))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert recall(rows, found(neighbours.nearest(df, F.col("vec_id") % 50 == 0))) >= 0.9
+
+
+def test_structured_vectors_are_found_by_few_looks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 6000)] + 0.2 * rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, i, v.tolist(), i % 50 == 0) for i, v in enumerate(x)], "number long, first long, vector array<double>, asks boolean")
+    tables, rotations, probes, _ = neighbours._plan(df, 5, neighbours.TABLES, neighbours.ROTATIONS)[64]
+    assert probes and tables * probes < 0.1 * 128**rotations
 
 
-def test_rotations_keep_lengths_and_hashes_are_the_nearest_axes():
+def test_rotations_keep_lengths_and_keys_are_the_nearest_axes():
     x = np.random.default_rng(2).normal(size=(50, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = neighbours.rotate(x, 3)
+    y = neighbours.rotate(x, 9)
     assert np.allclose(np.linalg.norm(y, axis=1), 1) and np.allclose(y @ y.T, x @ x.T)
-    best = neighbours.axes(x, 3, 2)
-    assert (best[:, 0] // 2 == np.abs(y).argmax(1)).all() and ((best[:, 0] % 2 == 1) == (y[np.arange(50), best[:, 0] // 2] > 0)).all()
+    one = neighbours.keys_of(x, 3, 1, 4)
+    assert (one[:, 0] // 2 == np.abs(y).argmax(1)).all() and ((one[:, 0] % 2 == 1) == (y[np.arange(50), one[:, 0] // 2] > 0)).all()
+    ends = [neighbours._both_ends(x, 9), neighbours._both_ends(x, 10)]
+    for row, keys in enumerate(neighbours.keys_of(x, 3, 2, 10)):
+        total = (ends[0][row][:, None] + ends[1][row][None, :]).ravel()
+        assert keys.tolist() == sorted(range(len(total)), key=lambda k: (-total[k], k))[:10]
 
 
 def test_pipeline_stages(spark, data, tokenizer):
