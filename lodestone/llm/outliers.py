@@ -1,15 +1,23 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
 The statistics of every document that passes the base rules are transformed to
-a short vector. For each language and source, centre and covariance are those
-of the half of the documents that lie closest together (minimum covariance
-determinant), found by concentration steps: distances to the present estimate,
-the share SUPPORT of documents nearest to it, their mean and covariance, and so
-on. Each step is two small aggregations; the nearest documents are found by a
-histogram of distances, so no group is ever gathered. The rows of the step in
-which the share is reached count in part, so that they add up to the share and
-a group of copies never enters beyond it. Documents whose squared Mahalanobis
-distance is beyond CUTOFF are rejected.
+a short vector. For each language and source, for each language, and for all
+together, centre and covariance are those of the half of the documents that has
+the least determinant of its covariance (minimum covariance determinant).
+Concentration steps look for it: distances to the present estimate, the share
+SUPPORT of documents nearest to it, their mean and covariance, and so on. Each
+group begins from three estimates (median and floors, median and the spread of
+the middle, mean and covariance of all); after TRIED steps the one of least
+determinant goes on until its determinant stays. Each step is two small
+aggregations; the nearest documents are found by a histogram of distances, so
+no group is ever gathered. The rows of the step in which the share is reached
+count in part, so that they add up to the share and a group of copies never
+enters beyond it.
+
+A group of n documents weighs n / (n + SHRINK) in its own estimate; the rest is
+its language's, and a language's likewise that of all documents. Documents
+whose squared Mahalanobis distance from the estimate of their language and
+source is beyond CUTOFF are rejected.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import statistics
-from .staging import staged
+from .staging import drop_staged, named, staged
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The vector, and the least standard deviation of each part: below it,
@@ -33,13 +41,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: CUTOFF by itself; of root_repeats, the base rules have taken what is far.
 PARTS = {"log_word": 0.10, "root_symbols": 0.05, "root_dup_lines": 0.12, "root_repeats": 0.10}
 SUPPORT = 0.5
-STEPS = 4
+#: Steps of all starts, and of the best at most; it ends when no logarithm of a determinant changes by more than STABLE.
+TRIED, MOST_STEPS, STABLE = 2, 10, 1e-3
 #: chi-square with four degrees of freedom: one in 10^9 documents that follow the estimate lies beyond.
 CUTOFF = 47.0
 #: The factor that makes the covariance of the nearest SUPPORT of normal vectors in four dimensions that of all.
 CONSISTENT = 1.0 / 0.4741
-#: A language and source with fewer documents is judged with the other small ones of its language; those with all small ones.
-FEWEST = 60
+#: A group of so many documents counts for half in its own estimate.
+SHRINK = 60
+#: And its correlations for half, so that no few rows have a covariance without an inverse.
+FEW = 2
 #: Steps of the distance histogram to a doubling of 1 + distance.
 FINE = 32
 
@@ -55,7 +66,7 @@ def base_statistics(docs: DataFrame, id_col: str, text_col: str, carry: tuple[st
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in rest), *(pa.array(s[n].astype(np.int64)) for n in names)], ["id", *carried, *names])
 
     carried = [f"c{k}" for k in range(len(carry))]
-    source = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(k) for c, k in zip(carry, carried, strict=True)), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), *(named(c).alias(k) for c, k in zip(carry, carried, strict=True)), F.col(text_col).alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1])
     return source.mapInArrow(run, ", ".join([kept, *(f"{n} long" for n in names)]))
 
@@ -70,78 +81,131 @@ def vector() -> list[Column]:
     ]
 
 
-def _grouped(passing: DataFrame) -> DataFrame:
-    """Adds ``grp``: the language and source, or what small ones are put together in."""
-    own = passing.groupBy("c0", "c1").agg(F.count("*").alias("n"))
-    rest = own.where(f"n < {FEWEST}").groupBy("c0").agg(F.sum("n").alias("m"))
-    own = own.withColumnRenamed("c0", "l").withColumnRenamed("c1", "s")
-    rest = rest.withColumnRenamed("c0", "l2")
-    own = own.join(rest, own["l"].eqNullSafe(rest["l2"]), "left")
-    name = F.when(F.col("n") >= FEWEST, F.to_json(F.struct("l", "s"))).when(F.col("m") >= FEWEST, F.to_json(F.struct("l"))).otherwise(F.lit("rest"))
-    own = staged(own.select("l", "s", F.concat(F.when(F.col("n") >= FEWEST, "2").otherwise("1"), name).alias("grp")), "groups")
-    return passing.join(own, passing["c0"].eqNullSafe(own["l"]) & passing["c1"].eqNullSafe(own["s"])).drop("l", "s")
+_P = tuple(PARTS)
+_K = len(_P)
+_CROSS = [(i, j) for i in range(_K) for j in range(i, _K)]
+_FLOORS = np.array(list(PARTS.values())) ** 2
+_ESTIMATE = "grp string, start int, n double, mean array<double>, cov array<double>, inverse array<double>, logdet double"
 
 
-_P = tuple(PARTS)
-_CROSS = [(i, j) for i in range(len(_P)) for j in range(i, len(_P))]
+def _told(grp: str, start: int, n: float, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    return grp, start, n, mean.round(12).tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().round(9).tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def floored(cov: np.ndarray, n: float) -> np.ndarray:
+    """Added to the diagonal only as far as a part lacks it; correlations of parts at their floor go, and those of few (n) rows count less."""
+    own = np.maximum(np.diag(cov), 0)
+    scale = np.sqrt(np.minimum(1.0, own / _FLOORS))
+    cov = cov * np.outer(scale, scale) * (n / (n + FEW))
+    np.fill_diagonal(cov, np.maximum(own, _FLOORS))
+    return cov
 
 
-def _moments(rows: DataFrame, weight: str = "1.0D") -> DataFrame:
-    """grp, mean (array), inverse (array, row by row) of the covariance with its floors; rows count by ``weight``."""
+def _moments(rows: DataFrame, weight: str = "1.0D", factor: float = CONSISTENT) -> DataFrame:
+    """The estimate of each group and start from its rows, which count by ``weight``."""
     w = F.expr(weight)
     sums = [F.sum(w * F.col(p)).alias(p) for p in _P] + [F.sum(w * F.col(_P[i]) * F.col(_P[j])).alias(f"x{i}{j}") for i, j in _CROSS]
-    least = np.array(list(PARTS.values())) ** 2
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.to_dict("records"):
                 mean = np.array([r[p] for p in _P]) / r["n"]
-                cov = np.zeros((len(_P), len(_P)))
+                cov = np.zeros((_K, _K))
                 for i, j in _CROSS:
                     cov[i, j] = cov[j, i] = r[f"x{i}{j}"] / r["n"] - mean[i] * mean[j]
-                cov *= CONSISTENT
-                # Added to the diagonal only as far as a part lacks it; correlations of parts at their floor go.
-                own = np.maximum(np.diag(cov), 0)
-                scale = np.sqrt(np.minimum(1.0, own / least))
-                cov = cov * np.outer(scale, scale)
-                np.fill_diagonal(cov, np.maximum(own, least))
-                out.append((r["grp"], mean.round(12).tolist(), np.linalg.inv(cov).ravel().round(9).tolist()))
-            yield pd.DataFrame(out, columns=["grp", "mean", "inverse"])
+                out.append(_told(r["grp"], r["start"], r["n"], mean, floored(cov * factor, r["n"])))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _ESTIMATE.split(", ")])
 
-    return rows.groupBy("grp").agg(F.sum(w).alias("n"), *sums).mapInPandas(solve, "grp string, mean array<double>, inverse array<double>")
+    return rows.groupBy("grp", "start").agg(F.sum(w).alias("n"), *sums).mapInPandas(solve, _ESTIMATE)
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """The start: the median of each part (to a hundredth), and the floors as scales."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """0: medians (to a hundredth) and the floors; 1: medians and half the width of the middle two thirds; 2: mean and covariance of all."""
     parts = F.posexplode(F.array(*(F.round(F.col(p) * 100).cast("int") for p in _P))).alias("part", "bin")
     bins = rows.select("grp", parts).groupBy("grp", "part", "bin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("grp", "part").orderBy("bin"))
     total = F.sum("n").over(W.partitionBy("grp", "part"))
-    half = bins.select("grp", "part", "bin", (upto * 2 >= total).alias("over")).where("over").groupBy("grp", "part").agg((F.min("bin") / 100.0).alias("m"))
-    inverse = np.diag(1 / np.array(list(PARTS.values())) ** 2).ravel().tolist()
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("part", "m"))), lambda x: x["m"])  # one entry for each part
-    return half.groupBy("grp").agg(mean.alias("mean")).withColumn("inverse", F.array(*map(F.lit, inverse)))
+    reached = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("bin") / 100.0))
+    parts = bins.select("grp", "part", "bin", upto.alias("upto"), total.alias("total")).groupBy("grp", "part").agg(F.max("total").alias("n"), reached(0.16).alias("low"), reached(0.5).alias("m"), reached(0.84).alias("high"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                told = sorted(r["parts"], key=lambda x: x["part"])
+                middle = np.array([x["m"] for x in told])
+                spread = np.array([(x["high"] - x["low"]) / 2 for x in told])
+                out += [_told(r["grp"], 0, r["n"], middle, np.diag(_FLOORS)), _told(r["grp"], 1, r["n"], middle, np.diag(np.maximum(spread**2, _FLOORS)))]
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _ESTIMATE.split(", ")])
+
+    medians = parts.groupBy("grp").agg(F.max("n").cast("double").alias("n"), F.collect_list(F.struct("part", "low", "m", "high")).alias("parts"))  # an entry for each part
+    return medians.mapInPandas(solve, _ESTIMATE).unionByName(_moments(rows.withColumn("start", F.lit(2)), factor=1.0))
 
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Rows with their squared distance from each estimate of their group."""
     d = [F.col(p) - F.col("mean")[i] for i, p in enumerate(_P)]
-    k = len(_P)
-    square = sum((d[i] * d[j] * F.col("inverse")[i * k + j] * (1 if i == j else 2) for i, j in _CROSS), F.lit(0.0))
-    return rows.join(estimate, "grp").withColumn("distance", F.greatest(square, F.lit(0.0))).drop("mean", "inverse")
+    square = sum((d[i] * d[j] * F.col("inverse")[i * _K + j] * (1 if i == j else 2) for i, j in _CROSS), F.lit(0.0))
+    return rows.join(estimate.select("grp", "start", "mean", "inverse"), "grp").withColumn("distance", F.greatest(square, F.lit(0.0))).drop("mean", "inverse")
 
 
 def _nearest(measured: DataFrame) -> DataFrame:
     """The rows up to the histogram step in which the share SUPPORT of their group is reached, with their ``weight``: in that step the part of it that is needed, 1 before."""
+    key = ["grp", "start"]
     measured = measured.withColumn("step", F.floor(F.log2(F.col("distance") + 1) * FINE).cast("int"))
-    steps = measured.groupBy("grp", "step").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    needed = F.sum("n").over(W.partitionBy("grp")) * SUPPORT - before
-    steps = steps.select("grp", "step", (needed / F.col("n")).alias("part")).where("part > 0")
+    steps = measured.groupBy(*key, "step").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    needed = F.sum("n").over(W.partitionBy(*key)) * SUPPORT - before
+    steps = steps.select(*key, "step", (needed / F.col("n")).alias("part")).where("part > 0")
     # Written, so that Spark knows its size, and can split a hot group where it is too large to broadcast.
-    edge = staged(steps.groupBy("grp").agg(F.max("step").alias("edge"), F.least(F.lit(1.0), F.max_by("part", "step")).alias("part")), "edge")
+    edge = staged(steps.groupBy(*key).agg(F.max("step").alias("edge"), F.least(F.lit(1.0), F.max_by("part", "step")).alias("part")), "edge")
     weight = F.when(F.col("step") < F.col("edge"), 1.0).otherwise(F.col("part"))
-    return measured.join(edge, "grp").where("step <= edge").withColumn("weight", weight).drop("edge", "part", "step")
+    return measured.join(edge, key).where("step <= edge").withColumn("weight", weight).drop("edge", "part", "step")
+
+
+def _concentrated(rows: DataFrame) -> DataFrame:
+    """grp, mean, cov of the least determinant that the steps find for each group."""
+    estimate = staged(_starts(rows), "estimate")
+    changes = None
+    for turn in range(TRIED + MOST_STEPS):
+        before = estimate
+        if turn == TRIED:
+            best = estimate.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+            estimate = estimate.join(best, ["grp", "start"])
+        estimate = staged(_moments(_nearest(_measured(rows, estimate)), "weight"), "estimate")
+        if turn >= TRIED:
+            was = before.select("grp", "start", F.col("logdet").alias("was"))
+            changes = estimate.join(was, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was"))).alias("m")).collect()[0]["m"]
+        drop_staged(before)
+        if changes is not None and changes <= STABLE:
+            break
+    return estimate
+
+
+def shrunk(n: float, mean: np.ndarray, cov: np.ndarray, to_mean: np.ndarray, to_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group of n documents and of what it belongs to, by its weight."""
+    w = n / (n + SHRINK)
+    return w * mean + (1 - w) * to_mean, w * cov + (1 - w) * to_cov
+
+
+def _final(estimate: DataFrame, groups: DataFrame) -> DataFrame:
+    """grp, start, mean, inverse for each language and source; groups: all_grp, lang_grp, grp, n and lang_n (documents)."""
+    e = estimate.select("grp", "mean", "cov")
+    rows = groups
+    for k, name in enumerate(("all_grp", "lang_grp", "grp")):
+        rows = rows.join(e.select(F.col("grp").alias(f"g{k}"), F.col("mean").alias(f"mean{k}"), F.col("cov").alias(f"cov{k}")), F.col(name) == F.col(f"g{k}")).drop(f"g{k}")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                (m0, c0), (m1, c1), (m2, c2) = ((np.array(r[f"mean{k}"]), np.array(r[f"cov{k}"]).reshape(_K, _K)) for k in range(3))
+                mean, cov = shrunk(r["n"], m2, c2, *shrunk(r["lang_n"], m1, c1, m0, c0))
+                out.append((r["grp"], 0, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["grp", "start", "mean", "inverse"])
+
+    return rows.mapInPandas(solve, "grp string, start int, mean array<double>, inverse array<double>")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -157,13 +221,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = staged(base_statistics(docs, id_col, text_col, (lang_col, source_col, *carry)), "document-statistics")
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     rows = rows.withColumn("base_failed", failed)
-    passing = staged(_grouped(rows.where("NOT base_failed").select("id", "c0", "c1", *(c for c in rows.columns if c.startswith("c") and c[1:].isdigit() and c not in ("c0", "c1")), *BASE, *vector())), "document-vectors")
-    # The steps need the vectors alone.
-    vectors = passing.select("grp", *_P)
-    estimate = staged(_medians(vectors), "estimate")
-    for _ in range(STEPS):
-        estimate = staged(_moments(_nearest(_measured(vectors, estimate)), "weight"), "estimate")
-    carried = [f"c{k + 2}" for k in range(len(carry))]
-    good = _measured(passing, estimate).select("id", *carried, *BASE, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= CUTOFF).alias("kept"))
-    bad = rows.where("base_failed").select("id", *carried, *BASE, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    others = [f"c{k + 2}" for k in range(len(carry))]
+    names = {"all_grp": F.lit("all"), "lang_grp": F.to_json(F.struct(F.col("c0").alias("l"))), "grp": F.concat(F.lit("s"), F.to_json(F.struct(F.col("c0").alias("l"), F.col("c1").alias("s"))))}
+    passing = staged(rows.where("NOT base_failed").select("id", *others, *BASE, *vector(), *(c.alias(n) for n, c in names.items())), "document-vectors")
+    # The steps need the vectors alone, in each of their three groups.
+    vectors = passing.select(F.explode(F.array(*names)).alias("grp"), *_P)
+    groups = staged(passing.groupBy(*names).agg(F.count("*").alias("n")), "groups")
+    groups = groups.withColumn("lang_n", F.sum("n").over(W.partitionBy("lang_grp")))  # a row for each language and source
+    estimate = staged(_final(_concentrated(vectors), groups), "estimate")
+    good = _measured(passing, estimate).select("id", *others, *BASE, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= CUTOFF).alias("kept"))
+    bad = rows.where("base_failed").select("id", *others, *BASE, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return good.unionByName(bad).withColumnRenamed("id", id_col)

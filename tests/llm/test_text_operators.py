@@ -86,7 +86,7 @@ def test_repeated_lines_alone_make_an_outlier(spark):
 
 
 def test_the_nearest_rows_weigh_the_share_together(spark):
-    df = spark.createDataFrame([("g", 0.0)] * 30 + [("g", 5.0)] * 60 + [("g", 90.0)] * 10 + [("h", 1.0)] * 7, "grp string, distance double")
+    df = spark.createDataFrame([("g", 0, 0.0)] * 30 + [("g", 0, 5.0)] * 60 + [("g", 0, 90.0)] * 10 + [("h", 1, 1.0)] * 7, "grp string, start int, distance double")
     near = outliers._nearest(df).groupBy("grp", "distance").agg(F.sum("weight").alias("w")).collect()
     assert sorted((r["grp"], r["distance"], round(r["w"], 9)) for r in near) == [("g", 0.0, 30.0), ("g", 5.0, 20.0), ("h", 1.0, 3.5)]
 
@@ -94,9 +94,25 @@ def test_the_nearest_rows_weigh_the_share_together(spark):
 def test_outlier_moments_are_those_of_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) * [1, 2, 3, 4] + [5, 0, 1, 2]
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{p} double" for p in outliers.PARTS))
+    df = spark.createDataFrame([("g", 0, *map(float, r)) for r in x], "grp string, start int, " + ", ".join(f"{p} double" for p in outliers.PARTS))
     r = outliers._moments(df).collect()[0]
-    assert np.allclose(r["mean"], x.mean(0)) and np.allclose(np.linalg.inv(np.cov(x.T, bias=True) * outliers.CONSISTENT).ravel(), r["inverse"], atol=1e-8)
+    cov = np.cov(x.T, bias=True) * outliers.CONSISTENT
+    cov = np.where(np.eye(4) > 0, cov, cov * 400 / (400 + outliers.FEW))
+    assert np.allclose(r["mean"], x.mean(0)) and np.allclose(np.linalg.inv(cov).ravel(), r["inverse"], atol=1e-8) and np.isclose(r["logdet"], np.linalg.slogdet(cov)[1])
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_verdicts_are_those_of_plain_steps(spark, folder):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").collect()]
+    want = brute.verdicts(rows, list(outliers.PARTS.values()), outliers.CUTOFF, outliers.CONSISTENT, outliers.SHRINK, outliers.FEW)
+    got = {r["doc_id"]: r for r in Q.op2_quality_rules(spark, f"/root/testdata/{folder}").collect()}
+    near = 0
+    for k, (i, *_) in enumerate(rows):
+        kept, distance = want[k]
+        if distance is None or not 0.8 < distance / outliers.CUTOFF < 1.25:
+            assert got[i]["kept"] == kept, (i, distance, got[i]["distance"])
+        near += distance is not None and abs(got[i]["distance"] - distance) <= 0.25 * distance + 0.5
+    assert near > 0.95 * sum(d is not None for _, d in want.values())
 
 
 def test_quality_scores(spark, data):
