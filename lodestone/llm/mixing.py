@@ -20,8 +20,10 @@ from .staging import staged, whole_row
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-#: Stretches of each source's queue, and of the virtual time, that are summed before rows are sorted.
+#: Stretches of the virtual time that are summed, twice, before rows are sorted.
 STRETCHES = 4096
+#: Documents that a stretch of a source's queue has at most on average; the number of stretches follows.
+STRETCH_ROWS = 1 << 16
 
 
 def words_in(text: Column) -> Column:
@@ -50,8 +52,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Each document with its source's size and target, and ``upto``: the words of its source up to and with it."""
     sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("shuffled"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
-    sized = sized.withColumn("stretch", F.coalesce(F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int"), F.lit(0)))
     sized = staged(sized, "mix-sizes")
+    digits = 3
+    while sized.count() > STRETCH_ROWS << 4 * digits:
+        digits += 1
+    sized = sized.withColumn("stretch", F.coalesce(F.conv(F.substring("shuffled", 1, digits), 16, 10).cast("long"), F.lit(0)))
     # Two steps of sums: a hot source is spread over its stretches first.
     by_stretch = sized.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
