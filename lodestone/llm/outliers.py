@@ -172,7 +172,7 @@ def _concentrated(rows: DataFrame) -> DataFrame:
         before = estimate
         if turn == TRIED:
             best = estimate.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-            estimate = estimate.join(best, ["grp", "start"])
+            estimate = staged(estimate.join(best, ["grp", "start"]), "best-start")
         estimate = staged(_moments(_nearest(_measured(rows, estimate)), "weight"), "estimate")
         if turn >= TRIED:
             was = before.select("grp", "start", F.col("logdet").alias("was"))
