@@ -60,6 +60,12 @@ def by_precedence(sources: list[DataFrame], key: str) -> DataFrame:
     return out
 
 
+def first_origin(rows: DataFrame, key: str, origin: str) -> DataFrame:
+    """As by_precedence, for sources that are in one table, however many: the rows of each key's first origin."""
+    first = rows.groupBy(key).agg(F.min(origin).alias("first"))  # combined before it is shuffled
+    return rows.join(first, key).where(F.col(origin) == F.col("first")).drop("first")
+
+
 def not_done(jobs: DataFrame, done: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """Jobs without a result, or with an empty one."""
     return jobs.join(done.where(F.coalesce(F.col(text), F.lit("")) != "").select(key), key, "left_anti")

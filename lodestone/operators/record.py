@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.parsers import parse_record
+from ..sources import versions
 from .route import personal_data, too_long
 
 
@@ -31,49 +30,29 @@ def checked(records: DataFrame, faq: DataFrame, roster_names: list[str] = (), bo
 def add_entry(spark: SparkSession, folder: str, question: str, answer: str) -> int:
     """Appends one entry to the FAQ table in ``folder`` and returns its pos.
 
-    A version is a folder; ``current`` names the one in force. The new version
-    is written aside and read back; only if the entry is found does the pointer
-    move, by a rename. A refused or failed write leaves the table as it was. A
-    missing table is an error.
+    The new version is written aside and read back; only if the entry is found
+    does the pointer move (see sources.versions). A refused or failed write
+    leaves the table as it was. A missing table is an error.
     """
-    now = current(spark, folder)
-    old = spark.read.parquet(f"{folder}/{now}")
+    old = read(spark, folder)
     pos = (old.agg(F.max("pos")).collect()[0][0] or 0) + 1
     new = old.unionByName(spark.createDataFrame([(pos, question, answer)], old.select("pos", "question", "answer").schema))
-    version = f"v-{uuid.uuid4().hex}"
-    new.write.parquet(f"{folder}/{version}")
-    entry = spark.read.parquet(f"{folder}/{version}").where((F.col("question") == question) & (F.col("answer") == answer))
+    version = versions.new_version(folder)
+    new.write.parquet(version)
+    entry = spark.read.parquet(version).where((F.col("question") == question) & (F.col("answer") == answer))
     if entry.isEmpty():
         raise OSError("the entry was not found after writing; nothing was changed")
-    point(spark, folder, version)
+    versions.publish(spark, folder, version)
     return pos
 
 
 def create(entries: DataFrame, folder: str) -> None:
     """A first version. entries: pos, question, answer."""
-    version = f"v-{uuid.uuid4().hex}"
-    entries.select("pos", "question", "answer").write.parquet(f"{folder}/{version}")
-    point(entries.sparkSession, folder, version)
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def current(spark: SparkSession, folder: str) -> str:
-    return spark.read.text(f"{folder}/current").collect()[0][0]
-
-
-def point(spark: SparkSession, folder: str, version: str) -> None:
-    aside = f"{folder}/current-{uuid.uuid4().hex}"
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(aside)
-    fs, target = _fs(spark, f"{folder}/current")
-    if fs.exists(target):
-        fs.rename(target, _fs(spark, f"{folder}/before-{version}")[1])
-    fs.rename(_fs(spark, aside)[1], target)
+    version = versions.new_version(folder)
+    entries.select("pos", "question", "answer").write.parquet(version)
+    versions.publish(entries.sparkSession, folder, version)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of the version in force, read anew each time."""
-    return spark.read.parquet(f"{folder}/{current(spark, folder)}")
+    return spark.read.parquet(versions.in_force(spark, folder))

@@ -18,6 +18,7 @@ from ..functions import parsers
 from ..functions import text as T
 from ..functions.tokenize import content, words
 from ..operators import assemble, bm25, chunk, evaluate, graph, layout, mine, registry, route, validity
+from ..runtime import kept
 from ..sources import html
 from ..streaming import messages
 
@@ -77,7 +78,7 @@ best AS (SELECT * FROM ranked WHERE rank <= {k} AND score > 0){extra}"""
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(table(spark, sf_dir, "documents"), "doc_id", words("text"))
+    return bm25.stored(table(spark, sf_dir, "documents"), "doc_id", words("text"), "documents")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,10 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_index(spark, sf_dir).postings.select(F.col("id").alias("doc_id"), "term", "tf")
 
 
-@query(f"WITH {_INDEX}, {_LUCENE} SELECT term, df, ROUND(idf, 6) AS idf FROM terms JOIN idf USING (term)")
+@query(f"""
+WITH held AS (SELECT list_distinct(w) AS own, len(w) AS dl FROM (SELECT {_WORDS.format("text")} AS w FROM documents)),
+terms AS (SELECT term, COUNT(*) AS df FROM (SELECT UNNEST(own) AS term FROM held) GROUP BY term)
+SELECT term, df, ROUND(LN(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, (SELECT COUNT(*) AS n FROM held)""")
 def doc_freq_idf_lucene(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = document_index(spark, sf_dir)
     return bm25.idf_lucene(index.terms, index.corpus).withColumn("idf", F.round("idf", 6))
@@ -138,8 +142,12 @@ _CHUNK_INDEX = _INDEX.replace("doc_id AS id", "doc_id * 100000 + chunk_no AS id"
 @query(f"WITH RECURSIVE {_CHUNKS}, {_CHUNK_INDEX}, {_LUCENE}, {_scored('SELECT item_id AS q, text FROM benchmark', 5)} SELECT q AS item_id, id // 100000 AS doc_id, CAST(id % 100000 AS INTEGER) AS chunk_no, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, c.text FROM best JOIN chunks c ON c.doc_id = id // 100000 AND c.chunk_no = id % 100000")
 def bm25_topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunk_documents(spark, sf_dir).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
-    found = bm25.search(bm25.build(parts, "id", words("text")), benchmark_queries(spark, sf_dir), "q", words("text"), 5)
-    # Texts are fetched for the best only.
+    index = bm25.stored(parts, "id", words("text"), "chunks")
+    found = kept(bm25.search(index, benchmark_queries(spark, sf_dir), "q", words("text"), 5))
+    # Only documents that hold one of the best are cut again.
+    hit = found.select(F.expr("id div 100000").alias("doc_id")).distinct()
+    docs = table(spark, sf_dir, "documents").join(hit, "doc_id", "left_semi")
+    parts = chunk.chunks(docs, "doc_id", "text", ends=_ENDS).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
     found = found.join(parts.select("id", "doc_id", "chunk_no", "text"), "id")
     return found.select(F.col("q").alias("item_id"), "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"), "text")
 
@@ -272,14 +280,14 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE lpad(CAST(o_custkey AS VARCHAR), 8, '0') END AS student_id, o_orderkey % 5 + 1 AS hw FROM orders),
-r AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, c_mktsegment AS listed FROM customer WHERE c_custkey % 7 <> 0)
+r AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, c_mktsegment AS listed FROM customer)
 SELECT o_orderkey, student_id, listed AS name, '第 ' || hw || ' 次' AS homework, CASE WHEN student_id IS NULL THEN '缺学号' WHEN listed IS NULL THEN '学号不在名单' ELSE 'OK' END AS status
 FROM m LEFT JOIN r ON id = student_id""")
 def roster_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     number = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.lpad(F.col("o_custkey").cast("string"), 8, "0"))
     sent = o.select("o_orderkey", F.concat(F.lit("late "), number, F.lit(" hw "), (F.col("o_orderkey") % 5 + 1).cast("string")).alias("text"))
-    roster = c.where("c_custkey % 7 <> 0").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("student_id"), F.col("c_mktsegment").alias("name"))
+    roster = c.select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("student_id"), F.col("c_mktsegment").alias("name"))
     return registry.extracted(sent, roster).select("o_orderkey", "student_id", "name", "homework", "status")
 
 
@@ -309,8 +317,8 @@ _NORMAL = r"""lower(regexp_replace(text, '[\s,，。.、!！?？;；:：''"“
 
 @query(f"SELECT doc_id, MIN(doc_id) OVER (PARTITION BY {_NORMAL}) AS first_id FROM documents")
 def normalize_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A hash stands for the text, so texts are not shuffled; ids are combined before they are.
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normal_question("text").cast("binary"), 256).alias("normal"))
+    # A hash stands for the text, so texts are not shuffled, and it is taken once; ids are combined before they are.
+    docs = kept(table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.sha2(T.normal_question("text").cast("binary"), 256)).alias("normal")))
     first = docs.groupBy("normal").agg(F.min("doc_id").alias("first_id"))
     return docs.join(first, "normal").select("doc_id", "first_id")
 
@@ -394,16 +402,28 @@ _SETS = f"sets AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter
 
 @query(f"""
 WITH {_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM sets a JOIN sets b ON a.id < b.id AND len(a.s) > 0 AND len(b.s) > 0)
-SELECT a, b, ROUND(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.15""")
+SELECT a, b, ROUND(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.5""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), content(words("text"), _STOP).alias("content"))
-    return mine.similar_pairs(t, "id", "content", 0.15).withColumn("similarity", F.round("similarity", 6))
+    return mine.similar_pairs(t, "id", "content", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SETS.replace("SELECT conv_id", "SELECT text, conv_id")},
+texts AS (SELECT text, ANY_VALUE(s) AS s, COUNT(*) AS times FROM sets GROUP BY text),
+ranked AS (SELECT text, s, ROW_NUMBER() OVER (ORDER BY times DESC, text) AS k FROM texts),
+near AS (SELECT b.k AS b, LIST(a.k ORDER BY a.k) AS earlier FROM ranked a JOIN ranked b ON a.k < b.k AND len(a.s) > 0 AND len(b.s) > 0
+  WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.5 GROUP BY b.k),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS led, CAST(0 AS BIGINT) AS leader
+  UNION ALL
+  SELECT k, CASE WHEN g IS NULL THEN list_append(led, k) ELSE led END, COALESCE(g, k)
+  FROM (SELECT r.k, f.led, list_filter(n.earlier, lambda x: list_contains(f.led, x))[1] AS g FROM fold f JOIN ranked r ON r.k = f.k + 1 LEFT JOIN near n ON n.b = r.k))
+SELECT s.id, md5(l.text || CASE WHEN len(s.s) = 0 THEN chr(0) || s.id ELSE '' END) AS grp
+FROM sets s JOIN ranked r ON r.text = s.text JOIN fold f ON f.k = r.k JOIN ranked l ON l.k = f.leader""")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return mine.groups(t, "id", "text", content(words("text"), _STOP), 0.15).select("id", F.md5(F.col("grp").cast("binary")).alias("grp"))
+    return mine.groups(t, "id", "text", content(words("text"), _STOP), 0.5).select("id", F.md5(F.col("grp").cast("binary")).alias("grp"))
 
 
 # Evaluation ---------------------------------------------------------------
@@ -436,14 +456,13 @@ f_best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY R
 f_rel AS (SELECT q, rank, contains(d.text, b.text) AS relevant, d.lang <> 'en' AS foreign_, d.source = 'src3' AS forbidden FROM f_best JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = q),
 floored_cases AS (SELECT item_id AS q, CAST(MIN(CASE WHEN relevant THEN rank END) AS INTEGER) AS first_rank, COUNT(*) FILTER (foreign_) AS n_foreign, COUNT(*) FILTER (forbidden) AS n_forbidden FROM benchmark LEFT JOIN f_rel ON q = item_id GROUP BY item_id),
 pair AS (SELECT COALESCE(n.q, o.q) AS q, n.q AS nq, o.q AS oq, o.first_rank AS old_rank, n.first_rank, COALESCE(n.first_rank, 1 << 30) AS r, COALESCE(o.first_rank, 1 << 30) AS was, n.n_foreign AS nf, o.n_foreign AS of_, n.n_forbidden AS nb, o.n_forbidden AS ob
-  FROM (SELECT * FROM lucene_cases WHERE q % 10 <> 1) n FULL JOIN (SELECT * FROM floored_cases WHERE q % 10 <> 2) o ON n.q = o.q)
+  FROM lucene_cases n FULL JOIN floored_cases o ON n.q = o.q)
 SELECT q, old_rank, first_rank, CASE WHEN oq IS NULL THEN 'new' WHEN nq IS NULL THEN 'missing' WHEN r > was OR nf > of_ OR (nb > 0 AND ob = 0) THEN 'worse' WHEN r <> was THEN 'changed' ELSE 'same' END AS change FROM pair"""
 
 
 @query(_DIFF)
 def eval_regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The two runs differ in the cases they have, so that new and missing ones occur.
-    now, before = _cases(spark, sf_dir, "lucene").where("q % 10 <> 1"), _cases(spark, sf_dir, "floored").where("q % 10 <> 2")
+    now, before = _cases(spark, sf_dir, "lucene"), _cases(spark, sf_dir, "floored")
     return evaluate.compared(now, before, "q")
 
 
@@ -459,44 +478,46 @@ def corpus_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT source, md5(left(text, 20)) AS key, MIN(doc_id) AS doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY ALL)
-SELECT key, doc_id, CAST(CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS INTEGER) AS origin FROM f a
-WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.key = a.key AND b.source < a.source)""")
+WITH r AS (SELECT md5(text) AS key, doc_id, CAST(dense_rank() OVER (ORDER BY source NULLS LAST) AS INTEGER) AS origin FROM documents)
+SELECT key, MIN(doc_id) AS doc_id, origin FROM r WHERE origin = (SELECT MIN(origin) FROM r b WHERE b.key = r.key) GROUP BY key, origin""")
 def source_precedence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.left("text", F.lit(20)).cast("binary")).alias("key"))
-    parts = [docs.where(F.col("source") == s).groupBy("key").agg(F.min("doc_id").alias("doc_id")) for s in ("src0", "src1", "src2")]
-    return assemble.by_precedence(parts, "key")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("key"))
+    names = docs.select("source").distinct().withColumn("origin", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))))  # a row for each source
+    docs = docs.join(names.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return assemble.first_origin(docs, "key", "origin").groupBy("key", "origin").agg(F.min("doc_id").alias("doc_id")).select("key", "doc_id", "origin")
 
 
 @query("""
-WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id ELSE 'plain' END AS text FROM documents),
-o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '【中文详细解析】 ' || doc_id ELSE 'old' END AS text FROM documents WHERE doc_id % 5 <> 0)
-SELECT n.doc_id, CASE WHEN contains(o.text, '【中文详细解析】') THEN o.text ELSE n.text END AS text, CASE WHEN contains(o.text, '【中文详细解析】') THEN 'kept' ELSE 'written' END AS outcome
-FROM n LEFT JOIN o USING (doc_id)""")
+WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN '【中文详细解析】 ' || text ELSE text END AS text FROM documents JOIN labels USING (doc_id))
+SELECT n.doc_id, md5(CASE WHEN contains(o.text, '【中文详细解析】') THEN o.text ELSE n.text END) AS text, CASE WHEN contains(o.text, '【中文详细解析】') THEN 'kept' ELSE 'written' END AS outcome
+FROM documents n LEFT JOIN o USING (doc_id)""")
 def guarded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    number = F.col("doc_id").cast("string")
-    new = ids.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), number)).otherwise("plain").alias("text"))
-    old = ids.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("【中文详细解析】 "), number)).otherwise("old").alias("text"))
-    return assemble.guarded(new, old, "doc_id", "【中文详细解析】")
+    # The old corpus: documents with a label, those of good quality worked on already.
+    new = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mark = "【中文详细解析】"
+    done = F.when(F.col("quality") == 1, F.concat(F.lit(f"{mark} "), "text")).otherwise(F.col("text"))
+    old = new.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", done.alias("text"))
+    return assemble.guarded(new, old, "doc_id", mark).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 @query("""
-SELECT a.doc_id, b.doc_id AS appendix FROM (SELECT doc_id, source FROM documents WHERE lang = 'en') a
-LEFT JOIN (SELECT source, MAX(doc_id) AS doc_id FROM documents WHERE lang = 'fr' AND n_chars > 3000 GROUP BY source) b ON a.source = b.source""")
+SELECT a.doc_id, b.doc_id AS appendix FROM documents a
+LEFT JOIN (SELECT source, doc_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents WHERE lang <> 'en') WHERE r = 1) b ON a.source = b.source""")
 def appendix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every document, with the longest foreign one of its source.
     docs = table(spark, sf_dir, "documents")
-    other = docs.where("lang = 'fr' AND n_chars > 3000").groupBy("source").agg(F.max("doc_id").alias("body"))
-    return assemble.with_appendix(docs.where("lang = 'en'").select("doc_id", "source"), other, "source").select("doc_id", "appendix")
+    other = docs.where("lang <> 'en'").groupBy("source").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("body"))
+    return assemble.with_appendix(docs.select("doc_id", "source"), other, "source").select("doc_id", "appendix")
 
 
 @query("""
 WITH j AS (SELECT doc_id, left(sha1('v1' || chr(0) || source || chr(0) || text), 16) AS key FROM documents)
-SELECT doc_id, key FROM j WHERE key NOT IN (SELECT key FROM j WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0)""")
+SELECT doc_id, key FROM j WHERE key NOT IN (SELECT key FROM j JOIN labels USING (doc_id) WHERE quality = 1)""")
 def jobs_not_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The cache: what has a label; results of bad quality are empty.
     jobs = table(spark, sf_dir, "documents").select("doc_id", T.content_key(F.lit("v1"), "source", "text").alias("key"))
-    done = jobs.where("doc_id % 4 = 0").select("key", F.when(F.col("doc_id") % 8 == 0, "").otherwise("done").alias("text"))
-    return assemble.not_done(jobs, done).select("doc_id", "key")
+    told = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "done").otherwise("").alias("text"))
+    return assemble.not_done(jobs, jobs.join(told, "doc_id").select("key", "text")).select("doc_id", "key")
 
 
 _ANSWERS = "作业题 14.0 画出思维导图\n14.4（传递函数）清单\n14.0 题目正文在这里,很长很长\n第二行\n10.5 V\n3.92 别章的题\n14-11图示电路\n14.4 求传递函数 H(s),完整的正文\n"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,9 +14,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=own | conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, which executors share too."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept").rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """``df`` with its lineage cut by checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -9,38 +9,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements without an end tag.
+# Elements without an end tag, and elements whose end tag may be left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+END_OPTIONAL = frozenset("html head body p li dt dd rt rp option optgroup colgroup caption thead tbody tfoot tr th td".split())
+_HEADINGS = ("h1", "h2", "h3", "h4")
+_POINTERS = {"a": ("href", "link"), "img": ("src", "image")}
 
 
-class _Scan(HTMLParser):
+class PageReader(HTMLParser):
+    """Findings (kind, value) of one page, in order; ``finish`` adds what was left open."""
+
     def __init__(self):
         super().__init__()
-        self.open, self.found, self.errors = [], [], []
+        self.nested: list[str] = []
+        self.findings: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        for kind, value in (("id", a.get("id")), ("link", a.get("href") if tag == "a" else None), ("image", a.get("src") if tag == "img" else None), ("heading", tag if tag in ("h1", "h2", "h3", "h4") else None)):
-            if value is not None:
-                self.found.append((kind, value))
+        told = {name: value for name, value in attrs if value is not None}
+        if "id" in told:
+            self.findings.append(("id", told["id"]))
+        attribute, kind = _POINTERS.get(tag, ("", ""))
+        if attribute in told:
+            self.findings.append((kind, told[attribute]))
+        if tag in _HEADINGS:
+            self.findings.append(("heading", tag))
         if tag not in VOID:
-            self.open.append(tag)
+            self.nested.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self.nested.pop()
 
     def handle_endtag(self, tag):
         if tag in VOID:
             return
-        if self.open and self.open[-1] == tag:
-            self.open.pop()
-        else:
-            self.errors.append(f"</{tag}> closes <{self.open[-1] if self.open else ''}>")
-            if tag in self.open:
-                while self.open.pop() != tag:
-                    pass
+        if tag not in self.nested:
+            self.findings.append(("error", f"</{tag}> closes nothing"))
+            return
+        while (inner := self.nested.pop()) != tag:
+            if inner not in END_OPTIONAL:
+                self.findings.append(("error", f"</{tag}> closes <{inner}>"))
+
+    def finish(self) -> list[tuple[str, str]]:
+        self.close()
+        return self.findings + [("error", f"<{t}> stays open") for t in self.nested if t not in END_OPTIONAL]
 
 
 def page_structure(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -51,10 +64,9 @@ def page_structure(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
         for f in frames:
             rows = []
             for key, html in zip(f[id_col], f[html_col], strict=True):
-                scan = _Scan()
-                scan.feed(html or "")
-                scan.close()
-                rows += [(key, k, v) for k, v in scan.found] + [(key, "error", e) for e in [*scan.errors, *(f"<{t}> stays open" for t in scan.open)]]
+                reader = PageReader()
+                reader.feed(html or "")
+                rows += [(key, *found) for found in reader.finish()]
             yield pd.DataFrame(rows, columns=[id_col, "kind", "value"])
 
     return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, kind string, value string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from . import versions
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,13 +38,14 @@ def append_submissions(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def write_corpus(rows: DataFrame, folder: str) -> None:
-    """The texts of a guarded merge (see operators.assemble.guarded), all at once, as a new table beside the old and then in its place."""
-    spark = rows.sparkSession
-    aside = f"{folder.rstrip('/')}.new"
-    rows.write.mode("overwrite").parquet(aside)
-    fs, target = _fs(spark, folder)
-    fs.delete(target, True)
-    fs.rename(_fs(spark, aside)[1], target)
+    """The texts of a guarded merge (see operators.assemble.guarded) as a new version; the old one is in force until it is written."""
+    version = versions.new_version(folder)
+    rows.write.parquet(version)
+    versions.publish(rows.sparkSession, folder, version)
+
+
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(versions.in_force(spark, folder))
 
 
 def write_texts(rows: DataFrame, folder: str, text: str = "text") -> None:

@@ -17,7 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions.tokenize import cjk, content, external, words
 from lodestone.operators import assemble, bm25, chunk, evaluate, graph, mine, record, registry, route, validity
 from lodestone.plans import index, model, qa
-from lodestone.sources import corpus, html, sinks, tables
+from lodestone.sources import corpus, html, sinks, tables, versions
 from lodestone.streaming import messages
 
 
@@ -389,3 +389,56 @@ def test_configuration():
     c = EngineConfig.from_env({"RAG_TOP_K": "9", "FAQ_HIT_THRESHOLD": "5", "FORWARD_PREFIX": "[a], [b]"})
     assert (c.rag_top_k, c.faq_hit_threshold, c.forward_prefixes) == (9, 5.0, ("[a]", "[b]"))
     assert EngineConfig().rag_top_k == 7 and "?" in C.QUESTION_WORDS
+
+
+def test_end_tags_that_may_be_left_out(spark):
+    pages = spark.createDataFrame([(1, "<ul><li>a<li>b</ul><table><tr><td>x<td>y<tr><td>z</table><p>one<p>two"), (2, "<div><span><p>x</div></p>"), (3, None)], "page_id int, html string")
+    errors = {}
+    for r in html.page_structure(pages).where("kind = 'error'").collect():
+        errors.setdefault(r["page_id"], []).append(r["value"])
+    assert errors == {2: ["</div> closes <span>", "</p> closes nothing"]}
+
+
+def test_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}/corpus"
+    with pytest.raises(FileNotFoundError):
+        versions.in_force(spark, folder)
+    for text in ("one", "two"):
+        sinks.write_corpus(spark.createDataFrame([(text,)], "text string"), folder)
+        assert [r["text"] for r in sinks.read_corpus(spark, folder).collect()] == [text]
+    (tmp_path / "corpus" / "current-000000000003").write_text("")  # a writer that died
+    assert [r["text"] for r in sinks.read_corpus(spark, folder).collect()] == ["two"]
+
+
+def test_an_index_is_built_once_for_a_state_of_its_files(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    write = lambda rows, mode: spark.createDataFrame(rows, "id long, text string").write.mode(mode).parquet(path)
+    write([(1, "a b a"), (2, None), (3, "b")], "overwrite")
+    index = lambda: bm25.stored(spark.read.parquet(path), "id", words("text"), "t")
+    first = index()
+    assert sorted((r["term"], r["id"], r["tf"], r["dl"]) for r in first.postings.collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 3, 1, 1)]
+    assert first.corpus.collect()[0]["n"] == 3 and index().entries.inputFiles() == first.entries.inputFiles()
+    write([(4, "c")], "append")
+    assert index().corpus.collect()[0]["n"] == 4
+
+
+def test_leaders_by_the_sequential_rule(spark):
+    rng = random.Random(3)
+    asks = [" ".join(rng.sample("abcdefgh", rng.randint(0, 5))) for _ in range(300)]
+    times = {}
+    for a in asks:
+        times[a] = times.get(a, 0) + 1
+    for theta in (0.3, 0.5, 0.8):
+        led, want = [], {}
+        for text in sorted(times, key=lambda t: (-times[t], t)):
+            own = set(text.split())
+            near = [x for x in led if own and set(x.split()) and len(own & set(x.split())) / len(own | set(x.split())) >= theta]
+            want[text] = near[0] if near else text
+            led += [] if near else [text]
+        got = mine.leaders(spark.createDataFrame([(a,) for a in asks], "text string"), "text", content(words("text"), ()), theta)
+        assert {r["text"]: r["leader"] for r in got.collect()} == want
+
+
+def test_first_origin(spark):
+    rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), ("b", 3, 3), ("a", 1, 4)], "key string, origin int, id int")
+    assert sorted(r["id"] for r in assemble.first_origin(rows, "key", "origin").collect()) == [2, 3, 4]
