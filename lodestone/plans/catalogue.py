@@ -408,19 +408,8 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.similar_pairs(t, "id", "content", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""
-WITH RECURSIVE {_SETS.replace("SELECT conv_id", "SELECT text, conv_id")},
-texts AS (SELECT text, ANY_VALUE(s) AS s, COUNT(*) AS times FROM sets GROUP BY text),
-ranked AS (SELECT text, s, ROW_NUMBER() OVER (ORDER BY times DESC, text) AS k FROM texts),
-near AS (SELECT b.k AS b, LIST(a.k ORDER BY a.k) AS earlier FROM ranked a JOIN ranked b ON a.k < b.k AND len(a.s) > 0 AND len(b.s) > 0
-  WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.5 GROUP BY b.k),
-fold AS (
-  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS led, CAST(0 AS BIGINT) AS leader
-  UNION ALL
-  SELECT k, CASE WHEN g IS NULL THEN list_append(led, k) ELSE led END, COALESCE(g, k)
-  FROM (SELECT r.k, f.led, list_filter(n.earlier, lambda x: list_contains(f.led, x))[1] AS g FROM fold f JOIN ranked r ON r.k = f.k + 1 LEFT JOIN near n ON n.b = r.k))
-SELECT s.id, md5(l.text || CASE WHEN len(s.s) = 0 THEN chr(0) || s.id ELSE '' END) AS grp
-FROM sets s JOIN ranked r ON r.text = s.text JOIN fold f ON f.k = r.k JOIN ranked l ON l.k = f.leader""")
+# As a recursive query over ranked texts the rule is too slow for whole tables; tests hold it against the sequential rule.
+@query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return mine.groups(t, "id", "text", content(words("text"), _STOP), 0.5).select("id", F.md5(F.col("grp").cast("binary")).alias("grp"))
