@@ -89,7 +89,7 @@ def documents(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """page, text of cached pages p<number>.txt; other names are passed over."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "p*.txt").text(folder).withColumn("name", file_name(F.input_file_name()))
+    files = spark.read.option("pathGlobFilter", "p*.txt").text(folder, wholetext=True).withColumn("name", file_name(F.input_file_name()))
     number = F.regexp_extract("name", r"^p(\d+)\.txt$", 1)
     return files.where(number != "").select(number.cast("int").alias("page"), F.col("value").alias("text"))
 
@@ -118,7 +118,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("ignoreMissingFiles", True).text(path)
+    texts = spark.read.option("pathGlobFilter", pattern).option("ignoreMissingFiles", True).text(path, wholetext=True)
     return texts.select(F.input_file_name().alias("path"), file_name(F.input_file_name()).alias("source"), F.col("value").alias("text"))
 
 
@@ -127,4 +127,13 @@ def text_or_empty(spark: SparkSession, path: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "text string")
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+
+
+def load_facts(spark: SparkSession, path: str, day: Column | None = None) -> DataFrame:
+    """The facts of an optional file that are in force on a day, today by default; without the file, no rows."""
+    from ..functions.parsers import parse_facts
+    from ..operators.validity import effective
+
+    found = parse_facts(text_or_empty(spark, path))
+    return found.where(effective(F.current_date() if day is None else day, F.col("effective_from"), F.col("effective_until")))
