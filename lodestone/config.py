@@ -42,6 +42,21 @@ class EngineConfig:
         return replace(cls(), **own)
 
 
+def read_env(text: str) -> dict[str, str]:
+    """Names and values of an .env file: blank lines and comments go, as do quotes around a value."""
+    pairs = (line.strip().removeprefix("export ").split("=", 1) for line in text.splitlines() if "=" in line and not line.lstrip().startswith("#"))
+    return {name.strip(): value.strip().strip("\"'") for name, value in pairs}
+
+
+def environment(env_file: str | None = ".env", env: dict[str, str] | None = None) -> dict[str, str]:
+    """What an optional .env file says, under what the environment says."""
+    env = dict(os.environ) if env is None else env
+    if env_file and os.path.isfile(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            return read_env(f.read()) | env
+    return env
+
+
 # What sentences end with, after which long paragraphs are split.
 SENTENCE_ENDS = "。!?;"
 
@@ -114,3 +129,34 @@ SCANNER_PAGE = r"SS\s*号\s*=|Gener\s*al\s*I\s*nf|页数\s*=\s*\d+"
 RUNNING_HEADER = r"第\s*\d{0,2}\s*(?:章|部分)|第[一二三]部分"
 PROBLEM_LINE = r"(?m)^\s*(\d{1,2})\s*[.．\-]\s*(\d{1,3})(?![0-9])"
 CHAPTER_IN_NAME = r"第\s*(\d{1,2})(?:\s*[-–—~]\s*(\d{1,2}))?\s*章"
+
+# Ends of file names and editions that are no part of a title, and what stands for a missing one.
+TITLE_ENDINGS = ("R-ZYL", "ZYL", "R")
+TITLE_EDITION = r"[（(]中文版[)）]"
+UNTITLED = "讲义"
+
+# What roster names end with, and the name of the table beside them.
+ROSTER_TAILS = ("学生名单", "成绩记分册", "学生名册", "记分册", "名单")
+SUBMISSION_TABLE = "补交表.xlsx"
+
+# Signs as wide as high, and narrow ones.
+WIDE_SIGNS = r"\x{2e80}-\x{10ffff}\x{2018}\x{2019}\x{201c}\x{201d}\x{2014}\x{2026}\x{00b7}"
+NARROW_SIGNS = r"iIlj|!.,:;'`()\[\]{}/\\"
+
+# Blocks that are no paragraphs; printed page headers; section headings; headings in answer files.
+NOT_A_PARAGRAPH = r"^(?:[#>|<`!]|:::|[-*+]\s|\d+[.)]\s)"
+PAGE_HEADER = r"^\s*(?:第\s*\d{1,2}\s*章|\d{1,2}\s*第[一二三]部分).*?(\d{1,4})\s*$"
+SECTION_LINE = r"^\s*(\d{1,2})\s*[.．]\s*(\d{1,2})\s*([^\d\s].{0,20}?)\s*$"
+ANSWER_HEADING = r"^\s*(?:(\d{1,2})\s*[.、]|书\s*(\d{1,2}\.\d{1,3}))"
+PREAMBLE, WHOLE_TEXT = "前言", "全文"
+
+# Words of search anchors, in order; {} stands for a chapter, a problem or a title.
+ANCHOR_PROBLEM = ("电路基础", "作业", "答案", "习题", "解答", "参考")
+ANCHOR_SLIDES = ("电路基础", "讲义", "课件", "课堂PPT", "概念", "定义", "原理", "定理", "定律", "方法", "讲解", "作业", "习题")
+ANCHOR_BOOK = ("教材", "课本", "中文版", "第六版", "第6版")
+ANCHOR_APPENDIX = "教材 附录 答案 习题答案 奇数编号 习题 自测 对答案 核对 最终结果 参考答案"
+ANCHOR_PREFACE = "教材 译者序 符号 约定 国标 导线 交叉 连接 黑点 电容 电感 电压源 电流源 受控源 运算放大器 变压器 画法 不一样 怎么读图"
+
+# Pictures, and sizes of files beyond which someone has to look first.
+PICTURES = (".jpg", ".png", ".jpeg", ".webp")
+LARGE_PDF = 5_000_000

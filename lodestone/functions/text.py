@@ -37,16 +37,29 @@ def clean_spaces(text: Column | str) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
-def strip_boilerplate(text: Column | str, complete: Sequence[str], start: str, reach: int = 400, rounds: int = 3) -> Column:
+def _removed(t: Column, patterns: Sequence[str]) -> Column:
+    for pattern in patterns:
+        t = F.regexp_replace(t, pattern, "")
+    return t
+
+
+def strip_boilerplate(text: Column | str, complete: Sequence[str], start: str, reach: int = 400) -> Column:
     """Complete notices go, wherever they are; a cut-off one goes with the rest of the text if that is short.
 
-    A removal may join the halves of another notice, so it is repeated.
-    ``start``: pattern of a notice's beginning; the last one counts.
+    A removal may join the halves of another notice, so it is repeated until
+    nothing changes: a fold over as many steps as the text has characters, of
+    which those after the last change do nothing. ``start``: pattern of a
+    notice's beginning; the last one counts.
     """
     t = _col(text)
-    for _ in range(rounds):
-        for pattern in complete:
-            t = F.regexp_replace(t, pattern, "")
+
+    def step(a: Column, _: Column) -> Column:
+        again = F.transform(F.array(_removed(a["t"], complete)), lambda n: F.struct(n.alias("t"), (n != a["t"]).alias("moved")))
+        return F.when(a["moved"], F.get(again, F.lit(0))).otherwise(a)
+
+    once = _removed(t, complete)
+    steps = F.when(once != t, F.sequence(F.lit(1), F.length(once) + 1)).otherwise(F.array().cast("array<int>"))
+    t = F.aggregate(steps, F.struct(once.alias("t"), F.lit(True).alias("moved")), step, lambda a: a["t"])
     # The last beginning with at most ``reach`` characters after it, to the end.
     t = F.regexp_replace(t, rf"(?s)(?={start})(?!.+?(?:{start})).{{0,{reach}}}\z", "")
     return clean_spaces(t)
@@ -212,11 +225,11 @@ def first_heading(markdown: Column | str) -> Column:
     return F.regexp_extract(_col(markdown), r"(?m)^#\s+(.+?)\s*$", 1)
 
 
-def first_paragraph(markdown: Column | str) -> Column:
-    """The first block of lines that is no heading, list, quote, table or fence, as plain text."""
-    blocks = F.transform(F.split(_col(markdown), r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
-    plain = F.filter(blocks, lambda b: (b != "") & ~b.rlike(r"^(?:#|[-*+>|`]|\d+\.|:::)"))
-    return plain_text(F.coalesce(F.get(plain, F.lit(0)), F.lit("")))
+def first_paragraph(markdown: Column | str, most: int = 120) -> Column:
+    """The first line that is no heading, list, quote, table, fence or tag, as plain text."""
+    lines = F.transform(F.split(_col(markdown), r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    plain = F.filter(lines, lambda x: (x != "") & ~x.rlike(C.NOT_A_PARAGRAPH))
+    return F.substring(plain_text(F.coalesce(F.get(plain, F.lit(0)), F.lit(""))), 1, most)
 
 
 def plain_text(markdown: Column | str) -> Column:
@@ -230,3 +243,76 @@ def html_escaped(text: Column | str) -> Column:
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         t = F.replace(t, F.lit(sign), F.lit(name))
     return t
+
+
+def clean_title(name: Column | str, endings: Sequence[str] = C.TITLE_ENDINGS, edition: str = C.TITLE_EDITION, otherwise: str = C.UNTITLED) -> Column:
+    """A title from a file's name: without marks at its end and of its edition; ``otherwise`` if nothing is left."""
+    t = F.regexp_replace(_col(name), r"^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, rf"(?i)[-_\s]*(?:{any_of(endings)})$", ""), edition, "")
+    return F.coalesce(F.nullif(F.regexp_replace(t, r"^[ \-_—]+|[ \-_—]+$", ""), F.lit("")), F.lit(otherwise))
+
+
+def chapter_label(chapter: Column | str) -> Column:
+    """第N章; empty without a chapter."""
+    c = _col(chapter).cast("string")
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit("第"), c, F.lit("章")))
+
+
+def chapter_folder(chapter: Column | str) -> Column:
+    """The folder of a chapter that has none yet: its number, and its number in words up to twenty."""
+    c = _col(chapter).cast("int")
+    signs = F.array(F.lit("零"), *(F.lit(sign) for sign in C.NUMERALS))
+    unit = F.when(c % 10 == 0, "").otherwise(F.get(signs, c % 10))
+    words = F.when(c.between(0, 10), F.get(signs, c)).when(c.between(11, 19), F.concat(F.lit("十"), unit)).when(c == 20, "二十").otherwise(c.cast("string"))
+    return F.concat(c.cast("string"), F.lit("第"), words, F.lit("章"))
+
+
+def submission_table(roster_path: Column | str, tails: Sequence[str] = C.ROSTER_TAILS, name: str = C.SUBMISSION_TABLE) -> Column:
+    """Path of the submission table beside a roster, named after its course; a roster whose name says no course keeps it."""
+    p = _col(roster_path)
+    folder, file = F.regexp_extract(p, r"^(.*/)?[^/]*$", 1), F.regexp_extract(p, r"([^/]*)$", 1)
+    stem = F.regexp_replace(F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""), r"[_\-]\d{10,}$", "")
+    return F.concat(folder, F.regexp_replace(stem, rf"(?<=.)[-_—\s]*(?:{any_of(tails)})$", ""), F.lit(f"_{name}"))
+
+
+def text_width(text: Column | str, size: Column | float, bold: bool = False) -> Column:
+    """Estimated width of a text without font metrics: each sign by its class, in parts of the size."""
+    t = F.coalesce(_col(text), F.lit(""))
+    kinds = ((rf"[{C.WIDE_SIGNS}]", 1.0), (" ", 0.30), (rf"[{C.NARROW_SIGNS}]", 0.34), (r"[\p{Lu}\p{Nd}]", 0.62))
+    left, total = t, F.lit(0.0)
+    for pattern, part in kinds:  # counted class by class, in a few passes
+        total = total + F.regexp_count(left, F.lit(pattern)) * part
+        left = F.regexp_replace(left, pattern, "")
+    total = total + F.length(left) * 0.55
+    return total * (F.lit(size) if isinstance(size, (int, float)) else size) * (1.03 if bold else 1.0)
+
+
+def lead_paragraph(body: Column | str) -> Column:
+    """struct<lead, body> of what follows a first heading: its opening paragraph as plain text, and the rest.
+
+    Only a paragraph that provably stands alone is taken out: nothing but blank
+    lines before it, no list, quote, table, fence or tag, and behind it a
+    heading or the end. Otherwise the lead is empty and the body as it was.
+    """
+    b = _col(body)
+    before = F.regexp_extract(b, r"\A(\s*\n)?", 1)
+    t = F.substring(b, F.length(before) + 1, F.length(b))
+    block = F.get(F.split(t, r"\n[^\S\n]*(?=\n|\z)", 2), F.lit(0))
+    rest = F.substring(t, F.length(block) + 2, F.length(t))
+    alone = t.rlike(r"\A\s*\S") & ~F.regexp_replace(block, r"\A\s+", "").rlike(C.NOT_A_PARAGRAPH) & rest.rlike(r"\A\s*(?:#|\z)")
+    lead = F.regexp_replace(plain_text(block), r"^\s+|\s+$", "")
+    left = F.when(rest == "", F.regexp_replace(before, r"\n\z", "")).otherwise(F.concat(before, rest))
+    return F.when(alone, F.struct(lead.alias("lead"), left.alias("body"))).otherwise(F.struct(F.lit("").alias("lead"), b.alias("body")))
+
+
+def marked_section(text: Column | str, after: str, until: str) -> Column:
+    """What stands between the first of one mark and the next of another, or the end; null without the first."""
+    parts = F.split(_col(text), rf"\Q{after}\E", 2)
+    return F.when(F.size(parts) > 1, F.get(F.split(F.get(parts, F.lit(1)), rf"\Q{until}\E", 2), F.lit(0)))
+
+
+def page_offset_fits(pdf_page: Column | str, text: Column | str, offset: int = 16, header: str = C.PAGE_HEADER, lines: int = 3) -> Column:
+    """Whether the page number printed in the first lines is the file's page less ``offset``; no printed number passes."""
+    told = F.transform(F.slice(F.split(_col(text), "\n"), 1, lines), lambda x: F.when(x.rlike(header), F.regexp_extract(x, header, 1).cast("int")))
+    first = F.get(F.filter(told, lambda n: n.isNotNull()), F.lit(0))
+    return F.coalesce(first == _col(pdf_page) - offset, F.lit(True))

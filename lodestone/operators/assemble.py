@@ -39,6 +39,50 @@ def sections(docs: DataFrame, keys: list[str], text_col: str, heading: str = C.P
     return found.withColumn("nth", F.row_number().over(longest)).where("nth = 1").select(*keys, "chapter", "number", "label", "body")
 
 
+def answer_sections(docs: DataFrame, text_col: str, heading: str = C.ANSWER_HEADING, labels: tuple[tuple[str, str], ...] = (("第", "题"), ("书", ""))) -> DataFrame:
+    """docs without the text, with part (from 1), label and body: what stands before the first heading, and from each heading to the next.
+
+    A text without headings is one part. ``labels``: what goes around the
+    heading's groups, of which the first that fits counts. Texts are cut inside
+    their rows; a null text has no parts.
+    """
+    text, plain = F.col(text_col), heading.removeprefix("^")
+    opens = rf"\A{plain}"
+    cut = F.split(text, rf"(?md)(?=^{plain})")
+    trimmed = F.filter(F.transform(cut, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+    def label(part: Column) -> Column:
+        told = [(F.regexp_extract(part, opens, g), before, after) for g, (before, after) in enumerate(labels, 1)]
+        return F.coalesce(*(F.when(t != "", F.concat(F.lit(before), t, F.lit(after))) for t, before, after in told), F.lit(C.PREAMBLE))
+
+    parts = F.transform(trimmed, lambda p: F.struct(label(p).alias("label"), p.alias("body")))
+    whole = F.array(F.struct(F.lit(C.WHOLE_TEXT).alias("label"), text.alias("body")))
+    parts = F.when(text.rlike(rf"(?md)^{plain}"), parts).when(text.isNotNull(), whole)
+    others = [c for c in docs.columns if c != text_col]
+    return docs.select(*others, F.posexplode(parts).alias("part", "p")).select(*others, (F.col("part") + 1).alias("part"), "p.label", "p.body")
+
+
+def section_titles(pages: DataFrame, keys: list[str], text_col: str, order: str, heading: str = C.SECTION_LINE) -> DataFrame:
+    """keys, title, place: headings of sections, each once, numbered by first appearance. ``order``: place of a page.
+
+    A heading's groups are chapter, number and title; dots that lead to a page number go.
+    """
+    lines = pages.select(*keys, F.col(order).alias("_page"), F.posexplode(F.split(text_col, "\n")).alias("_line", "line")).where(F.col("line").rlike(heading))
+    part = lambda g: F.regexp_extract("line", heading, g)
+    named = F.regexp_replace(F.regexp_replace(part(3), r"[\s.·…]+$", ""), r"^\s+", "")
+    found = lines.select(*keys, "_page", "_line", part(1).cast("int").alias("chapter"), part(2).cast("int").alias("number"), named.alias("named")).where("named <> ''")
+    title = F.concat(F.col("chapter").cast("string"), F.lit("."), F.col("number").cast("string"), F.lit(" "), "named")
+    first = found.groupBy(*keys, title.alias("title")).agg(F.min(F.struct("_page", "_line")).alias("at"))
+    return first.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("at"))).drop("at")
+
+
+def by_rank_list(name: Column | str, ranked: list[str], last: int = 99) -> list[Column]:
+    """Order of names by a list; those not in it come after, by name."""
+    n = F.col(name) if isinstance(name, str) else name
+    at = F.array_position(F.array(*map(F.lit, ranked)).cast("array<string>"), n)
+    return [F.when(at > 0, at - 1).otherwise(last), n]
+
+
 def label_order(label: Column | str) -> list[Column]:
     """Numeric order of a.b labels; what is none comes last."""
     parts = F.split(F.col(label) if isinstance(label, str) else label, r"\.")

@@ -1,4 +1,4 @@
-"""Quality of retrieval: ranks, budgets, verdicts, comparison with a baseline, audits of numbers."""
+"""Quality of retrieval: ranks, budgets, verdicts, comparison with a baseline, audits of numbers, tallies."""
 
 from __future__ import annotations
 
@@ -57,6 +57,76 @@ def fidelity(expected: Column | str, said: Column | str) -> Column:
     return F.struct(lost.alias("lost"), added.alias("added"), state.alias("state"))
 
 
+def source_matches(source: Column | str, names: Column, patterns: Column) -> Column:
+    """Whether a source is one of the names, or any of the patterns is found in it. Null lists hold nothing."""
+    s = F.col(source) if isinstance(source, str) else source
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.array_contains(F.coalesce(names, none), s), F.lit(False)) | F.exists(F.coalesce(patterns, none), lambda p: F.coalesce(F.rlike(s, p), F.lit(False)))
+
+
+def not_indexed(cases: DataFrame, case_id: str, names: str, indexed: DataFrame, source: str) -> DataFrame:
+    """case_id, source: expected sources that the index does not hold, which no search can find."""
+    wanted = cases.select(case_id, F.explode(names).alias("source"))
+    return wanted.join(indexed.select(F.col(source).alias("source")).distinct(), "source", "left_anti").select(case_id, "source")
+
+
+def not_in_baseline(cases: DataFrame, before: DataFrame, case_id: str) -> DataFrame:
+    """Cases that the baseline has no result of."""
+    return cases.join(before.select(case_id), case_id, "left_anti")
+
+
+def exit_status(changes: DataFrame | None) -> int:
+    """1 if any case is worse, or if there is no baseline to compare with: a gate that is away must not look open."""
+    return 1 if changes is None or not changes.where("change = 'worse'").isEmpty() else 0
+
+
+def in_audit(path: Column, skipped_folder: str, skipped_names: tuple[str, ...] = (), not_first: tuple[str, ...] = ("00_", "_")) -> Column:
+    """Whether a Markdown file is audited: by its folders, its name and the beginning of its name."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    begins = F.exists(F.array(*map(F.lit, not_first)), lambda p: F.startswith(name, p))
+    return name.endswith(".md") & ~begins & ~F.array_contains(parts, skipped_folder) & ~name.isin(*skipped_names)
+
+
+def marked_audit(rows: DataFrame, text: str, explained: str, source: str, until: str, own: str | None = None, ignored: tuple[str, ...] = ("103",)) -> DataFrame:
+    """Audit of texts that hold both versions: numbers of the part behind ``source`` (up to ``until``) against that behind ``explained`` (up to ``source``).
+
+    Adds numbers, missing and state: kept, missing, or no mark where a mark is
+    away. ``own``: a column with the problem's number, which need not be repeated.
+    """
+    said, meant = T.marked_section(text, explained, source), T.marked_section(text, source, until)
+    both = said.isNotNull() & meant.isNotNull()
+    rows = number_audit(rows.withColumns({"_said": F.when(both, said), "_meant": F.when(both, meant)}), "_meant", "_said", ignored)
+    if own:
+        rows = rows.withColumn("missing", F.array_remove("missing", F.col(own)))
+        rows = rows.withColumn("state", F.when(F.col("_said").isNull(), "no mark").when(F.size("missing") == 0, "kept").otherwise("missing"))
+    return rows.drop("_said", "_meant")
+
+
+def tally(rows: DataFrame, state: str, *by: str) -> DataFrame:
+    """by, state, n: how many rows are in each state; the rows themselves stay a table, however many differ."""
+    return rows.groupBy(*by, state).agg(F.count("*").alias("n"))
+
+
+def fidelity_tally(rows: DataFrame, found: str = "f") -> DataFrame:
+    """One row: n, n_match, n_lost, n_extra of ``fidelity`` structs; a reply that loses and adds counts in both."""
+    lost, extra = F.size(f"{found}.lost") > 0, F.size(f"{found}.added") > 0
+    return rows.agg(F.count("*").alias("n"), F.count_if(~lost & ~extra).alias("n_match"), F.count_if(lost).alias("n_lost"), F.count_if(extra).alias("n_extra"))
+
+
+def fidelity_differences(rows: DataFrame, row_id: str, found: str = "f") -> DataFrame:
+    """row_id, difference, digits: a row for each kind in which a reply differs."""
+    kinds = F.array(F.struct(F.lit("LOST").alias("difference"), F.col(f"{found}.lost").alias("digits")), F.struct(F.lit("EXTRA").alias("difference"), F.col(f"{found}.added").alias("digits")))
+    return rows.select(row_id, F.inline(F.filter(kinds, lambda k: F.size(k["digits"]) > 0)))
+
+
+def page_tally(pages: DataFrame, text: str = "text", error: str = "error") -> DataFrame:
+    """One row of a recognition run: pages, pages read, those of them without text, failed pages, characters."""
+    failed = F.col(error).isNotNull()
+    size = F.when(~failed, F.length(F.coalesce(F.col(text), F.lit(""))))
+    return pages.agg(F.count("*").alias("n_pages"), F.count_if(~failed).alias("n_read"), F.count_if(size == 0).alias("n_empty"), F.count_if(failed).alias("n_failed"), F.coalesce(F.sum(size), F.lit(0)).alias("n_chars"))
+
+
 def share(value: str) -> Column:
     """Of the total; null if that is not positive."""
     from pyspark.sql import Window as W

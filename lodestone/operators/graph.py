@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,68 @@ def layers(edges: DataFrame) -> DataFrame:
             return moved.drop("was")
         state = moved.drop("was")
     raise ValueError("the graph has a cycle")
+
+
+def forward_edges(edges: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Nodes by first appearance, and the edges that lead back to no node on the way to them.
+
+    A walk in depth from each node in turn, along edges in their order; loops
+    and edges to a node that the walk is still below are left out.
+    """
+    after: dict[str, dict[str, None]] = {}
+    for a, b in edges:
+        after.setdefault(a, {})
+        after.setdefault(b, {})
+        if a != b:
+            after[a][b] = None
+    seen, kept_edges = set(), []
+    for root in after:
+        if root in seen:
+            continue
+        seen.add(root)
+        path = {root: iter(after[root])}  # the way down, each node with the edges it has left
+        while path:
+            node = next(reversed(path))
+            target = next(path[node], None)
+            if target is None:
+                del path[node]
+            elif target not in path:
+                kept_edges.append((node, target))
+                if target not in seen:
+                    seen.add(target)
+                    path[target] = iter(after[target])
+    return list(after), kept_edges
+
+
+def diagram_layers(edges: DataFrame, graph: str, order: str) -> DataFrame:
+    """graph, node, layer of many small graphs, such as diagrams, that may have cycles. edges: graph, order, src, dst.
+
+    A graph is one diagram and fits a task; ``layers`` is for a large one.
+    Edges that close a cycle do not count (see ``forward_edges``), the longest
+    path over the others is a node's layer. Edges without an end are passed over; edges of one place are in order of their ends.
+    """
+
+    @F.pandas_udf("array<struct<node:string,layer:int>>")
+    def placed(graphs: pd.Series) -> pd.Series:
+        return pd.Series([[{"node": n, "layer": k} for n, k in _longest([(e["src"], e["dst"]) for e in g]).items()] for g in graphs])
+
+    whole = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy(graph).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "src", "dst"))).alias("edges"))
+    return whole.select(graph, placed("edges").alias("nodes")).select(graph, F.inline("nodes"))
+
+
+def _longest(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Each node's longest path over forward edges."""
+    nodes, forward = forward_edges(edges)
+    after: dict[str, list[str]] = {n: [] for n in nodes}
+    waits = dict.fromkeys(nodes, 0)
+    for a, b in forward:
+        after[a].append(b)
+        waits[b] += 1
+    layer, ready = dict.fromkeys(nodes, 0), [n for n in nodes if not waits[n]]
+    for n in ready:
+        for b in after[n]:
+            layer[b] = max(layer[b], layer[n] + 1)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return layer

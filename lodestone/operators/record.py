@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.parsers import parse_record
 from ..sources import versions
+from . import bm25
 from .route import personal_data, too_long
 
 
@@ -27,6 +28,29 @@ def checked(records: DataFrame, faq: DataFrame, roster_names: list[str] = (), bo
     return rows.withColumn("reason", reason).drop("error")
 
 
+def resembling(asked: DataFrame, asked_id: str, faq_index: bm25.Index, tokens: Column, least: float = 4.0) -> DataFrame:
+    """asked_id, pos, score: the entry that a question finds first, if it is near enough to be the same. A warning, no refusal."""
+    best = bm25.search(faq_index, asked, asked_id, tokens, 1, "floored")
+    return best.where(F.col("score") >= least).select(asked_id, F.col("id").alias("pos"), "score")
+
+
+def self_hits(faq: DataFrame, faq_index: bm25.Index, kind: Column, tokens: Column, least: float = 4.0) -> DataFrame:
+    """Entries on course business whose own question finds something near enough: those whose answers can be compared. faq: pos, question, answer."""
+    business = faq.where(kind == "admin")
+    asked = business.select(F.col("pos").alias("asked"), F.col("question").alias("text"))
+    return business.join(resembling(asked, "asked", faq_index, tokens, least).select(F.col("asked").alias("pos"), "score"), "pos")
+
+
+def reply(entries: Column, question: Column, answer: Column, near: Column, near_question: Column, no_roster: Column, path: Column | str, most: int = 120) -> Column:
+    """What the writer is told: the entry, one that is like it if any, and whether names could not be checked. ``entries``: how many there are now."""
+    p = F.col(path) if isinstance(path, str) else path
+    alike = F.concat(F.lit("提醒:库里已有一条很像的(第 "), near.cast("string"), F.lit(" 条):"), near_question, F.lit("\n如果那是同一条,建议你手工把它删掉;不是的话忽略这句。"))
+    unchecked = F.when(no_roster, F.lit("⚠ 花名册没读到,这次只查了学号、没查姓名 —— 记之前请自己确认没有学生姓名。"))
+    head = F.concat(F.lit("✅ 已记录,FAQ 现在能被检索到 "), entries.cast("string"), F.lit(" 条。"))
+    entry = F.concat(F.lit("问:"), question, F.lit("\n答:"), T.squeezed(answer, most))
+    return F.concat_ws("\n\n", head, entry, alike, unchecked, F.concat(F.lit("文件:"), p))
+
+
 def add_entry(spark: SparkSession, folder: str, question: str, answer: str) -> int:
     """Appends one entry to the FAQ table in ``folder`` and returns its pos.
 

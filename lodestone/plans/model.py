@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,3 +44,23 @@ def replies(prompts: DataFrame, client: Client = offline, temperature: float = 0
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in prompts.schema)
     return prompts.mapInPandas(run, f"{schema}, ok boolean, reply string")
+
+
+@dataclass(frozen=True)
+class Provider:
+    """Where a client sends its calls."""
+
+    key: str
+    model: str
+    endpoint: str
+    group: str = ""
+
+    def available(self) -> bool:
+        return bool(self.key)
+
+
+def provider(env: Mapping[str, str], first: str = "LLM", fallback: str = "MINMAX") -> Provider:
+    """The first service if it has a key, else the other as it is: a missing key never leaves both unused."""
+    name = first if env.get(f"{first}_API_KEY") else fallback
+    of = lambda what: env.get(f"{name}_{what}", "")
+    return Provider(of("API_KEY"), of("MODEL"), of("ENDPOINT"), "" if name == first else of("GROUP_ID"))

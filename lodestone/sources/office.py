@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as X
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -46,12 +47,38 @@ def docx_raw_text(data: bytes) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def _date_styles(styles: bytes | None) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or a time."""
+    if styles is None:
+        return set()
+    root = X.fromstring(styles)
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{_S}numFmt") if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")).lower())}
+    dates = {*range(14, 23), *range(45, 48)} | own
+    formats = root.find(f"{_S}cellXfs")
+    return set() if formats is None else {k for k, x in enumerate(formats) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _shown(value: str, kind: str | None, is_date: bool) -> str:
+    """A cell's value as text: truth values as words, dates from their day numbers."""
+    if kind == "b":
+        return "True" if value == "1" else "False"
+    if is_date and kind in (None, "n"):
+        try:
+            days = float(value)
+        except ValueError:
+            return value
+        moment = datetime(1899, 12, 30) + timedelta(seconds=round(days * 86_400))
+        return str(moment.time() if 0 <= days < 1 else moment)
+    return value
+
+
 def xlsx_rows(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
     """Sheets with all their rows; cells are placed by their references, the declared size is not trusted."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in X.fromstring(z.read("xl/sharedStrings.xml"))]
         links = {r.get("Id"): r.get("Target") for r in X.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        dates = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
         out = []
         for sheet in X.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
             target = links[sheet.get(f"{_R}id")].lstrip("/")
@@ -64,7 +91,7 @@ def xlsx_rows(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
                     at = k if not letters else int(sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0])))) - 1
                     value = cell.find(f"{_S}v")
                     kind = cell.get("t")
-                    text = "".join(t.text or "" for t in cell.iter(f"{_S}t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+                    text = "".join(t.text or "" for t in cell.iter(f"{_S}t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else _shown(value.text or "", kind, int(cell.get("s", 0)) in dates)
                     cells[at] = text
                 number = int(row.get("r", len(rows) + 1))
                 rows += [[] for _ in range(number - len(rows) - 1)]
@@ -80,29 +107,46 @@ def cell_text(value: str | None) -> str:
 
 
 def xlsx_text(data: bytes) -> str:
-    lines = []
-    for name, rows in xlsx_rows(data):
-        lines.append(f"[Sheet: {name}]")
-        lines += [" | ".join(c for c in row if c is not None) for row in rows if any(c is not None for c in row)]
-    return "\n".join(lines)
+    """Sheets with their names, an empty line between them."""
+    sheets = [[f"[Sheet: {name}]", *(" | ".join(c for c in row if c is not None) for row in rows if any(c is not None for c in row))] for name, rows in xlsx_rows(data)]
+    return "\n\n".join("\n".join(lines) for lines in sheets)
+
+
+def _shape(node: X.Element) -> list[str]:
+    """Texts of one shape: groups gone into in order; a table's rows with their cells apart by a bar, blank rows left out."""
+    if node.tag == f"{_P}grpSp":
+        return _shapes(node)
+    if node.tag == f"{_P}sp":
+        text = "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in node.iter(f"{_A}p")).strip()
+        return [text] if text else []
+    if node.tag == f"{_P}graphicFrame":
+        rows = [["".join(t.text or "" for t in c.iter(f"{_A}t")).strip() for c in row.findall(f"{_A}tc")] for row in node.iter(f"{_A}tr")]
+        return [" | ".join(row) for row in rows if any(row)]
+    return []
 
 
 def _shapes(tree: X.Element) -> list[str]:
-    """Texts of shapes, groups gone into in order; a table's rows with their cells apart by a bar."""
+    """Texts of all shapes; one that cannot be read costs itself only."""
     out: list[str] = []
     for node in tree:
-        if node.tag == f"{_P}grpSp":
-            out += _shapes(node)
-        elif node.tag == f"{_P}sp":
-            lines = ["".join(t.text or "" for t in p.iter(f"{_A}t")) for p in node.iter(f"{_A}p")]
-            text = "\n".join(lines).strip()
-            out += [text] if text else []
-        elif node.tag == f"{_P}graphicFrame":
-            for row in node.iter(f"{_A}tr"):
-                out.append(" | ".join("".join(t.text or "" for t in c.iter(f"{_A}t")).strip() for c in row.findall(f"{_A}tc")))
+        try:
+            out += _shape(node)
+        except (AttributeError, TypeError, ValueError):
+            continue
     return out
 
 
+def _notes(z: zipfile.ZipFile, links: str) -> list[str]:
+    """Notes of a slide; none if they cannot be read."""
+    try:
+        targets = [r.get("Target") for r in X.fromstring(z.read(links)) if r.get("Type", "").endswith("/notesSlide")]
+        trees = [X.fromstring(z.read("ppt/" + t.removeprefix("../").removeprefix("/ppt/"))) for t in targets]
+    except (KeyError, AttributeError, X.ParseError):
+        return []
+    texts = ["".join(t.text or "" for t in tree.iter(f"{_A}t")).strip() for tree in trees]
+    return [f"(备注){t}" for t in texts if t]
+
+
 def pptx_text(data: bytes) -> str:
     """Slides in order, each with its notes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -111,12 +155,7 @@ def pptx_text(data: bytes) -> str:
         out = []
         for n in numbers:
             lines = _shapes(X.fromstring(z.read(f"ppt/slides/slide{n}.xml")).find(f"{_P}cSld/{_P}spTree"))
-            links = f"ppt/slides/_rels/slide{n}.xml.rels"
-            for r in X.fromstring(z.read(links)) if links in names else ():
-                if r.get("Type", "").endswith("/notesSlide"):
-                    notes = X.fromstring(z.read("ppt/" + r.get("Target").removeprefix("../").removeprefix("/ppt/")))
-                    text = "".join(t.text or "" for t in notes.iter(f"{_A}t")).strip()
-                    lines += [f"(备注){text}"] if text else []
+            lines += _notes(z, f"ppt/slides/_rels/slide{n}.xml.rels")
             if lines:
                 out.append(f"[第{n}页]\n" + "\n".join(lines))
         return "\n\n".join(out)

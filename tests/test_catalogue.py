@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, whole_tables
+
+assert whole_tables.catalogue is catalogue  # it adds its queries there
 
 
 @pytest.fixture(scope="module")

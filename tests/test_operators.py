@@ -15,7 +15,7 @@ from lodestone.config import EngineConfig
 from lodestone.functions import parsers
 from lodestone.functions import text as T
 from lodestone.functions.tokenize import cjk, content, external, words
-from lodestone.operators import assemble, bm25, chunk, evaluate, graph, mine, record, registry, route, validity
+from lodestone.operators import anchors, assemble, bm25, chunk, evaluate, graph, mine, record, registry, route, validity
 from lodestone.plans import index, model, qa
 from lodestone.sources import corpus, html, sinks, tables, versions
 from lodestone.streaming import messages
@@ -442,3 +442,175 @@ def test_leaders_by_the_sequential_rule(spark):
 def test_first_origin(spark):
     rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), ("b", 3, 3), ("a", 1, 4)], "key string, origin int, id int")
     assert sorted(r["id"] for r in assemble.first_origin(rows, "key", "origin").collect()) == [2, 3, 4]
+
+
+def test_notices_inside_notices_go_at_any_depth(spark):
+    text = "MIT."
+    for _ in range(12):
+        text = f"M{text}IT."
+    assert one(spark, "t string", (f"a {text} b",), T.strip_boilerplate("t", [r"MIT\."], "Copyright")) == "a b"
+    assert one(spark, "t string", (None,), T.strip_boilerplate("t", [r"MIT\."], "Copyright")) is None
+
+
+def plain_layers(edges):
+    """By a walk that goes down as it is called, and edges pushed until nothing moves."""
+    nodes = list(dict.fromkeys(n for e in edges for n in e))
+    above, over, back = [], set(), set()
+
+    def down(node):
+        above.append(node)
+        for a, b in edges:
+            if a != node or a == b:
+                continue
+            if b in above:
+                back.add((a, b))
+            elif b not in over:
+                down(b)
+        above.pop()
+        over.add(node)
+
+    for n in nodes:
+        if n not in over:
+            down(n)
+    layer, moved = dict.fromkeys(nodes, 0), True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if a != b and (a, b) not in back and layer[b] <= layer[a]:
+                layer[b], moved = layer[a] + 1, True
+    return layer
+
+
+def test_diagrams_with_cycles(spark):
+    rng = random.Random(5)
+    graphs = [[("a", "b"), ("b", "a")], [("a", "a")], [("a", "b"), ("b", "c"), ("c", "b"), ("a", "c")]] + [[(rng.choice("abcdefg"), rng.choice("abcdefg")) for _ in range(rng.randint(1, 14))] for _ in range(60)]
+    rows = [(g, k, a, b) for g, edges in enumerate(graphs) for k, (a, b) in enumerate(edges)] + [(0, 9, None, "z")]
+    found = graph.diagram_layers(spark.createDataFrame(rows, "g int, k int, src string, dst string"), "g", "k").collect()
+    for g, edges in enumerate(graphs):
+        assert {r["node"]: r["layer"] for r in found if r["g"] == g} == plain_layers(edges)
+    long = [(str(k), str(k + 1)) for k in range(5000)]
+    assert graph.forward_edges(long)[1] == long  # no recursion
+
+
+def test_answer_sections(spark):
+    docs = spark.createDataFrame([(1, "导言\n\n 2. 二\n书10.60 书题\n\n3、三"), (2, "没有标题 2. 在行里"), (3, None), (4, "1. 一\n"), (5, "")], "id int, text string")
+    got = [(r["id"], r["part"], r["label"], r["body"]) for r in assemble.answer_sections(docs, "text").orderBy("id", "part").collect()]
+    assert got == [(1, 1, "前言", "导言"), (1, 2, "第2题", "2. 二"), (1, 3, "书10.60", "书10.60 书题"), (1, 4, "第3题", "3、三"), (2, 1, "全文", "没有标题 2. 在行里"), (4, 1, "第1题", "1. 一"), (5, 1, "全文", "")]
+
+
+def test_section_titles_by_first_appearance(spark):
+    pages = spark.createDataFrame([(2, "1.2 乙 …… \n1.1 甲"), (1, "1.1 甲 ...\n1.10 3 不是\n正文")], "page int, text string").selectExpr("0 AS book", "*")
+    assert [r["title"] for r in assemble.section_titles(pages, ["book"], "text", "page").orderBy("place").collect()] == ["1.1 甲", "1.2 乙"]
+
+
+@pytest.mark.parametrize("body,lead,left", [("\n第一段\n续 **粗**\n\n## 节\n文", "第一段 续 粗", "\n\n## 节\n文"), ("第一段\n\n第二段", "", "第一段\n\n第二段"), ("- 列表\n\n## 节", "", "- 列表\n\n## 节"), ("**粗体** 开头\n", "粗体 开头", ""), ("", "", ""), ("\n\n", "", "\n\n"), ("段\n  \n \n# 完", "段", "  \n \n# 完")])
+def test_lead_paragraphs(spark, body, lead, left):
+    assert tuple(one(spark, "t string", (body,), T.lead_paragraph("t"))) == (lead, left)
+
+
+def test_names_widths_and_offsets(spark):
+    assert one(spark, "t string", ("/x/数字电路(一)成绩记分册_1774943315001.xlsx",), T.submission_table("t")) == "/x/数字电路(一)_补交表.xlsx"
+    assert one(spark, "t string", ("名单.xlsx",), T.submission_table("t")) == "名单_补交表.xlsx"
+    assert one(spark, "t string", ("分析方法R",), T.clean_title("t")) == "分析方法"
+    assert one(spark, "t string", ("R",), T.clean_title("t")) == "讲义"
+    assert one(spark, "t string", (None,), T.text_width("t", 10.0)) == 0.0
+    assert one(spark, "t string", ("中a A.",), T.text_width("t", 10.0, True)) == pytest.approx((1 + 0.55 + 0.3 + 0.62 + 0.34) * 10 * 1.03)
+    assert one(spark, "p int, t string", (19, "第1章基本概念3\n正文"), T.page_offset_fits("p", "t"))
+    assert not one(spark, "p int, t string", (20, "正文\n4第一部分直流电路 3\n"), T.page_offset_fits("p", "t"))
+    assert one(spark, "p int, t string", (20, "a\nb\nc\n第1章 3"), T.page_offset_fits("p", "t"))
+
+
+def test_heads_of_texts(spark):
+    course = anchors.Course("课", "某", "书", "书.pdf", "另")
+    got = one(spark, "c int", (3,), anchors.book_chapter(course, F.col("c"), F.lit("节 点"), F.lit(1), F.lit(9), F.array(F.lit("3.1 节"), F.lit("3.2 点"))))
+    assert got.splitlines()[2] == "检索:课 教材 课本 中文版 第六版 第6版 第3章 CH3 节 点 3.1 3.2 另"
+    assert one(spark, "c int", (3,), anchors.translated_problem(course, F.col("c"), F.lit("3.2"), F.lit("a.pdf"))).splitlines()[2].endswith("中文版 第3章 CH3 3.2 题3.2 另")
+    assert "P1-P9" in one(spark, "c int", (3,), anchors.book_appendix(course, F.lit(1), F.lit(9)))
+    assert one(spark, "c int", (3,), anchors.book_preface(course)).count("\n") == 3
+
+
+def test_gate_is_shut_without_a_baseline(spark):
+    changes = spark.createDataFrame([(1, "same"), (2, "changed")], "q int, change string")
+    assert evaluate.exit_status(None) == 1
+    assert evaluate.exit_status(changes) == 0
+    assert evaluate.exit_status(changes.union(spark.createDataFrame([(3, "worse")], changes.schema))) == 1
+
+
+def test_record_replies(spark):
+    row = ("问", "答" * 130, 2, "旧问", True, "/faq")
+    got = one(spark, "q string, a string, n int, old string, no boolean, p string", row, record.reply(F.lit(8), F.col("q"), F.col("a"), F.col("n"), F.col("old"), F.col("no"), "p"))
+    assert "答" * 120 + "……" in got and "(第 2 条):旧问" in got and "花名册没读到" in got
+    row = ("问", "答", None, None, False, "/faq")
+    got = one(spark, "q string, a string, n int, old string, no boolean, p string", row, record.reply(F.lit(8), F.col("q"), F.col("a"), F.col("n"), F.col("old"), F.col("no"), "p"))
+    assert got == "✅ 已记录,FAQ 现在能被检索到 8 条。\n\n问:问\n答:答\n\n文件:/faq"
+
+
+def test_facts_of_an_optional_file(spark, tmp_path):
+    path = tmp_path / "facts.txt"
+    assert corpus.load_facts(spark, str(path)).count() == 0
+    path.write_text("事实:总是\n\n失效:2020-01-01\n事实:旧\n\n生效:2020-01-01\n事实:新\n", "utf-8")
+    day = F.lit(datetime.date(2020, 1, 1))
+    assert [r["fact"] for r in corpus.load_facts(spark, str(path), day).orderBy("pos").collect()] == ["总是", "旧", "新"]
+    assert [r["fact"] for r in corpus.load_facts(spark, str(path)).orderBy("pos").collect()] == ["总是", "新"]
+
+
+def test_settings_from_a_file_and_providers(tmp_path):
+    file = tmp_path / ".env"
+    file.write_text("# c\nRAG_TOP_K = 9\nexport LLM_MODEL='m'\nK1=2\n\nnonsense\n", "utf-8")
+    env = C.environment(str(file), {"K1": "1.2"})
+    assert (EngineConfig.from_env(env).rag_top_k, EngineConfig.from_env(env).k1, env["LLM_MODEL"]) == (9, 1.2, "m")
+    assert C.environment(str(tmp_path / "none"), {}) == {}
+    assert model.provider({"LLM_API_KEY": "k", "LLM_MODEL": "m", "MINMAX_API_KEY": "o"}) == model.Provider("k", "m", "")
+    old = model.provider({"LLM_MODEL": "m", "MINMAX_MODEL": "old", "MINMAX_GROUP_ID": "g"})
+    assert (old.model, old.group, old.available()) == ("old", "g", False)
+
+
+def zipped(parts):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return held.getvalue()
+
+
+def test_workbooks_with_dates_and_truth_values():
+    from lodestone.sources import office
+
+    s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    sheet = f'<worksheet {s}><sheetData><row r="1"><c r="A1" t="b"><v>1</v></c><c r="B1" s="1"><v>45000.5</v></c><c r="C1" s="2"><v>45000</v></c><c r="D1"><v>45000</v></c></row><row r="3"><c r="B3"><v>7</v></c></row></sheetData></worksheet>'
+    data = zipped({
+        "xl/workbook.xml": f'<workbook {s} {r}><sheets><sheet name="甲" r:id="a"/><sheet name="乙" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="worksheets/2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {s}><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;年&quot;m"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/1.xml": sheet,
+        "xl/worksheets/2.xml": f'<worksheet {s}><sheetData/></worksheet>',
+    })
+    assert office.xlsx_text(data) == "[Sheet: 甲]\nTrue | 2023-03-15 12:00:00 | 2023-03-15 00:00:00 | 45000\n7\n\n[Sheet: 乙]"
+
+
+def test_slides_with_blank_rows_and_broken_notes():
+    from lodestone.sources import office
+
+    p, a = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"', 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    cell = "<a:tc><a:p><a:r><a:t>{}</a:t></a:r></a:p></a:tc>".format
+    rows = f"<a:tr>{cell('错')}{cell('对')}</a:tr><a:tr>{cell(' ')}{cell('')}</a:tr>"
+    data = zipped({
+        "ppt/slides/slide1.xml": f"<p:sld {p} {a}><p:cSld><p:spTree><p:graphicFrame><a:tbl>{rows}</a:tbl></p:graphicFrame></p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/slide1.xml.rels": '<Relationships><Relationship Type="x/notesSlide" Target="../notesSlides/gone.xml"/></Relationships>',
+    })
+    assert office.pptx_text(data) == "[第1页]\n错 | 对"
+
+
+def test_audit_of_marked_texts(spark):
+    rows = [("1.36", "【解】值 120 与【原】值 120 与 1.36 与 103 与 555【英】888"), ("2.1", "【解】无"), ("3.1", "【解】a【原】无数字")]
+    audit = evaluate.marked_audit(spark.createDataFrame(rows, "no string, text string"), "text", "【解】", "【原】", "【英】", "no")
+    assert {r["no"]: (r["missing"], r["state"]) for r in audit.collect()} == {"1.36": (["555"], "missing"), "2.1": (None, "no mark"), "3.1": ([], "kept")}
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    for name in ("p7.txt", "a.md", "faq.txt"):
+        (tmp_path / name).write_text("Q: 一\n二\nA: 三\n", "utf-8")
+    assert [tuple(r) for r in corpus.page_texts(spark, str(tmp_path)).collect()] == [(7, "Q: 一\n二\nA: 三\n")]
+    assert [r["text"] for r in corpus.markdown(spark, str(tmp_path)).collect()] == ["Q: 一\n二\nA: 三\n"]
+    entries = parsers.parse_faq(corpus.text_or_empty(spark, str(tmp_path / "faq.txt"))).collect()
+    assert [(r["pos"], r["question"], r["answer"]) for r in entries] == [(1, "一\n二", "三")]
