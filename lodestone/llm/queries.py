@@ -85,13 +85,32 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, digest=True)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import PAGES, archive_pages, pages_of, read_archives
+
+    pages = _table(spark, sf_dir, "pages")
+    return pages_of(read_archives(spark, archive_pages(pages), PAGES), pages.schema["page_id"].dataType.simpleString())
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_ngram_jaccard, op9_mixing, op10_token_binary)
+    own = (op1_quality_classifier, op2_quality_rules, op3_token_counts, op4_sharding, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_ngram_jaccard, op9_mixing, op10_token_binary, op11_embedding_whitening, op12_warc, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_mixing": OP9}
+    return {"op6_substring_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_mixing": OP9, "op12_warc": OP12, "op13_collocations": OP13}
 
 
 OP6 = r"""
@@ -153,3 +172,35 @@ taken AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * COALESCE(t.n, 0) AS BIGINT) AS taken
 FROM queues q LEFT JOIN taken t USING (doc_id)
 """
+
+
+OP12 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS payload_bytes, sha256(COALESCE(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, MIN(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND COALESCE(page_id > first_id, first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND COALESCE(page_id > first_id, first_id IS NOT NULL) THEN first_id END AS refers_to
+FROM f
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT lang, UNNEST(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(SUM(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, ws[s:s + m - 1] AS p FROM (
+    SELECT lang, ws, m, UNNEST(range(1, len(ws) - m + 2)) AS s FROM pieces, (SELECT UNNEST([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, p, COUNT(*) AS a FROM grams GROUP BY lang, p HAVING COUNT(*) >= 100),
+cuts AS (SELECT lang, p, a, UNNEST(range(1, len(p))) AS k FROM f WHERE len(p) >= 2),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, n, CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)] JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, p[i:j] AS p, MAX(a) AS longer FROM (SELECT lang, p, a, i, UNNEST(range(i, len(p) + 1)) AS j FROM (SELECT lang, p, a, UNNEST(range(1, len(p) + 1)) AS i FROM f)) WHERE j - i + 1 < len(p) GROUP BY ALL),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, w.a, l, r, n, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, w.a DESC, array_to_string(p, ' ')) AS rank
+  FROM lowest w LEFT JOIN inner_parts i USING (lang, p) WHERE i.longer IS NULL OR 100 * i.longer < 100 * w.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""

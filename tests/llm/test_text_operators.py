@@ -157,7 +157,7 @@ def test_repeats_on_odd_rows(odd, odd_rows, empty, width):
 def test_a_window_has_one_anchor_wherever_it_stands(window, before, after):
     def anchored(values, start):
         h = words.mix(np.array(values, np.uint64) + np.uint64(9))
-        name, _ = recompression.anchors(h, np.zeros(len(h), np.int64), np.array([start]), len(window))
+        name, low, high, _ = recompression.anchors(h, np.zeros(len(h), np.int64), np.array([start]), len(window))
         return name[0]
 
     assert anchored(window, 0) == anchored([*before, *window, *after], len(before))
