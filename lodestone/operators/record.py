@@ -51,23 +51,35 @@ def reply(entries: Column, question: Column, answer: Column, near: Column, near_
     return F.concat_ws("\n\n", head, entry, alike, unchecked, F.concat(F.lit("文件:"), p))
 
 
+class Duplicate(ValueError):
+    """An entry with the same normal question is there already."""
+
+
 def add_entry(spark: SparkSession, folder: str, question: str, answer: str) -> int:
     """Appends one entry to the FAQ table in ``folder`` and returns its pos.
 
-    The new version is written aside and read back; only if the entry is found
-    does the pointer move (see sources.versions). A refused or failed write
+    The entry is written aside as a part of its own and read back; only if it is
+    found does the pointer move, and only from the version that the entry was
+    checked against (see sources.versions). If another writer was faster, the
+    table is read and checked for duplicates again. A refused or failed write
     leaves the table as it was. A missing table is an error.
     """
-    old = read(spark, folder)
-    pos = (old.agg(F.max("pos")).collect()[0][0] or 0) + 1
-    new = old.unionByName(spark.createDataFrame([(pos, question, answer)], old.select("pos", "question", "answer").schema))
-    version = versions.new_version(folder)
-    new.write.parquet(version)
-    entry = spark.read.parquet(version).where((F.col("question") == question) & (F.col("answer") == answer))
-    if entry.isEmpty():
-        raise OSError("the entry was not found after writing; nothing was changed")
-    versions.publish(spark, folder, version)
-    return pos
+    told = []
+
+    def entry(table: DataFrame, base: versions.Version) -> DataFrame:
+        asked = spark.createDataFrame([(question, answer)], "question string, answer string").select("question", "answer", T.normal_question("question").alias("normal"))
+        alike = table.where(T.normal_question("question") != "").select(T.normal_question("question").alias("normal")).join(asked, "normal", "left_semi")
+        if not alike.isEmpty():
+            raise Duplicate(question)
+        told.append((table.agg(F.max("pos")).collect()[0][0] or 0) + 1)
+        return asked.select(F.lit(told[-1]).cast(table.schema["pos"].dataType).alias("pos"), "question", "answer")
+
+    def found(written: DataFrame) -> None:
+        if written.where((F.col("question") == question) & (F.col("answer") == answer)).isEmpty():
+            raise OSError("the entry was not found after writing; nothing was changed")
+
+    versions.appended(spark, folder, entry, found)
+    return told[-1]
 
 
 def create(entries: DataFrame, folder: str) -> None:
@@ -79,4 +91,4 @@ def create(entries: DataFrame, folder: str) -> None:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of the version in force, read anew each time."""
-    return spark.read.parquet(versions.in_force(spark, folder))
+    return versions.read(spark, folder)

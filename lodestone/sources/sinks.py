@@ -38,10 +38,13 @@ def append_submissions(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def write_corpus(rows: DataFrame, folder: str) -> None:
-    """The texts of a guarded merge (see operators.assemble.guarded) as a new version; the old one is in force until it is written."""
-    version = versions.new_version(folder)
+    """The texts of a guarded merge (see operators.assemble.guarded) as a new version; the old one is in force until it is written.
+
+    If another writer publishes meanwhile, the merge is out of date: versions.Conflict, and nothing changes.
+    """
+    base, version = versions.current(rows.sparkSession, folder).number, versions.new_version(folder)
     rows.write.parquet(version)
-    versions.publish(rows.sparkSession, folder, version)
+    versions.publish(rows.sparkSession, folder, version, base)
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
