@@ -3,10 +3,11 @@
 Three passes over the texts, each counted in shards (the texts of a task, or as
 much of them as memory for a shard holds):
 
-1. words, added up by language and word; those that occur often enough form a
-   vocabulary, and their hashes a bitmap of bounded size;
-2. pairs of neighbouring words that the bitmap has, by a hash of both: sorted
-   counts, merged by range, give a second bitmap of pairs that may be frequent;
+1. words, by a hash of language and word: sorted counts, merged by range; the
+   hashes of those that occur often enough form a bitmap of bounded size;
+2. pairs of neighbouring words that the bitmap has, by a shorter hash of both:
+   sorted counts, merged by range, give a second bitmap of pairs that may be
+   frequent. The same pass tells how the words of the bitmap are spelt;
 3. a count trie of depth five for each shard, of runs of words all of whose
    pairs are in the second bitmap.
 
@@ -43,6 +44,8 @@ U = np.uint64
 DEPTH = 5
 #: Words of texts that are counted in one shard; pieces that are merged at a time.
 SHARD_WORDS, FAN = 1 << 21, 64
+#: Bits by which hashes of pairs are longer than the number of all words.
+SPARE_BITS = 13
 #: Bits of a bitmap: so many for each member, between these powers of two.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 30
 _SOFT = np.zeros(256, bool)
@@ -149,12 +152,15 @@ class Pairs:
 
     @staticmethod
     def piece(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        return packed(np.diff(keys, prepend=U(0)), counts)
+        # low bits that no key has are left out of the differences
+        used = int(np.bitwise_or.reduce(keys)) if len(keys) else 1
+        low = (used & -used).bit_length() - 1
+        return packed(np.diff(keys >> U(low), prepend=U(0)), counts, np.array([low]))
 
     @staticmethod
     def merged(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = [unpacked(p) for p in pieces]
-        (keys,), counts, _ = _added([np.concatenate([np.cumsum(p[0], dtype=U) for p in parts])], np.concatenate([p[1] for p in parts]))
+        (keys,), counts, _ = _added([np.concatenate([np.cumsum(p[0], dtype=U) << p[2][0] for p in parts])], np.concatenate([p[1] for p in parts]))
         return keys, counts
 
     @classmethod
@@ -228,34 +234,62 @@ class Trie:
 # --- shards, and merging by range
 
 
-def _shards(docs: DataFrame, ranges: int, collect: Callable) -> DataFrame:
-    """part, shard, piece: what ``collect`` makes of the texts of a shard (a list of Text), cut by range."""
+def _shards(docs: DataFrame, ranges: int, collect: Callable, told: Callable | None = None) -> DataFrame:
+    """part, shard, piece: what ``collect`` makes of the texts of a shard (a list of Run), cut by range.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            parts, pieces = collect(held, ranges)
-            mark = int(mix(np.array([byte_mark ^ n], U))[0] >> U(1))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([mark] * len(parts), pa.int64()), pa.array(pieces, pa.binary())], names=["part", "shard", "piece"])
+    Beside them, once a shard, totals (lang, n: words) and, with ``told`` (the
+    bitmap of the words that it is asked about), spelt (hash, lang, word).
+    """
+    kind = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("piece", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("spelt", pa.list_(pa.struct([("hash", pa.int64()), ("lang", pa.string()), ("word", pa.string())])))])
 
-        byte_mark = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(told() if told else None)
         for b in batches:
-            for text, _ in _texts(b):
-                if not len(text.hashes):
-                    continue
-                byte_mark = (byte_mark * 31 + int(text.hashes[0])) & ((1 << 63) - 1)
-                kept = Run(text.hashes, text.follows)
-                held.append(kept)
-                n += len(text.hashes)
-                if n >= SHARD_WORDS:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
-
-    return docs.mapInArrow(run, "part int, shard long, piece binary")
+            for text, langs in _texts(b):
+                if len(text.hashes):
+                    shard.add(text, langs)
+                if shard.n >= SHARD_WORDS:
+                    yield shard.rows(collect, ranges, kind)
+        if shard.n:
+            yield shard.rows(collect, ranges, kind)
+
+    return docs.mapInArrow(run, "part int, shard long, piece binary, totals array<struct<lang:string,n:long>>, spelt array<struct<hash:long,lang:string,word:string>>")
+
+
+class Shard:
+    """Texts that are counted together."""
+
+    def __init__(self, told):
+        self.told, self.mark, self.new = told, 0, True
+        self.clear()
+
+    def clear(self) -> None:
+        self.runs, self.n, self.totals, self.seen, self.spelt = [], 0, {}, np.zeros(0, U), []
+
+    def add(self, text: Text, langs: pa.Array) -> None:
+        h = text.hashes
+        self.mark = (self.mark * 31 + int(h[0])) & ((1 << 63) - 1)
+        self.runs.append(Run(h, text.follows))
+        self.n += len(h)
+        names = langs.to_pylist()
+        for name, k in zip(names, np.bincount(text.rows, minlength=len(names)).tolist(), strict=True):
+            self.totals[name] = self.totals.get(name, 0) + k
+        if self.told is not None:
+            own, at = np.unique(h, return_index=True)
+            new = _has(self.told, own) & ~np.isin(own, self.seen, assume_unique=True)
+            for k, i in zip(own[new].view(np.int64).tolist(), at[new].tolist(), strict=True):
+                word = text.data[text.starts[i] : text.ends[i]].tobytes().decode()
+                self.spelt.append({"hash": k, "lang": names[text.rows[i]], "word": word})
+            self.seen = np.union1d(self.seen, own[new])
+
+    def rows(self, collect: Callable, ranges: int, kind: pa.Schema) -> pa.RecordBatch:
+        parts, pieces = collect(self.runs, ranges)
+        n = len(parts) + 1  # one without a piece, for totals and spellings
+        mark = int(mix(np.array([self.mark], U))[0] >> U(1))
+        totals = [{"lang": k, "n": v} for k, v in self.totals.items() if v]
+        columns = [pa.array([*parts, None], pa.int32()), pa.array([mark] * n, pa.int64()), pa.array([*pieces, None], pa.binary()), pa.array([None] * (n - 1) + [totals], kind.field("totals").type), pa.array([None] * (n - 1) + [self.spelt], kind.field("spelt").type)]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=kind)
 
 
 class Run:
@@ -266,8 +300,8 @@ class Run:
 
 
 def _merged(pieces: DataFrame, together: Callable[[list[bytes]], bytes], emit: Callable[[list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Merges the pieces of each range: in rounds of FAN while any range has more, then ``emit`` of what is left."""
-    pieces = staged(pieces, "pieces")
+    """Merges the pieces of each range of a staged table: in rounds of FAN while any range has more, then ``emit`` of what is left."""
+    whole, pieces = pieces, pieces.where("part IS NOT NULL").select("part", "shard", "piece")
     while (pieces.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0) > FAN:
         most = pieces.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0]
         share = F.pmod(F.xxhash64("shard", "part"), F.lit(-(-most // (FAN // 2)))).alias("share")
@@ -279,7 +313,8 @@ def _merged(pieces: DataFrame, together: Callable[[list[bytes]], bytes], emit: C
                     yield pa.RecordBatch.from_arrays([g.column(0).slice(0, 1), pa.array([g.column(1)[0].as_py() * 1_000_003 + k], pa.int64()), pa.array([together(some[k : k + FAN])], pa.binary())], names=["part", "shard", "piece"])
 
         dealt = pieces.select("part", share, "piece").repartition(tasks(pieces.sparkSession), "part", "share").sortWithinPartitions("part", "share")
-        before, pieces = pieces, staged(dealt.mapInArrow(joined, "part int, shard long, piece binary"), "pieces")
+        before, whole = whole, staged(dealt.mapInArrow(joined, "part int, shard long, piece binary"), "pieces")
+        pieces = whole
         drop_staged(before)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +324,7 @@ def _merged(pieces: DataFrame, together: Callable[[list[bytes]], bytes], emit: C
     n = tasks(pieces.sparkSession)
     out = pieces.select("part", "piece").repartition(n, "part").sortWithinPartitions("part").mapInArrow(last, schema)
     out = staged(out, "counts")
-    drop_staged(pieces)
+    drop_staged(whole)
     release(out.sparkSession)
     return out
 
@@ -304,21 +339,34 @@ def _pair_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(h[at] * _MIXED + h[at + 1])
 
 
-def _pair_pieces(words_bitmap) -> Callable:
+def _counted(keys: np.ndarray, ranges: int) -> tuple[list[int], list[bytes]]:
+    (k,), n, _ = _added([keys], np.ones(len(keys), U))
+    cuts = _cut(k, ranges)
+    some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
+    return some, [Pairs.piece(k[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in some]
+
+
+def _word_pieces(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
+    return _counted(np.concatenate([r.hashes for r in runs]), ranges)
+
+
+def _pair_pieces(words_bitmap, bits: int) -> Callable:
+    """``bits``: of a pair's hash. Pairs that share one are counted together, so some may be let through that are rare, and none is lost."""
+    rest = U(64 - bits)
+
     def collect(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
         keys = []
         for r in runs:
             ok = _has(words_bitmap, r.hashes)
-            keys.append(_pair_hashes(r.hashes, np.flatnonzero(ok[:-1] & ok[1:] & r.follows[1:])))
-        (k,), n, _ = _added([np.concatenate(keys)], np.ones(sum(map(len, keys)), U))
-        cuts = _cut(k, ranges)
-        some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
-        return some, [Pairs.piece(k[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in some]
+            keys.append(_pair_hashes(r.hashes, np.flatnonzero(ok[:-1] & ok[1:] & r.follows[1:])) >> rest << rest)
+        return _counted(np.concatenate(keys), ranges)
 
     return collect
 
 
-def _trie_pieces(pairs_bitmap) -> Callable:
+def _trie_pieces(pairs_bitmap, bits: int) -> Callable:
+    rest = U(64 - bits)
+
     def collect(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
         h = np.concatenate([r.hashes for r in runs])
         follows = np.concatenate([r.follows for r in runs])
@@ -328,7 +376,7 @@ def _trie_pieces(pairs_bitmap) -> Callable:
         at = np.flatnonzero(follows[1:])
         key = np.zeros(len(h), U)
         key[at] = _pair_hashes(h, at)
-        linked[at] = _has(pairs_bitmap, key[at])
+        linked[at] = _has(pairs_bitmap, key[at] >> rest << rest)
         length = np.ones(len(h), np.int64)
         for _ in range(DEPTH - 1):
             longer = np.ones(len(h), np.int64)
@@ -346,46 +394,27 @@ def _trie_pieces(pairs_bitmap) -> Callable:
 # --- the three passes
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """lang, word, hash, n: occurrences in each shard, added up; a null word carries all of a language's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, langs in _texts(b):
-                if not len(text.hashes):
-                    continue
-                h, at, n = np.unique(text.hashes, return_index=True, return_counts=True)
-                starts, ends = text.starts[at], text.ends[at]
-                size = ends - starts
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                data = text.data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
-                word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.large_string()).cast(pa.string())
-                rows = text.rows[at]
-                per = np.bincount(text.rows, minlength=len(langs))
-                each = {}
-                for name, k in zip(langs.to_pylist(), per.tolist(), strict=True):
-                    if k:
-                        each[name] = each.get(name, 0) + k
-                lang = pa.concat_arrays([langs.take(pa.array(rows)), pa.array(list(each), pa.string())])
-                yield pa.RecordBatch.from_arrays([lang, pa.concat_arrays([word, pa.nulls(len(each), pa.string())]), pa.concat_arrays([pa.array(h.view(np.int64)), pa.nulls(len(each), pa.int64())]), pa.concat_arrays([pa.array(n, pa.int64()), pa.array(list(each.values()), pa.int64())])], names=["lang", "word", "hash", "n"])
-
-    return docs.mapInArrow(run, "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
-
-
-def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """vocabulary (lang, word, hash, n; a null word: all words of a language) and phrases (words: hashes; a; befores; longer), of those that occur ``least`` times."""
+def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """words (hash, lang, word, n), totals (lang, n: all words) and phrases (words: hashes; a; befores; longer), of those that occur ``least`` times."""
     spark: SparkSession = docs.sparkSession
     body = docs.select(F.coalesce(named("lang"), F.lit("und")).alias("lang"), F.coalesce(named("text"), F.lit("")).alias("text"))
     ranges = 1 << (2 * tasks(spark) - 1).bit_length()
-    vocabulary = staged(_vocabulary(body).where((F.col("n") >= least) | F.col("word").isNull()), "vocabulary")
-    words = spark.sparkContext.broadcast(_bitmap(vocabulary.where("word IS NOT NULL"), "hash"))  # bounded: see _bitmap
 
     def often(pieces: list[bytes]) -> pa.RecordBatch:
         keys, n = Pairs.merged(_reduced(pieces, Pairs.together))
-        return pa.RecordBatch.from_arrays([pa.array(keys[n >= least].view(np.int64))], names=["pair"])
-
-    pairs = _merged(_shards(body, ranges, lambda r, k: _pair_pieces(words.value)(r, k)), Pairs.together, often, "pair long")
-    linked = spark.sparkContext.broadcast(_bitmap(pairs, "pair"))
+        return pa.RecordBatch.from_arrays([pa.array(keys[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["hash", "n"])
+
+    shards = staged(_shards(body, ranges, _word_pieces), "pieces")
+    totals = staged(shards.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = _merged(shards, Pairs.together, often, "hash long, n long")
+    told = spark.sparkContext.broadcast(_bitmap(words, "hash"))  # bounded: see _bitmap
+    # Hashes of pairs have SPARE_BITS more than it takes to number all words, so few pairs share one.
+    bits = min(64, (int(totals.agg(F.sum("n")).collect()[0][0] or 1)).bit_length() + SPARE_BITS)
+    shards = staged(_shards(body, ranges, lambda r, k: _pair_pieces(told.value, bits)(r, k), lambda: told.value), "pieces")
+    spelt = shards.select(F.inline("spelt")).groupBy("hash").agg(F.min(F.struct("lang", "word")).alias("s"))
+    words = staged(words.join(spelt, "hash").select("hash", "s.lang", "s.word", "n"), "words")
+    pairs = _merged(shards, Pairs.together, often, "hash long, n long")
+    linked = spark.sparkContext.broadcast(_bitmap(pairs, "hash"))
 
     def walked(pieces: list[bytes]) -> pa.RecordBatch:
         rows = [[], [], [], []]
@@ -395,9 +424,10 @@ def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["words", "a", "befores", "longer"])
 
-    phrases = _merged(_shards(body, ranges, lambda r, k: _trie_pieces(linked.value)(r, k)), Trie.together, walked, "words array<long>, a long, befores array<long>, longer long")
+    shards = staged(_shards(body, ranges, lambda r, k: _trie_pieces(linked.value, bits)(r, k)), "pieces")
+    phrases = _merged(shards, Trie.together, walked, "words array<long>, a long, befores array<long>, longer long")
     drop_staged(pairs)
-    return vocabulary, phrases
+    return words, totals, phrases
 
 
 def _reduced(pieces: list[bytes], together: Callable[[list[bytes]], bytes]) -> list[bytes]:
@@ -415,8 +445,7 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000) -> DataFra
     order of score, a and phrase; a language without frequent phrases, or an
     empty table, gives nothing. Other columns are ignored.
     """
-    vocabulary, phrases = nodes(docs, least)
-    words = vocabulary.where("word IS NOT NULL")
+    words, totals, phrases = nodes(docs, least)
     # The suffix link: from a phrase to the node of its words without the first; a chain of k links is one join.
     counts = phrases.select("words", "a").unionByName(words.select(F.array("hash").alias("words"), F.col("n").alias("a")))
     counts = staged(counts.select(F.col("words").alias("part"), F.col("a").alias("part_a")), "nodes")
@@ -425,7 +454,6 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000) -> DataFra
     cuts = cuts.select("words", "a", "k", F.when(F.col("k") > 1, F.get("befores", F.col("k") - 2)).alias("l"), F.slice("words", F.col("k") + 1, size - F.col("k")).alias("part"))
     ends = staged(cuts.join(counts, "part").select("words", "a", "k", "l", F.col("part_a").alias("r"), F.element_at("words", 1).alias("hash")), "cuts")
     firsts = words.select("hash", "lang", F.col("n").alias("n1"))
-    totals = vocabulary.where("word IS NULL").select("lang", "n")
     cuts = ends.join(firsts, "hash").join(totals, "lang")
     whole = lambda c: F.col(c).cast("decimal(20,0)")
     cuts = cuts.withColumn("l", F.coalesce("l", "n1")).withColumn("top", F.lit(1000).cast("decimal(4,0)") * whole("a") * whole("n")).withColumn("under", whole("l") * whole("r"))
