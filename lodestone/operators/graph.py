@@ -1,4 +1,4 @@
-"""Layers of a directed graph."""
+"""Layers and strong components of a directed graph."""
 
 from __future__ import annotations
 
@@ -12,20 +12,114 @@ from ..runtime import kept
 def layers(edges: DataFrame) -> DataFrame:
     """node, layer: the longest path to each node of a graph without cycles. edges: src, dst.
 
-    Rounds of joins: sources are layer 0; a node moves below the lowest of
-    those before it, until nothing moves. As many rounds as there are layers;
-    a graph with a cycle is an error, told by more rounds than nodes.
+    In each round the nodes that no edge leads to any more get the next layer
+    and go with their edges, so a round works on what is left, and there are as
+    many rounds as layers. Where edges are left and no such node is, the graph
+    has a cycle, which is an error (see ``strong_components``). Edges without an
+    end are passed over.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    state = kept(nodes.withColumn("layer", F.lit(0)))
-    count = state.count()
-    for _ in range(count + 1):
-        pushed = edges.join(state, F.col("src") == F.col("node")).groupBy("dst").agg((F.max("layer") + 1).alias("least"))
-        moved = kept(state.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("layer", F.coalesce("least", F.lit(0))).alias("layer"), F.col("layer").alias("was")))
-        if moved.where("layer <> was").isEmpty():
-            return moved.drop("was")
-        state = moved.drop("was")
-    raise ValueError("the graph has a cycle")
+    left = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+    found, layer = [], 0
+    while True:
+        below = left.select(F.col("dst").alias("node")).distinct()
+        found.append(kept(nodes.join(below, "node", "left_anti")).withColumn("layer", F.lit(layer)))
+        if left.isEmpty():
+            break
+        if found[-1].isEmpty():
+            raise ValueError("the graph has a cycle")
+        nodes = below
+        left = kept(left.join(found[-1].select(F.col("node").alias("src")), "src", "left_anti"))
+        layer += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component: nodes that reach each other, named after the least of them. edges: src, dst.
+
+    Nodes that no edge leads to, or none from, are components of their own and
+    are trimmed. Of the others each takes the greatest colour (node) that
+    reaches it; those that reach the node of their colour inside the colour are
+    its component, which goes, and all starts again with the rest. Colours are
+    disjoint, so a round finds a component in each. Edges without an end are
+    passed over; a node with only a loop is a component of its own.
+    """
+    left = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    nodes = kept(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+    left = kept(left.where("src <> dst"))
+    found: list[DataFrame] = []
+    while not nodes.isEmpty():
+        left, nodes = _trimmed(left, nodes, found)
+        if nodes.isEmpty():
+            break
+        colours = _spread(nodes.withColumn("colour", F.col("node")), left)
+        ends = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("from")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("to")), "dst")
+        inner = kept(ends.where(F.col("from") == F.col("to")).select("src", "dst", F.col("to").alias("colour")))
+        reached = kept(colours.where("node = colour"))
+        new = reached
+        while not new.isEmpty():  # backwards from the node of each colour
+            new = new.select(F.col("node").alias("dst")).join(inner, "dst").select(F.col("src").alias("node"), "colour").distinct()
+            new = kept(new.join(reached.select("node"), "node", "left_anti"))
+            reached = kept(reached.union(new))
+        found.append(reached.join(reached.groupBy("colour").agg(F.min("node").alias("component")), "colour").select("node", "component"))
+        nodes = kept(nodes.join(reached.select("node"), "node", "left_anti"))
+        left = _among(left, nodes)
+    if not found:
+        return nodes.withColumn("component", F.col("node"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    return kept(inside.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
+
+def _trimmed(left: DataFrame, nodes: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes without those that nothing leads to or from; these are put into ``found``."""
+    while True:
+        both = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        alone = kept(nodes.join(both, "node", "left_anti"))
+        if alone.isEmpty():
+            return left, nodes
+        found.append(alone.withColumn("component", F.col("node")))
+        nodes = kept(nodes.join(alone, "node", "left_anti"))
+        left = _among(left, nodes)
+
+
+def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """The greatest colour that reaches each node; only nodes that changed pass theirs on."""
+    state = moved = kept(colours)
+    while not moved.isEmpty():
+        passed = moved.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.max("colour").alias("more"))
+        both = kept(state.join(passed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("moved")))
+        state, moved = both.select("node", "colour"), both.where("moved").select("node", "colour")
+    return state
+
+
+def component_layers(edges: DataFrame) -> DataFrame:
+    """node, component, layer of a large graph that may have cycles: the longest path to a node's component in the graph of components."""
+    edges = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    own = kept(strong_components(edges))
+    between = _ends(edges, own).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    placed = layers(between).select(F.col("node").alias("component"), "layer")
+    return own.join(placed, "component", "left").select("node", "component", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src, dst, component: the edges that lie on a cycle, that is, inside a component (node, component), loops included."""
+    return _ends(edges.select("src", "dst").distinct(), components).where("a = b").select("src", "dst", F.col("a").alias("component"))
+
+
+def _ends(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src, dst, and the components a and b of both."""
+    a, b = (components.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("src", "a"), ("dst", "b")))
+    return edges.join(a, "src").join(b, "dst")
 
 
 def forward_edges(edges: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]]]:

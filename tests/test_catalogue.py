@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue, whole_tables
+from lodestone.plans import catalogue, large_inputs, whole_tables
 
-assert whole_tables.catalogue is catalogue  # it adds its queries there
+assert whole_tables.catalogue is catalogue is large_inputs.catalogue  # they add their queries there
 
 
 @pytest.fixture(scope="module")

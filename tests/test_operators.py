@@ -371,8 +371,49 @@ def test_evaluation(spark):
 
 
 def test_cycles_are_an_error(spark):
-    with pytest.raises(ValueError):
-        graph.layers(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
+    edges = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.layers(edges([("a", "b"), ("b", "c"), ("c", "b")]))
+    told = graph.layers(edges([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c"), ("a", "b"), (None, "n"), ("n", None)]))
+    assert {r["node"]: r["layer"] for r in told.collect()} == {"a": 0, "b": 1, "c": 2, "x": 0}
+    assert graph.layers(edges([])).collect() == []
+
+
+def plain_components(edges):
+    """Nodes by what they reach, each component after its least node; and the longest path between components."""
+    edges = {(a, b) for a, b in edges if a is not None and b is not None}
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    far = {a: reach(a) for a in after}
+    own = {a: min([a, *(b for b in far[a] if a in far[b])]) for a in after}
+    between = {(own[a], own[b]) for a, b in edges if own[a] != own[b]}
+    layer = {c: 0 for c in own.values()}
+    for _ in layer:
+        for a, b in between:
+            layer[b] = max(layer[b], layer[a] + 1)
+    return {(a, c, layer[c]) for a, c in own.items()}, {(a, b, own[a]) for a, b in edges if own[a] == own[b]}
+
+
+@pytest.mark.parametrize("n,m,seed", [(1, 1, 0), (6, 9, 1), (30, 38, 2), (30, 60, 3), (0, 0, 4)])
+def test_strong_components_are_those_of_a_plain_walk(spark, n, m, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + ([(None, 1), (2, None)] if n > 1 else [])
+    edges = spark.createDataFrame(rows, "src long, dst long").repartition(3)
+    layers, cyclic = plain_components(rows)
+    got = graph.component_layers(edges)
+    assert {tuple(r) for r in got.collect()} == layers and got.count() == len(layers)
+    assert {tuple(r) for r in graph.cyclic_edges(edges.dropna(), got).collect()} == cyclic
 
 
 def test_streams(spark, tmp_path):
