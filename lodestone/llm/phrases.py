@@ -1,15 +1,13 @@
 """Phrases whose words occur together far more often than their parts would.
 
-Three passes over the texts, each counted in shards (the texts of a task, or as
+Passes over the texts, each counted in shards (the texts of a task, or as
 much of them as memory for a shard holds):
 
-1. words, by a hash of language and word: sorted counts, merged by range; the
-   hashes of those that occur often enough form a bitmap of bounded size;
-2. pairs of neighbouring words that the bitmap has, by a shorter hash of both:
-   sorted counts, merged by range, give a second bitmap of pairs that may be
-   frequent. The same pass tells how the words of the bitmap are spelt;
-3. a count trie of depth five for each shard, of runs of words all of whose
-   pairs are in the second bitmap.
+1. words, pairs and triples of neighbouring words, one pass for each: sorted
+   counts of hashes, merged by range, give a bitmap of bounded size of those
+   that may be frequent, and the next pass counts only what it has;
+2. a count trie of depth five for each shard, of runs of words all of whose
+   pairs and triples are in the bitmaps.
 
 A part of a frequent phrase is frequent itself, so bitmaps take nothing away
 that counts; what they let through besides only costs time. Each trie is cut by
@@ -31,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,21 +146,23 @@ def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray]
     return [k[at] for k in ks], np.add.reduceat(counts[order], at), place
 
 
-class Pairs:
-    """Counts of hashes, sorted."""
+class Counts:
+    """Counts of hashes, sorted, each with the least number of a shard that has it."""
 
     @staticmethod
-    def piece(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    def piece(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> bytes:
         # low bits that no key has are left out of the differences
         used = int(np.bitwise_or.reduce(keys)) if len(keys) else 1
         low = (used & -used).bit_length() - 1
-        return packed(np.diff(keys >> U(low), prepend=U(0)), counts, np.array([low]))
+        return packed(np.diff(keys >> U(low), prepend=U(0)), counts, shards, np.array([low]))
 
     @staticmethod
-    def merged(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def merged(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [unpacked(p) for p in pieces]
-        (keys,), counts, _ = _added([np.concatenate([np.cumsum(p[0], dtype=U) << p[2][0] for p in parts])], np.concatenate([p[1] for p in parts]))
-        return keys, counts
+        (keys,), counts, place = _added([np.concatenate([np.cumsum(p[0], dtype=U) << p[3][0] for p in parts])], np.concatenate([p[1] for p in parts]))
+        shards = np.full(len(keys), ~U(0))
+        np.minimum.at(shards, place, np.concatenate([p[2] for p in parts]))
+        return keys, counts, shards
 
     @classmethod
     def together(cls, pieces: list[bytes]) -> bytes:
@@ -234,69 +235,63 @@ class Trie:
 # --- shards, and merging by range
 
 
-def _shards(docs: DataFrame, ranges: int, collect: Callable, told: Callable | None = None) -> DataFrame:
-    """part, shard, piece: what ``collect`` makes of the texts of a shard (a list of Run), cut by range.
+_TOLD = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("piece", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("spelt", pa.list_(pa.struct([("hash", pa.int64()), ("lang", pa.string()), ("word", pa.string())])))])
 
-    Beside them, once a shard, totals (lang, n: words) and, with ``told`` (the
-    bitmap of the words that it is asked about), spelt (hash, lang, word).
+
+def _shards(docs: DataFrame, ranges: int, collect: Callable, spell: Callable | None = None) -> DataFrame:
+    """part, shard, piece: what ``collect`` makes of the words of a shard (hashes, follows), cut by range.
+
+    Beside them, once a shard, totals (lang, n: words) and spelt (hash, lang,
+    word): the words that ``spell`` (hashes, shard -> which) asks it for.
     """
-    kind = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("piece", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("spelt", pa.list_(pa.struct([("hash", pa.int64()), ("lang", pa.string()), ("word", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(told() if told else None)
+        task, count = TaskContext.get().partitionId(), 0
+        shard = Shard(task << 16, spell)
         for b in batches:
             for text, langs in _texts(b):
                 if len(text.hashes):
                     shard.add(text, langs)
                 if shard.n >= SHARD_WORDS:
-                    yield shard.rows(collect, ranges, kind)
+                    yield shard.rows(collect, ranges)
+                    count += 1
+                    shard = Shard(task << 16 | count & 0xFFFF, spell)
         if shard.n:
-            yield shard.rows(collect, ranges, kind)
+            yield shard.rows(collect, ranges)
 
     return docs.mapInArrow(run, "part int, shard long, piece binary, totals array<struct<lang:string,n:long>>, spelt array<struct<hash:long,lang:string,word:string>>")
 
 
 class Shard:
-    """Texts that are counted together."""
+    """Words that are counted together."""
 
-    def __init__(self, told):
-        self.told, self.mark, self.new = told, 0, True
-        self.clear()
-
-    def clear(self) -> None:
-        self.runs, self.n, self.totals, self.seen, self.spelt = [], 0, {}, np.zeros(0, U), []
+    def __init__(self, number: int, spell: Callable | None):
+        self.number, self.spell = number, spell
+        self.hashes, self.follows, self.n, self.totals, self.spelt = [], [], 0, {}, {}
 
     def add(self, text: Text, langs: pa.Array) -> None:
         h = text.hashes
-        self.mark = (self.mark * 31 + int(h[0])) & ((1 << 63) - 1)
-        self.runs.append(Run(h, text.follows))
+        self.hashes.append(h)
+        self.follows.append(text.follows)
         self.n += len(h)
         names = langs.to_pylist()
         for name, k in zip(names, np.bincount(text.rows, minlength=len(names)).tolist(), strict=True):
             self.totals[name] = self.totals.get(name, 0) + k
-        if self.told is not None:
+        if self.spell is not None:
             own, at = np.unique(h, return_index=True)
-            new = _has(self.told, own) & ~np.isin(own, self.seen, assume_unique=True)
-            for k, i in zip(own[new].view(np.int64).tolist(), at[new].tolist(), strict=True):
-                word = text.data[text.starts[i] : text.ends[i]].tobytes().decode()
-                self.spelt.append({"hash": k, "lang": names[text.rows[i]], "word": word})
-            self.seen = np.union1d(self.seen, own[new])
-
-    def rows(self, collect: Callable, ranges: int, kind: pa.Schema) -> pa.RecordBatch:
-        parts, pieces = collect(self.runs, ranges)
+            asked = self.spell(own, self.number)
+            for k, i in zip(own[asked].view(np.int64).tolist(), at[asked].tolist(), strict=True):
+                if k not in self.spelt:
+                    word = text.data[text.starts[i] : text.ends[i]].tobytes().decode()
+                    self.spelt[k] = {"hash": k, "lang": names[text.rows[i]], "word": word}
+
+    def rows(self, collect: Callable, ranges: int) -> pa.RecordBatch:
+        parts, pieces = collect(np.concatenate(self.hashes), np.concatenate(self.follows), self.number, ranges)
         n = len(parts) + 1  # one without a piece, for totals and spellings
-        mark = int(mix(np.array([self.mark], U))[0] >> U(1))
         totals = [{"lang": k, "n": v} for k, v in self.totals.items() if v]
-        columns = [pa.array([*parts, None], pa.int32()), pa.array([mark] * n, pa.int64()), pa.array([*pieces, None], pa.binary()), pa.array([None] * (n - 1) + [totals], kind.field("totals").type), pa.array([None] * (n - 1) + [self.spelt], kind.field("spelt").type)]
-        self.clear()
-        return pa.RecordBatch.from_arrays(columns, schema=kind)
-
-
-class Run:
-    """Hashes of words in order, and which of them follow the one before."""
-
-    def __init__(self, hashes: np.ndarray, follows: np.ndarray):
-        self.hashes, self.follows = hashes, follows
+        columns = [pa.array([*parts, None], pa.int32()), pa.array([self.number] * n, pa.int64()), pa.array([*pieces, None], pa.binary())]
+        columns += [pa.array([None] * (n - 1) + [rows], _TOLD.field(name).type) for name, rows in (("totals", totals), ("spelt", list(self.spelt.values())))]
+        return pa.RecordBatch.from_arrays(columns, schema=_TOLD)
 
 
 def _merged(pieces: DataFrame, together: Callable[[list[bytes]], bytes], emit: Callable[[list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
@@ -335,63 +330,56 @@ def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def _pair_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(h[at] * _MIXED + h[at + 1])
-
-
-def _counted(keys: np.ndarray, ranges: int) -> tuple[list[int], list[bytes]]:
-    (k,), n, _ = _added([keys], np.ones(len(keys), U))
-    cuts = _cut(k, ranges)
-    some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
-    return some, [Pairs.piece(k[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in some]
-
-
-def _word_pieces(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
-    return _counted(np.concatenate([r.hashes for r in runs]), ranges)
-
-
-def _pair_pieces(words_bitmap, bits: int) -> Callable:
-    """``bits``: of a pair's hash. Pairs that share one are counted together, so some may be let through that are rare, and none is lost."""
-    rest = U(64 - bits)
-
-    def collect(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
-        keys = []
-        for r in runs:
-            ok = _has(words_bitmap, r.hashes)
-            keys.append(_pair_hashes(r.hashes, np.flatnonzero(ok[:-1] & ok[1:] & r.follows[1:])) >> rest << rest)
-        return _counted(np.concatenate(keys), ranges)
-
-    return collect
-
+class Grams:
+    """Which words, pairs and triples may be frequent, by the bitmaps so far, and hashes of those of one word more.
 
-def _trie_pieces(pairs_bitmap, bits: int) -> Callable:
-    rest = U(64 - bits)
+    ``bits``: of the hashes of pairs and triples. Those that share one are
+    counted together, so some may be let through that are rare; none is lost.
+    """
 
-    def collect(runs: list[Run], ranges: int) -> tuple[list[int], list[bytes]]:
-        h = np.concatenate([r.hashes for r in runs])
-        follows = np.concatenate([r.follows for r in runs])
-        for at in np.cumsum([len(r.hashes) for r in runs])[:-1]:
-            follows[at] = False
-        linked = np.zeros(len(h), bool)  # whether the pair that begins here is in the bitmap
-        at = np.flatnonzero(follows[1:])
-        key = np.zeros(len(h), U)
-        key[at] = _pair_hashes(h, at)
-        linked[at] = _has(pairs_bitmap, key[at] >> rest << rest)
-        length = np.ones(len(h), np.int64)
-        for _ in range(DEPTH - 1):
-            longer = np.ones(len(h), np.int64)
-            longer[:-1] = np.where(linked[:-1], length[1:] + 1, 1)
-            length = longer
-        first = np.flatnonzero(linked)
-        first = first[np.argsort(key[first], kind="stable")]
-        cuts = _cut(key[first], ranges)
+    def __init__(self, bitmaps: list, bits: int):
+        self.bitmaps, self.rest = bitmaps, U(64 - bits)
+
+    def chains(self, h: np.ndarray, follows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each bitmap, the starts of what it has; and starts and hashes of what those let through next."""
+        starts, keys = np.arange(len(h)), h
+        found = []
+        for size, bitmap in enumerate(self.bitmaps, 1):
+            keys = keys[some := _has(bitmap, self.cut(keys, size))]
+            starts = starts[some]
+            found.append(starts)
+            # longer by a word, where what begins a word later may be frequent too
+            with_next = np.zeros(len(h) + 1, bool)
+            with_next[starts] = True
+            go = with_next[starts + 1] & np.append(follows, False)[starts + size]
+            starts, keys = starts[go], keys[go]
+            keys = mix(keys * _MIXED + h[starts + size])
+        return found, starts, keys
+
+    def cut(self, keys: np.ndarray, size: int) -> np.ndarray:
+        return keys if size == 1 else keys >> self.rest << self.rest
+
+    def counts(self, h: np.ndarray, follows: np.ndarray, shard: int, ranges: int) -> tuple[list[int], list[bytes]]:
+        _, _, keys = self.chains(h, follows)
+        (k,), n, _ = _added([self.cut(keys, len(self.bitmaps) + 1)], np.ones(len(keys), U))
+        cuts = _cut(k, ranges)
         some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
-        return some, [Trie.of(first[cuts[p] : cuts[p + 1]], h, length[first[cuts[p] : cuts[p + 1]]]).piece() for p in some]
-
-    return collect
+        return some, [Counts.piece(k[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]], np.full(cuts[p + 1] - cuts[p], shard, U)) for p in some]
+
+    def tries(self, h: np.ndarray, follows: np.ndarray, shard: int, ranges: int) -> tuple[list[int], list[bytes]]:
+        (_, pairs, triples), _, _ = self.chains(h, follows)
+        length, longer = np.ones(len(h) + 1, np.int64), np.zeros(len(h), bool)
+        length[pairs], longer[triples] = 2, True
+        for _ in range(DEPTH - 2):
+            length[:-1] = np.where(longer, length[1:] + 1, length[:-1])
+        key = mix(h[pairs] * _MIXED + h[pairs + 1])
+        order = np.argsort(key, kind="stable")
+        first, cuts = pairs[order], _cut(key[order], ranges)
+        some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
+        return some, [Trie.of(first[cuts[p] : cuts[p + 1]], h, np.minimum(length[first[cuts[p] : cuts[p + 1]]], DEPTH)).piece() for p in some]
 
 
-# --- the three passes
+# --- the passes
 
 
 def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -401,20 +389,27 @@ def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]
     ranges = 1 << (2 * tasks(spark) - 1).bit_length()
 
     def often(pieces: list[bytes]) -> pa.RecordBatch:
-        keys, n = Pairs.merged(_reduced(pieces, Pairs.together))
-        return pa.RecordBatch.from_arrays([pa.array(keys[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["hash", "n"])
-
-    shards = staged(_shards(body, ranges, _word_pieces), "pieces")
-    totals = staged(shards.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = _merged(shards, Pairs.together, often, "hash long, n long")
-    told = spark.sparkContext.broadcast(_bitmap(words, "hash"))  # bounded: see _bitmap
-    # Hashes of pairs have SPARE_BITS more than it takes to number all words, so few pairs share one.
-    bits = min(64, (int(totals.agg(F.sum("n")).collect()[0][0] or 1)).bit_length() + SPARE_BITS)
-    shards = staged(_shards(body, ranges, lambda r, k: _pair_pieces(told.value, bits)(r, k), lambda: told.value), "pieces")
-    spelt = shards.select(F.inline("spelt")).groupBy("hash").agg(F.min(F.struct("lang", "word")).alias("s"))
-    words = staged(words.join(spelt, "hash").select("hash", "s.lang", "s.word", "n"), "words")
-    pairs = _merged(shards, Pairs.together, often, "hash long, n long")
-    linked = spark.sparkContext.broadcast(_bitmap(pairs, "hash"))
+        keys, n, shards = Counts.merged(_reduced(pieces, Counts.together))
+        some = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (keys, n, shards)], names=["hash", "n", "shard"])
+
+    sent: list = []  # bounded: see _bitmap
+    bits, spell, words, totals = 64, None, None, None
+    for size in (1, 2, 3):
+        shards = staged(_shards(body, ranges, _counting(list(sent), bits), spell), "pieces")
+        if size == 1:
+            totals = staged(shards.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+            # Hashes of pairs and triples have SPARE_BITS more than it takes to number all words, so few share one.
+            bits = min(64, int(totals.agg(F.sum("n")).collect()[0][0] or 1).bit_length() + SPARE_BITS)
+        if size == 2:
+            spelt = staged(shards.select(F.inline("spelt")), "spelt")
+        found = _merged(shards, Counts.together, often, "hash long, n long, shard long")
+        sent.append(spark.sparkContext.broadcast(_bitmap(found, "hash")))
+        if size == 1:
+            words, spell = found, _spelling(spark, found)
+        else:
+            drop_staged(found)
+    words = staged(_spelt(body, words, spelt), "words")
 
     def walked(pieces: list[bytes]) -> pa.RecordBatch:
         rows = [[], [], [], []]
@@ -424,10 +419,40 @@ def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]
         kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["words", "a", "befores", "longer"])
 
-    shards = staged(_shards(body, ranges, lambda r, k: _trie_pieces(linked.value, bits)(r, k)), "pieces")
-    phrases = _merged(shards, Trie.together, walked, "words array<long>, a long, befores array<long>, longer long")
-    drop_staged(pairs)
-    return words, totals, phrases
+    shards = staged(_shards(body, ranges, _counting(sent, bits, "tries")), "pieces")
+    return words, totals, _merged(shards, Trie.together, walked, "words array<long>, a long, befores array<long>, longer long")
+
+
+def _counting(sent: list, bits: int, what: str = "counts") -> Callable:
+    return lambda *shard: getattr(Grams([b.value for b in sent], bits), what)(*shard)
+
+
+def _spelling(spark: SparkSession, words: DataFrame) -> Callable:
+    """Each word is spelt by the first shard that has it alone: a bitmap of words with their shards."""
+
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_with_shard(b.column(0).to_numpy().view(U), b.column(1).to_numpy().view(U)).view(np.int64))], names=["hash"])
+
+    marks = spark.sparkContext.broadcast(_bitmap(words.select("hash", "shard").mapInArrow(own, "hash long"), "hash"))
+    return lambda hashes, shard: _has(marks.value, _with_shard(hashes, U(shard)))
+
+
+def _with_shard(hashes: np.ndarray, shard) -> np.ndarray:
+    return mix(hashes ^ (shard + U(1)) * _MIXED)
+
+
+def _spelt(body: DataFrame, words: DataFrame, spelt: DataFrame) -> DataFrame:
+    """hash, lang, word, n. Should texts have come in other shards than in the first pass, words that nobody has spelt are looked for again."""
+    rows = words.select("hash", "n")
+    told = spelt.groupBy("hash").agg(F.min(F.struct("lang", "word")).alias("s"))
+    missing = staged(rows.join(told, "hash", "left_anti"), "unspelt")
+    if not missing.isEmpty():
+        asked = body.sparkSession.sparkContext.broadcast(_bitmap(missing, "hash"))
+        again = _shards(body, 1, lambda *_: ([], []), lambda hashes, shard: _has(asked.value, hashes))
+        told = spelt.unionByName(again.select(F.inline("spelt"))).groupBy("hash").agg(F.min(F.struct("lang", "word")).alias("s"))
+    return rows.join(told, "hash").select("hash", "s.lang", "s.word", "n")
 
 
 def _reduced(pieces: list[bytes], together: Callable[[list[bytes]], bytes]) -> list[bytes]:

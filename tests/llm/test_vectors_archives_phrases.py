@@ -327,3 +327,10 @@ def test_merged_tries_count_as_one_trie(parts, least):
             assert b == [want[tuple(row[:k])] for k in range(2, len(row))]
             assert more == (max((want[(*row, x)] for x in range(4)), default=0) if len(row) < 5 else 0)
     assert seen == {p: a for p, a in want.items() if a >= least}
+
+
+def test_words_that_no_shard_has_spelt_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_spelling", lambda spark, words: lambda hashes, shard: np.zeros(len(hashes), bool))
+    rows = many_texts(6, 60)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(docs, 4, 100).collect())) == plain_phrases(rows, 4, 100)
