@@ -83,7 +83,7 @@ DIGIT_NUMERALS = {**NUMERALS, "两": "2", "半": "0.5"}
 
 # How a name is given, words that look like names, characters that no name has.
 NAME_PATTERNS = (r"姓名[:：]\s*([\x{4e00}-\x{9fa5}]{2,4})", r"我[是叫]\s*([\x{4e00}-\x{9fa5}]{2,4})")
-NOT_NAMES = ("老师", "助教", "学长", "学姐", "同学", "学生", "数电", "数字", "电路", "实验", "作业", "补交", "漏交", "没交", "昨天", "今天", "前天", "雨课堂", "中山大学", "X 老师", "我作", "我作漏", "作业漏", "作业没", "作业忘", "漏提交", "没提交", "忘提交", "老师您好", "您好", "学长好", "助教好")
+NOT_NAMES = ("老师", "助教", "学长", "学姐", "同学", "学生", "数电", "数字", "电路", "实验", "作业", "补交", "漏交", "没交", "昨天", "今天", "前天", "雨课堂", "X 老师", "我作", "我作漏", "作业漏", "作业没", "作业忘", "漏提交", "没提交", "忘提交", "老师您好", "您好", "学长好", "助教好")
 NOT_IN_NAMES = "作没漏交"
 
 # Words that say nothing about a question.
@@ -131,7 +131,7 @@ PROBLEM_LINE = r"(?m)^\s*(\d{1,2})\s*[.．\-]\s*(\d{1,3})(?![0-9])"
 CHAPTER_IN_NAME = r"第\s*(\d{1,2})(?:\s*[-–—~]\s*(\d{1,2}))?\s*章"
 
 # Ends of file names and editions that are no part of a title, and what stands for a missing one.
-TITLE_ENDINGS = ("R-ZYL", "ZYL", "R")
+TITLE_ENDINGS = ("R",)
 TITLE_EDITION = r"[（(]中文版[)）]"
 UNTITLED = "讲义"
 
@@ -160,3 +160,8 @@ ANCHOR_PREFACE = "教材 译者序 符号 约定 国标 导线 交叉 连接 黑
 # Pictures, and sizes of files beyond which someone has to look first.
 PICTURES = (".jpg", ".png", ".jpeg", ".webp")
 LARGE_PDF = 5_000_000
+
+# Wording of heads of texts where a course brings none of its own.
+ANCHOR_LANGUAGE = "中文版"
+ANCHOR_EDITION = "中文版第6版"
+ANCHOR_ANSWERS_ONLY = "⚠️ 这里只有**最终答案**,没有解题过程。本项目作业题的权威解答见各章题目文件(中文版作业用书)。"

@@ -246,7 +246,7 @@ def html_escaped(text: Column | str) -> Column:
 
 
 def clean_title(name: Column | str, endings: Sequence[str] = C.TITLE_ENDINGS, edition: str = C.TITLE_EDITION, otherwise: str = C.UNTITLED) -> Column:
-    """A title from a file's name: without marks at its end and of its edition; ``otherwise`` if nothing is left."""
+    """A title from a file's name: without marks at its end (``endings``, such as initials of who made it) and of its edition; ``otherwise`` if nothing is left."""
     t = F.regexp_replace(_col(name), r"^\s+|\s+$", "")
     t = F.regexp_replace(F.regexp_replace(t, rf"(?i)[-_\s]*(?:{any_of(endings)})$", ""), edition, "")
     return F.coalesce(F.nullif(F.regexp_replace(t, r"^[ \-_—]+|[ \-_—]+$", ""), F.lit("")), F.lit(otherwise))

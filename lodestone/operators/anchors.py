@@ -13,13 +13,16 @@ from ..functions.text import chapter_label, keyword_line
 
 @dataclass(frozen=True)
 class Course:
-    """What heads name: the course, who teaches it, its book, the file of the book, and words that all anchors share."""
+    """What heads name: the course, who teaches it, its book, the file of the book, and words that all anchors share; the edition, and what is said of answers without solutions."""
 
     name: str
     teacher: str = ""
     book: str = ""
     book_file: str = ""
     extra: str = ""
+    language: str = C.ANCHOR_LANGUAGE
+    edition: str = C.ANCHOR_EDITION
+    answers_only: str = C.ANCHOR_ANSWERS_ONLY
 
 
 def _text(*parts: Column | str) -> Column:
@@ -47,8 +50,8 @@ def problem(course: Course, chapter: Column, number: Column, source: Column, fol
 
 def translated_problem(course: Course, chapter: Column, number: Column, source: Column) -> Column:
     """Head of a problem's answer in the edition that counts."""
-    words = [*C.ANCHOR_PROBLEM, "中文版", chapter_label(chapter), _text("CH", chapter), number, _text("题", number), course.extra]
-    return _head(_text(f"【{course.name} ", chapter_label(chapter), " 习题 ", number, f" 参考答案(中文版)】任课老师:{course.teacher}"), _text("来源:", source, f"({course.book},**参数与结论以本版为准**)"), words)
+    words = [*C.ANCHOR_PROBLEM, course.language, chapter_label(chapter), _text("CH", chapter), number, _text("题", number), course.extra]
+    return _head(_text(f"【{course.name} ", chapter_label(chapter), " 习题 ", number, f" 参考答案({course.language})】任课老师:{course.teacher}"), _text("来源:", source, f"({course.book},**参数与结论以本版为准**)"), words)
 
 
 def slides(course: Course, chapter: Column, title: Column, source: Column, pages: Column) -> Column:
@@ -60,15 +63,15 @@ def book_chapter(course: Course, chapter: Column, title: Column, first: Column,
     """Head of a book's chapter; words of titles count one by one. ``sections``: array of section titles."""
     listed = F.split(F.array_join(F.concat(F.array(title), sections, F.array(F.lit(course.extra))), " "), r"\s+")
     words = F.array_join(F.filter(F.array_distinct(F.concat(F.array(*map(F.lit, (course.name, *C.ANCHOR_BOOK)), chapter_label(chapter), _text("CH", chapter)), listed)), lambda w: w != ""), " ")
-    title_line = _text(f"【{course.name} 教材(中文版第6版) ", chapter_label(chapter), " ", title, f"】{course.book}")
+    title_line = _text(f"【{course.name} 教材({course.edition}) ", chapter_label(chapter), " ", title, f"】{course.book}")
     origin = _text(f"来源:{course.book_file} 印刷页 P", first, "-P", last, "(扫描件经 OCR,公式/上下标可能有乱码,以书为准)")
     return F.concat(F.array_join(F.array(title_line, origin, F.concat(F.lit("检索:"), words)), "\n"), F.lit("\n"))
 
 
 def book_appendix(course: Course, first: Column, last: Column) -> Column:
-    note = F.lit("⚠️ 这里只有**最终答案**,没有解题过程。本项目作业题的权威解答见各章题目文件(中文版作业用书)。")
-    return _head(_text(f"【{course.name} 教材(中文版第6版) 附录 奇数编号习题答案】{course.book}"), _text(f"来源:{course.book_file} 印刷页 P", first, "-P", last), [f"{course.name} {C.ANCHOR_APPENDIX}"], note)
+    note = F.lit(course.answers_only)
+    return _head(_text(f"【{course.name} 教材({course.edition}) 附录 奇数编号习题答案】{course.book}"), _text(f"来源:{course.book_file} 印刷页 P", first, "-P", last), [f"{course.name} {C.ANCHOR_APPENDIX}"], note)
 
 
 def book_preface(course: Course) -> Column:
-    return _head(F.lit(f"【{course.name} 教材(中文版第6版) 译者序:符号与国标差异说明】{course.book}"), F.lit(f"来源:{course.book_file} 书前页(罗马数字页码,无阿拉伯页码)"), [f"{course.name} {C.ANCHOR_PREFACE}"])
+    return _head(F.lit(f"【{course.name} 教材({course.edition}) 译者序:符号与国标差异说明】{course.book}"), F.lit(f"来源:{course.book_file} 书前页(罗马数字页码,无阿拉伯页码)"), [f"{course.name} {C.ANCHOR_PREFACE}"])

@@ -1,8 +1,7 @@
 """Registered queries over the driver's tables, each beside the SQL that says the same.
 
 Rule tables of the course domain are Chinese, the tables are not; queries over
-tables bring rules of their own, so that every branch occurs, and the Chinese
-rules are exercised on rows written out here.
+tables bring rules of their own, so that every branch occurs.
 """
 
 from __future__ import annotations
@@ -14,10 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import parsers
 from ..functions import text as T
 from ..functions.tokenize import content, words
-from ..operators import assemble, bm25, chunk, evaluate, graph, layout, mine, registry, route, validity
+from ..operators import assemble, bm25, chunk, evaluate, mine, registry, route, validity
 from ..runtime import kept
 from ..sources import html
 from ..streaming import messages
@@ -38,6 +36,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+#: What identifies a turn of a conversation and a chunk of a document; numbers put together could clash.
+_TURN, _CHUNK = ("conv_id", "turn"), ("doc_id", "chunk_no")
+
+
+def _struct(columns: tuple[str, ...]) -> str:
+    """The SQL of an identifier."""
+    return "struct_pack(" + ", ".join(f"{c} := {c}" for c in columns) + ")"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,9 +112,9 @@ def doc_freq_idf_lucene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.idf_lucene(index.terms, index.corpus).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"WITH {_INDEX.replace('doc_id AS id', 'conv_id * 1000 + turn AS id').replace('FROM documents', 'FROM conversations')}, {_FLOORED} SELECT term, df, ROUND(idf, 6) AS idf FROM terms JOIN idf USING (term)")
+@query(f"WITH {_INDEX.replace('doc_id AS id', _struct(_TURN) + ' AS id').replace('FROM documents', 'FROM conversations')}, {_FLOORED} SELECT term, df, ROUND(idf, 6) AS idf FROM terms JOIN idf USING (term)")
 def doc_freq_idf_floored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.struct(*_TURN))
     index = bm25.build(turns, "id", words("text"))
     return bm25.idf_floored(index.terms, index.corpus).withColumn("idf", F.round("idf", 6))
 
@@ -136,83 +143,63 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", ends=_ENDS).drop("anchor")
 
 
-_CHUNK_INDEX = _INDEX.replace("doc_id AS id", "doc_id * 100000 + chunk_no AS id").replace("FROM documents", "FROM chunks")
+_CHUNK_INDEX = _INDEX.replace("doc_id AS id", _struct(_CHUNK) + " AS id").replace("FROM documents", "FROM chunks")
 
 
-@query(f"WITH RECURSIVE {_CHUNKS}, {_CHUNK_INDEX}, {_LUCENE}, {_scored('SELECT item_id AS q, text FROM benchmark', 5)} SELECT q AS item_id, id // 100000 AS doc_id, CAST(id % 100000 AS INTEGER) AS chunk_no, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, c.text FROM best JOIN chunks c ON c.doc_id = id // 100000 AND c.chunk_no = id % 100000")
+@query(f"WITH RECURSIVE {_CHUNKS}, {_CHUNK_INDEX}, {_LUCENE}, {_scored('SELECT item_id AS q, text FROM benchmark', 5)} SELECT q AS item_id, c.doc_id, CAST(c.chunk_no AS INTEGER) AS chunk_no, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, c.text FROM best JOIN chunks c ON c.doc_id = id.doc_id AND c.chunk_no = id.chunk_no")
 def bm25_topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = chunk_documents(spark, sf_dir).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
-    index = bm25.stored(parts, "id", words("text"), "chunks")
+    parts = chunk_documents(spark, sf_dir).withColumn("id", F.struct(*_CHUNK))
+    index = bm25.stored(parts, "id", words("text"), "chunks", "split_text 1")
     found = kept(bm25.search(index, benchmark_queries(spark, sf_dir), "q", words("text"), 5))
     # Only documents that hold one of the best are cut again.
-    hit = found.select(F.expr("id div 100000").alias("doc_id")).distinct()
+    hit = found.select("id.doc_id").distinct()
     docs = table(spark, sf_dir, "documents").join(hit, "doc_id", "left_semi")
-    parts = chunk.chunks(docs, "doc_id", "text", ends=_ENDS).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    parts = chunk.chunks(docs, "doc_id", "text", ends=_ENDS).withColumn("id", F.struct(*_CHUNK))
     found = found.join(parts.select("id", "doc_id", "chunk_no", "text"), "id")
     return found.select(F.col("q").alias("item_id"), "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"), "text")
 
 
-_MARKED = [(1, 0, "检索:电路 基础", "检索:电路 基础\n[教材 P10]\n第一段"), (1, 1, "检索:电路 基础", "第二段"), (1, 2, "检索:电路 基础", "尾[教材 P11]头[教材 P12]"), (1, 3, "检索:电路 基础", "第四段"), (2, 0, "", "没有标记"), (2, 1, "", "也没有"), (3, 0, "检索:x", "开头"), (3, 1, "检索:x", "检索:x 已有"), (3, 2, "检索:x", "[教材 P7"), (3, 3, "检索:x", "续")]
-
-
-@query(f"""
-WITH parts AS ({values(_MARKED, "doc, chunk_no, anchor, text")}),
-marked AS (SELECT *, NULLIF(regexp_extract(text, '\\[教材 P(\\d+)', 1), '') AS own FROM parts),
-paged AS (SELECT *, LAST_VALUE(own IGNORE NULLS) OVER (PARTITION BY doc ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM marked)
-SELECT CAST(doc AS INTEGER) AS doc, CAST(chunk_no AS INTEGER) AS chunk_no, page,
-       CASE WHEN chunk_no > 0 AND anchor <> '' AND NOT starts_with(text, anchor) THEN anchor || E'\\n' ELSE '' END
-       || CASE WHEN own IS NULL AND page IS NOT NULL THEN '[教材 P' || page || E']\\n' ELSE '' END || text AS text
-FROM paged""")
-def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.with_context(rows(spark, _MARKED, "doc int, chunk_no int, anchor string, text string"), "doc")
-
-
 # Questions and answers ----------------------------------------------------
 
 _PAIRS = """
-pairs AS (SELECT conv_id * 1000 + turn AS pos, text AS question, answer FROM (
+pairs AS (SELECT struct_pack(conv_id := conv_id, turn := turn) AS pos, text AS question, answer FROM (
   SELECT *, LEAD(role) OVER w AS next_role, LEAD(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant' AND text <> '' AND answer <> '')"""
 
 
-@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+@query(f"WITH {_PAIRS} SELECT pos.conv_id AS conv_id, pos.turn AS turn, question, answer FROM pairs")
 def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("pos.conv_id", "pos.turn", "question", "answer")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = W.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(turn), "answer": F.lead("text").over(turn)})
     t = t.where("role = 'user' AND next_role = 'assistant' AND text <> '' AND answer <> ''")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("question"), "answer")
+    return t.select(F.struct(*_TURN).alias("pos"), F.col("text").alias("question"), "answer")
 
 
 _STOP = ("the", "of", "and", "to", "in", "a", "is", "de", "was", "that", "der", "for", "it", "on", "la")
 _GATE = "list_has_any(list_filter({0}, lambda x: NOT list_contains({2}, x)), list_filter({1}, lambda x: NOT list_contains({2}, x)))"
 _FAQ_INDEX = f"{_PAIRS}, {_INDEX.replace('doc_id AS id', 'pos AS id').replace('FROM documents', 'FROM pairs').replace('lower(text)', 'lower(question)')}, {_FLOORED}"
-_FAQ_ASKED = "SELECT conv_id * 1000 + turn AS q, text FROM conversations WHERE role = 'user'"
+_FAQ_ASKED = f"SELECT {_struct(_TURN)} AS q, text FROM conversations WHERE role = 'user'"
 _FAQ_HITS = f"""{_FAQ_INDEX}, {_scored(_FAQ_ASKED, 3)},
 gated AS (SELECT b.q, b.id AS pos, b.rank, b.score FROM best b JOIN ({_FAQ_ASKED}) a ON a.q = b.q JOIN pairs p ON p.pos = b.id
   WHERE {_GATE.format(_WORDS.format("a.text"), _WORDS.format("p.question"), list(_STOP))})"""
 
 
 def _faq(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index, DataFrame]:
-    pairs = faq_pairs(spark, sf_dir).withColumn("content", content(words("question"), _STOP))
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), "text")
+    pairs = _pairs(spark, sf_dir).withColumn("content", content(words("question"), _STOP))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct(*_TURN).alias("q"), "text")
     return pairs, bm25.build(pairs, "pos", words("question")), turns
 
 
-@query(f"WITH {_FAQ_HITS} SELECT q, pos, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, score >= 4.0 AS hit FROM gated")
+@query(f"WITH {_FAQ_HITS} SELECT q.conv_id AS conv_id, q.turn AS turn, pos.conv_id AS pos_conv_id, pos.turn AS pos_turn, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, score >= 4.0 AS hit FROM gated")
 def faq_gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, index, turns = _faq(spark, sf_dir)
     found = bm25.search(index, turns, "q", words("text"), 3, "floored")
     found = bm25.gated(found, turns.select("q", content(words("text"), _STOP).alias("content")), "q", pairs, "pos")
-    return found.select("q", F.col("id").alias("pos"), "rank", F.round("score", 6).alias("score"), (F.col("score") >= 4.0).alias("hit"))
-
-
-_FAQ_FILE = "导言\nQ: 何时交\nA: 周五\n\n补一行\n\nQ：多行\n第二行\na ： 答一\n答二\nq: 没有答案\n\nA: 迟到的答案\nQ: 末尾\nA:\n"
-_FAQ_TOLD = [(1, "何时交", "周五\n\n补一行"), (2, "多行\n第二行", "答一\n答二")]
-
-
-@query(values(_FAQ_TOLD, "pos, question, answer"))
-def faq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.parse_faq(rows(spark, [(_FAQ_FILE,)], "text string"))
+    return found.select("q.conv_id", "q.turn", F.col("id.conv_id").alias("pos_conv_id"), F.col("id.turn").alias("pos_turn"), "rank", F.round("score", 6).alias("score"), (F.col("score") >= 4.0).alias("hit"))
 
 
 # Messages -----------------------------------------------------------------
@@ -244,14 +231,6 @@ def classify_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", told.alias("class"))
 
 
-_SAID = [("我漏交了 20230001 第2次作业", "submission", "admin"), ("忘了交作业", "submission", "admin"), ("漏交了怎么办", "question", "admin"), ("什么是叠加原理", "question", "concept"), ("1.36 怎么做", "question", "problem"), ("第5题", "question", "problem"), ("考试会考叠加定理吗", "question", "admin"), ("作业里的叠加定理怎么理解", "question", "concept"), ("思维导图要画吗", "question", "admin"), ("谢谢", "question", "concept"), ("", "unknown", "concept"), ("实验报告什么时候交", "question", "admin")]
-
-
-@query(values(_SAID, "text, class, kind"))
-def message_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, [(s[0],) for s in _SAID], "text string").select("text", route.message_class("text").alias("class"), route.question_kind("text").alias("kind"))
-
-
 _KIND = dict(problem=r"\d{1,2}\s*[.]\s*\d{1,3}|ieren", hard=("thou", "eau"), concept=("ation", "ung"), soft=("th",), soft_patterns=(r"la[^,.]{0,10}re",))
 
 
@@ -262,13 +241,6 @@ def question_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Registry -----------------------------------------------------------------
 
-_ENTITIES = [("学号20230001张三", None, "张三", None), ("我是李四,学号 20230002,漏交第3次作业", "20230002", "李四", "第 3 次"), ("姓名：王小明 20230003 实验二", "20230003", "王小明", "第 二 次".replace("二", "2")), ("hw 12 补交 2023000", None, None, "第 12 次"), ("Chapter 7", None, None, "第 7 次"), ("第十一章", None, "第十一章", "第 十一 次"), ("作业五没交,20230004 陈大文", "20230004", "陈大文", "第 5 次")]
-
-
-@query(values(_ENTITIES, "text, student_id, name, homework"))
-def entity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, [(e[0],) for e in _ENTITIES], "text string").select("text", T.student_id("text").alias("student_id"), T.person_name("text").alias("name"), T.homework_number("text").alias("homework"))
-
 
 @query(r"""
 SELECT doc_id, NULLIF(regexp_extract(text, '(?:^|[^\p{L}\p{N}_])([0-9]{8})(?:$|[^\p{L}\p{N}_])', 1), '') AS student_id,
@@ -334,15 +306,6 @@ def number_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("doc_id", F.size("numbers").alias("n_numbers"), F.when(F.col("target").isNotNull(), F.size("missing")).alias("n_missing"), "state")
 
 
-_DIGITS = [("第八周交", "第8周交", "", "", "MATCH"), ("提前两周", "提前1周", "2", "1", "LOST"), ("满分90", "满分90,占30%", "", "30", "EXTRA"), ("半天", "0.5", "0.5", "0,5", "LOST")]
-
-
-@query(values(_DIGITS, "expected, said, lost, added, state"))
-def digit_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = rows(spark, [d[:2] for d in _DIGITS], "expected string, said string").withColumn("f", evaluate.fidelity("expected", "said"))
-    return f.select("expected", "said", F.array_join("f.lost", ",").alias("lost"), F.array_join("f.added", ",").alias("added"), "f.state")
-
-
 # Validity and ranges ------------------------------------------------------
 
 _FACTS = [("spring", "1993-02-01", "1993-02-28"), ("open start", None, "1992-03-31"), ("open end", "1998-07-01", None), ("one day", "1995-05-05", "1995-05-05"), ("all year", "1996-01-01", "1996-12-31"), ("never", "1990-01-01", "1990-02-01")]
@@ -357,16 +320,6 @@ def facts_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.facts_on(orders, "day", facts).select("o_orderkey", "fact")
 
 
-_FACT_FILE = "# 注释\n生效:2026-9-1\n失效：2026.12.31\n事实:周五交\n来源:通知\n\n事实:没有日期\n# 中间\n来源:群\n\n生效:2026年13月1日\n事实:坏日期\n\n生效:2026-05-01\n失效:2026-04-01\n事实:倒着\n\n来源:没有事实\n\n认不出\n失效:2026/7/1日\n事实:旧\n事实:新\n"
-_FACT_TOLD = [(1, "周五交", "通知", "2026-09-01", "2026-12-31"), (2, "没有日期", "群", None, None), (3, "新", "", None, "2026-07-01")]
-
-
-@query(values(_FACT_TOLD, "pos, fact, source, effective_from, effective_until"))
-def facts_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = parsers.parse_facts(rows(spark, [(_FACT_FILE,)], "text string"))
-    return f.select("pos", "fact", "source", *(F.col(c).cast("string").alias(c) for c in ("effective_from", "effective_until")))
-
-
 _CHAPTERS = [(1, "one", 0, 149), (2, "two", 150, 399), (3, "three", 400, 401), (4, "four", 402, 700), (5, "overlaps", 690, 100000)]
 
 
@@ -397,22 +350,22 @@ def ask_frequency_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.worth_asking(mine.candidates(e), 2, gaps_only=False).drop("kinds")
 
 
-_SETS = f"sets AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter({_WORDS.format('text')}, lambda x: NOT list_contains({list(_STOP)}, x))) AS s FROM conversations)"
+_SETS = f"sets AS (SELECT {_struct(_TURN)} AS id, list_distinct(list_filter({_WORDS.format('text')}, lambda x: NOT list_contains({list(_STOP)}, x))) AS s FROM conversations)"
 
 
 @query(f"""
 WITH {_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM sets a JOIN sets b ON a.id < b.id AND len(a.s) > 0 AND len(b.s) > 0)
-SELECT a, b, ROUND(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.15""")
+SELECT a.conv_id AS a_conv_id, a.turn AS a_turn, b.conv_id AS b_conv_id, b.turn AS b_turn, ROUND(i / (x + y - i), 6) AS similarity FROM p WHERE i / (x + y - i) >= 0.15""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), content(words("text"), _STOP).alias("content"))
-    return mine.similar_pairs(t, "id", "content", 0.15).withColumn("similarity", F.round("similarity", 6))
+    t = table(spark, sf_dir, "conversations").select(F.struct(*_TURN).alias("id"), content(words("text"), _STOP).alias("content"))
+    return mine.similar_pairs(t, "id", "content", 0.15).select(F.col("a.conv_id").alias("a_conv_id"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_conv_id"), F.col("b.turn").alias("b_turn"), F.round("similarity", 6).alias("similarity"))
 
 
 # As a recursive query over ranked texts the rule is too slow for whole tables; tests hold it against the sequential rule.
 @query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return mine.groups(t, "id", "text", content(words("text"), _STOP), 0.15).select("id", F.md5(F.col("grp").cast("binary")).alias("grp"))
+    t = table(spark, sf_dir, "conversations").select(F.struct(*_TURN).alias("id"), "text")
+    return mine.groups(t, "id", "text", content(words("text"), _STOP), 0.15).select("id.conv_id", "id.turn", F.md5(F.col("grp").cast("binary")).alias("grp"))
 
 
 # Evaluation ---------------------------------------------------------------
@@ -509,16 +462,6 @@ def jobs_not_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.not_done(jobs, jobs.join(told, "doc_id").select("key", "text")).select("doc_id", "key")
 
 
-_ANSWERS = "作业题 14.0 画出思维导图\n14.4（传递函数）清单\n14.0 题目正文在这里,很长很长\n第二行\n10.5 V\n3.92 别章的题\n14-11图示电路\n14.4 求传递函数 H(s),完整的正文\n"
-_SECTIONS = [(14, 0, "14.0", "14.0 题目正文在这里,很长很长\n第二行\n10.5 V\n3.92 别章的题"), (14, 4, "14.4", "14.4 求传递函数 H(s),完整的正文"), (14, 11, "14.11", "14-11图示电路")]
-
-
-@query(values(_SECTIONS, "chapter, number, label, body"))
-def section_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = rows(spark, [("Z第13-14章 答案.pdf", _ANSWERS)], "name string, text string")
-    return assemble.sections(docs, ["name"], "text", chapters=assemble.chapters_in_name("name")).drop("name")
-
-
 _NOTICES = (r"(?s)This work is licensed.{0,60}?version \d\.", r"Released under the MIT License\.")
 
 
@@ -531,23 +474,6 @@ def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.strip_boilerplate("text", _NOTICES, r"Copyright\s*©").cast("binary")).alias("cleaned"), (removed != F.col("text")).alias("changed"))
 
 
-_OHMS = [("10Q", "10Ω", 1), ("6Q电阻和18kQ电阻", "6Ω电阻和18kΩ电阻", 2), ("Q1 10Quotient", "Q1 10Quotient", 0), ("2Q点", "2Q点", 0), ("静态工作点Q", "静态工作点Q", 0), ("5kQ时,3 Q", "5kΩ时,3 Q", 1), ("10Ω", "10Ω", 0)]
-
-
-@query(values(_OHMS, "raw, fixed, n"))
-def ocr_symbol_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed, n = T.repair_ohm("raw")
-    return rows(spark, [(o[0],) for o in _OHMS], "raw string").select("raw", fixed.alias("fixed"), n.alias("n"))
-
-
-_BOXES = [(1, 10.0, 50.0, 10.0, "b"), (1, 12.0, 5.0, 10.0, "a"), (1, 30.0, 5.0, 10.0, "c"), (1, 34.0, 90.0, 4.0, "d"), (2, 1.0, 1.0, 1.0, "x"), (2, 9.0, 0.0, 1.0, "y")]
-
-
-@query(values([(1, "a b\nc d"), (2, "x\ny")], "page, text"))
-def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(rows(spark, _BOXES, "page int, y double, x double, h double, text string"), "page")
-
-
 # Pages and graphs ---------------------------------------------------------
 
 
@@ -571,23 +497,12 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"share": F.round(evaluate.share("chars"), 6), "of_largest": F.round(evaluate.of_largest("n"), 6)})
 
 
-_EDGES = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "d"), ("a", "y"), ("y", "z")]
-
-
-@query(f"""
-WITH RECURSIVE e AS ({values(_EDGES, "src, dst")}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-walk AS (SELECT node, 0 AS layer FROM n UNION SELECT dst, layer + 1 FROM walk JOIN e ON src = node)
-SELECT node, CAST(MAX(layer) AS INTEGER) AS layer FROM walk GROUP BY node""")
-def dag_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.layers(rows(spark, _EDGES, "src string, dst string"))
-
-
 # The planner, and streams -------------------------------------------------
 
 
 @query(f"""
 WITH {_FAQ_HITS},
-k AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN regexp_matches(text, '\\d{{1,2}}\\s*[.]\\s*\\d{{1,3}}|ieren') THEN 'problem' WHEN regexp_matches(text, 'thou|eau') THEN 'admin' WHEN regexp_matches(text, 'ation|ung') THEN 'concept' WHEN regexp_matches(text, 'th|la[^,.]{{0,10}}re') THEN 'admin' ELSE 'concept' END AS kind, text FROM conversations WHERE role = 'user'),
+k AS (SELECT {_struct(_TURN)} AS id, CASE WHEN regexp_matches(text, '\\d{{1,2}}\\s*[.]\\s*\\d{{1,3}}|ieren') THEN 'problem' WHEN regexp_matches(text, 'thou|eau') THEN 'admin' WHEN regexp_matches(text, 'ation|ung') THEN 'concept' WHEN regexp_matches(text, 'th|la[^,.]{{0,10}}re') THEN 'admin' ELSE 'concept' END AS kind, text FROM conversations WHERE role = 'user'),
 h AS (SELECT q, MAX(score) AS faq_top FROM gated GROUP BY q),
 j AS (SELECT k.*, faq_top, COALESCE(faq_top >= 4.0, FALSE) AS faq_hit FROM k LEFT JOIN h ON q = id),
 d_tokens AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM documents),
@@ -598,7 +513,7 @@ d_asked AS (SELECT q, term, COUNT(*) AS times FROM (SELECT id AS q, UNNEST({_WOR
 d_scored AS (SELECT q, p.id, SUM(times * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) AS score FROM d_asked JOIN d_idf USING (term) JOIN d_postings p USING (term) JOIN d_lengths l ON p.id = l.id, d_corpus GROUP BY q, p.id),
 d_best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY ROUND(score, 9) DESC, id) AS rank FROM d_scored) WHERE rank <= 7 AND score > 0),
 d_hits AS (SELECT q, COUNT(*) AS n_hits, MAX(d_best.score) AS top_score, string_agg(source, ',' ORDER BY rank) AS sources FROM d_best JOIN documents ON doc_id = d_best.id GROUP BY q)
-SELECT id, kind, faq_hit, CASE WHEN faq_hit AND kind = 'admin' THEN 'faq' ELSE 'rag' END AS path, COALESCE(n_hits, 0) AS n_hits, ROUND(top_score, 6) AS top_score,
+SELECT id.conv_id AS conv_id, id.turn AS turn, kind, faq_hit, CASE WHEN faq_hit AND kind = 'admin' THEN 'faq' ELSE 'rag' END AS path, COALESCE(n_hits, 0) AS n_hits, ROUND(top_score, 6) AS top_score,
        COALESCE(list_count(list_distinct(string_split(d_hits.sources, ','))), 0) + CASE WHEN faq_hit AND kind <> 'problem' THEN 1 ELSE 0 END + CASE WHEN kind = 'admin' THEN 1 ELSE 0 END AS n_sources
 FROM j LEFT JOIN d_hits ON q = id""")
 def qa_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,7 +523,7 @@ def qa_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     known = qa.Knowledge(pairs, index, docs, document_index(spark, sf_dir), "- fact", ("facts",))
     planned = qa.plan(turns.withColumnRenamed("q", "id"), known, words("text"), content(words("text"), _STOP), route.question_kind("text", **_KIND))
-    return planned.select("id", "kind", "faq_hit", "path", "n_hits", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
+    return planned.select("id.conv_id", "id.turn", "kind", "faq_hit", "path", "n_hits", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
 
 
 @query("""

@@ -59,7 +59,7 @@ class Provider:
         return bool(self.key)
 
 
-def provider(env: Mapping[str, str], first: str = "LLM", fallback: str = "MINMAX") -> Provider:
+def provider(env: Mapping[str, str], first: str = "LLM", fallback: str = "FALLBACK") -> Provider:
     """The first service if it has a key, else the other as it is: a missing key never leaves both unused."""
     name = first if env.get(f"{first}_API_KEY") else fallback
     of = lambda what: env.get(f"{name}_{what}", "")

@@ -128,7 +128,7 @@ def reading_order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Messages and entities ----------------------------------------------------
 
-_SAYINGS = [s[0] for s in catalogue._SAID]
+_SAYINGS = ["我漏交了 20230001 第2次作业", "忘了交作业", "漏交了怎么办", "什么是叠加原理", "1.36 怎么做", "第5题", "考试会考叠加定理吗", "作业里的叠加定理怎么理解", "思维导图要画吗", "谢谢", "", "实验报告什么时候交"]
 
 
 @query(f"""
@@ -208,7 +208,7 @@ def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.page_offset_fits(k + 16, text).alias("fits"))
 
 
-_TAILS = ["R-ZYL", "_R", " zyl", "（中文版）", "", "-r"]
+_TAILS = ["R-ABC", "_R", " abc", "（中文版）", "", "-r"]
 _FOLDERS = ["零", "一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二", "十三", "十四", "十五", "十六", "十七", "十八", "十九", "二十", "21", "22", "23", "24"]
 
 
@@ -219,7 +219,7 @@ def titles_and_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     name = F.concat(F.lit(" "), F.when(k % 9 == 0, "").otherwise(F.col("source")), one_of(_TAILS, k))
     roster = F.concat(F.lit("/a/"), "source", one_of(["_学生名单", "成绩记分册_1774943315001", " 名单", ""], k), F.lit(".xlsx"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_title(name).alias("title"), T.chapter_folder(k % 25).alias("folder"), T.submission_table(roster).alias("submissions"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_title(name, ("R-ABC", "ABC", "R")).alias("title"), T.chapter_folder(k % 25).alias("folder"), T.submission_table(roster).alias("submissions"))
 
 
 _SLIDES, _PROBLEM = " ".join(C.ANCHOR_SLIDES), " ".join(C.ANCHOR_PROBLEM)
@@ -370,17 +370,17 @@ def ask_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.kind_counts(_asks(spark, sf_dir))
 
 
-@query(f"WITH {catalogue._FAQ_INDEX}, {catalogue._scored(catalogue._FAQ_ASKED, 1)} SELECT q, id AS pos, ROUND(score, 6) AS score FROM best WHERE score >= 4.0")
+@query(f"WITH {catalogue._FAQ_INDEX}, {catalogue._scored(catalogue._FAQ_ASKED, 1)} SELECT q.conv_id AS conv_id, q.turn AS turn, id.conv_id AS pos_conv_id, id.turn AS pos_turn, ROUND(score, 6) AS score FROM best WHERE score >= 4.0")
 def faq_resembling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, index, turns = catalogue._faq(spark, sf_dir)
-    return record.resembling(turns, "q", index, words("text")).withColumn("score", F.round("score", 6))
+    return record.resembling(turns, "q", index, words("text")).select("q.conv_id", "q.turn", F.col("pos.conv_id").alias("pos_conv_id"), F.col("pos.turn").alias("pos_turn"), F.round("score", 6).alias("score"))
 
 
 @query(rf"""WITH {catalogue._FAQ_INDEX}, business AS (SELECT pos, question FROM pairs WHERE NOT regexp_matches(question, '\d{{1,2}}\s*[.]\s*\d{{1,3}}|ieren') AND (regexp_matches(question, 'thou|eau') OR (NOT regexp_matches(question, 'ation|ung') AND regexp_matches(question, 'th|la[^,.]{{0,10}}re')))),
-{catalogue._scored("SELECT pos AS q, question AS text FROM business", 1)} SELECT q AS pos, ROUND(score, 6) AS score FROM best WHERE score >= 4.0""")
+{catalogue._scored("SELECT pos AS q, question AS text FROM business", 1)} SELECT q.conv_id AS conv_id, q.turn AS turn, ROUND(score, 6) AS score FROM best WHERE score >= 4.0""")
 def faq_self_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, index, _ = catalogue._faq(spark, sf_dir)
-    return record.self_hits(pairs, index, route.question_kind("question", **catalogue._KIND), words("text")).select("pos", F.round("score", 6).alias("score"))
+    return record.self_hits(pairs, index, route.question_kind("question", **catalogue._KIND), words("text")).select("pos.conv_id", "pos.turn", F.round("score", 6).alias("score"))
 
 
 @query("""

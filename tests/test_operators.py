@@ -601,8 +601,8 @@ def test_settings_from_a_file_and_providers(tmp_path):
     env = C.environment(str(file), {"K1": "1.2"})
     assert (EngineConfig.from_env(env).rag_top_k, EngineConfig.from_env(env).k1, env["LLM_MODEL"]) == (9, 1.2, "m")
     assert C.environment(str(tmp_path / "none"), {}) == {}
-    assert model.provider({"LLM_API_KEY": "k", "LLM_MODEL": "m", "MINMAX_API_KEY": "o"}) == model.Provider("k", "m", "")
-    old = model.provider({"LLM_MODEL": "m", "MINMAX_MODEL": "old", "MINMAX_GROUP_ID": "g"})
+    assert model.provider({"LLM_API_KEY": "k", "LLM_MODEL": "m", "FALLBACK_API_KEY": "o"}) == model.Provider("k", "m", "")
+    old = model.provider({"LLM_MODEL": "m", "FALLBACK_MODEL": "old", "FALLBACK_GROUP_ID": "g"})
     assert (old.model, old.group, old.available()) == ("old", "g", False)
 
 
