@@ -43,8 +43,9 @@ U = np.uint64
 DEPTH = 5
 #: Words of texts that are counted in one shard; pieces that are merged at a time.
 SHARD_WORDS, FAN = 1 << 21, 64
-#: Bits by which hashes of pairs are longer than the number of all words.
-SPARE_BITS = 13
+#: Values of the hash of a pair or triple for each ``least`` words of all texts. Those that share one are counted together; one
+#: gets ``least`` / SLOTS occurrences on average, so few that are rare come to look frequent, and none is lost.
+SLOTS = 16
 #: Bits of a bitmap: so many for each member, between these powers of two.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 30
 _SOFT = np.zeros(256, bool)
@@ -333,8 +334,7 @@ def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
 class Grams:
     """Which words, pairs and triples may be frequent, by the bitmaps so far, and hashes of those of one word more.
 
-    ``bits``: of the hashes of pairs and triples. Those that share one are
-    counted together, so some may be let through that are rare; none is lost.
+    ``bits``: of the hashes of pairs and triples (see SLOTS).
     """
 
     def __init__(self, bitmaps: list, bits: int):
@@ -399,8 +399,8 @@ def nodes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]
         shards = staged(_shards(body, ranges, _counting(list(sent), bits), spell), "pieces")
         if size == 1:
             totals = staged(shards.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-            # Hashes of pairs and triples have SPARE_BITS more than it takes to number all words, so few share one.
-            bits = min(64, int(totals.agg(F.sum("n")).collect()[0][0] or 1).bit_length() + SPARE_BITS)
+            all_words = int(totals.agg(F.sum("n")).collect()[0][0] or 0)  # one row
+            bits = min(64, max(LEAST_BITS, (SLOTS * all_words // least).bit_length()))
         if size == 2:
             spelt = staged(shards.select(F.inline("spelt")), "spelt")
         found = _merged(shards, Counts.together, often, "hash long, n long, shard long")
