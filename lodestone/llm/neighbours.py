@@ -10,8 +10,9 @@ cosine.
 How many tables, rotations in a key and probes are needed depends on dimension,
 number and structure of the vectors. It is measured: for a bounded sample of
 queries the true neighbours are found by looking at everything, and the
-cheapest plan is taken that finds the share TARGET of them. Queries that hold
-fewer rows than they could go on until they have looked at all keys.
+cheapest plan is taken that finds the share TARGET of them, for each dimension
+and at every size of a table. Queries that hold fewer rows than they could go on
+to everything.
 
 Equal vectors are indexed once, with their smallest ids. Rows are dealt by
 table and part of the keys; a query goes once to each part that holds any of
@@ -36,13 +37,12 @@ from .words import mix
 U = np.uint64
 #: Queries whose true neighbours are looked up to choose a plan (those of least hash), and the share of these that it has to find.
 SAMPLE, TARGET = 64, 0.97
-#: What plans are chosen from; most probes of a table. Dimensions with a plan of their own: the commonest; the others, and
-#: tables of fewer vectors than SMALL, are probed whole.
-TABLES, ROTATIONS, MOST_PROBES, PLANNED, SMALL = (1, 2, 4, 8), (1, 2, 3), 4096, 4, 2048
+#: What plans are chosen from; most probes of a table.
+TABLES, ROTATIONS, MOST_PROBES = (1, 2, 4, 8), (1, 2, 3), 4096
 #: Entries of a rotated vector that probes combine, by the number of rotations.
 _AXES = {1: 1 << 12, 2: 128, 3: 40}
-#: What a row of a table costs, in comparisons.
-_ROW_COST = 3000
+#: What a table, and a probe of it, cost a query beside the rows that it looks at, in comparisons.
+_TABLE_COST, _PROBE_COST = 20, 0.01
 SEED = 20_240_601
 TILE, QUERY_TILE = 4096, 1024
 #: What rounding may take from a product of unit vectors; pairs measured again at a time.
@@ -83,27 +83,38 @@ def keys_of(x: np.ndarray, table: int, rotations: int, probes: int = 1) -> np.nd
     for r in range(rotations):
         ends = _both_ends(x, table * max(ROTATIONS) + r)
         n = min(few, ends.shape[1])
-        near = np.argpartition(-ends, n - 1, axis=1)[:, :n]
+        near = ends.argmax(1)[:, None] if n == 1 else np.argpartition(-ends, n - 1, axis=1)[:, :n]
         total = (total[:, :, None] + np.take_along_axis(ends, near, 1)[:, None, :]).reshape(len(x), -1)
         key = (key[:, :, None] * ends.shape[1] + near[:, None, :]).reshape(len(x), -1)
+    if total.shape[1] == 1:
+        return key
+    # Ties are settled by key, so that every machine looks at the same ones.
     n = min(probes, total.shape[1])
-    best = np.argpartition(-total, n - 1, axis=1)[:, :n]
-    order = np.lexsort((np.take_along_axis(key, best, 1), -np.take_along_axis(total, best, 1)), axis=1)
-    return np.take_along_axis(key, np.take_along_axis(best, order, 1), 1)
+    least = -np.partition(-total, n - 1, axis=1)[:, n - 1]
+    out = np.empty((len(x), n), np.int64)
+    for row, (sums, names, last) in enumerate(zip(total, key, least, strict=True)):
+        some = np.flatnonzero(sums >= last)
+        out[row] = names[some[np.lexsort((names[some], -sums[some]))[:n]]]
+    return out
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision; rows are brought near 1 by powers of two first, so no square is lost or infinite."""
+    a, b = _near_one(a), _near_one(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def _rows(column: pa.Array) -> list[np.ndarray]:
     flat, cuts = column.values.to_numpy(zero_copy_only=False).astype(np.float64), column.offsets.to_numpy()
     return [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _units(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = _near_one(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -210,47 +221,52 @@ def _search(classes: DataFrame, asking: DataFrame, plan: Plan, keep: int) -> Dat
 
 
 def _plan(classes: DataFrame, k: int, tables: tuple[int, ...], rotations: tuple[int, ...]) -> Plan:
-    """Measured on a sample: for each of the commonest dimensions the cheapest plan that finds TARGET of its true neighbours."""
-    counts = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(PLANNED).collect()}
+    """Measured on a sample: for each dimension the cheapest plan of tables and keys that finds TARGET of its true neighbours.
+
+    Only where no such plan does (vectors of very many entries without
+    structure), everything is looked at.
+    """
+    counts = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
     plan = {d: (1, 1, 0, max(1, n // TILE)) for d, n in counts.items()}
-    large = [d for d, n in counts.items() if n > SMALL]
-    sample = classes.where("asks").where(F.size("vector").isin(large)) if large else None
-    if sample is None:
-        return plan
     rank = F.row_number().over(W.partitionBy(F.size("vector")).orderBy(F.xxhash64("number"), "number"))
-    sample = staged(sample.withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r"), "sample")
+    sample = staged(classes.where("asks").withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r"), "sample")
     found = _search(classes, sample, plan, k + 1).where("asker <> found")
-    true = found.withColumn("r", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "found"))).where(F.col("r") <= k)
-    vectors = classes.select("number", "vector")
-    pairs = true.join(vectors.withColumnsRenamed({"number": "asker", "vector": "x"}), "asker").join(vectors.withColumnsRenamed({"number": "found", "vector": "y"}), "found")
-    pairs = pairs.select("x", "y").collect()  # at most SAMPLE * k for each of PLANNED dimensions
-    for d in large:
-        own = [r for r in pairs if len(r["x"]) == d]
-        if not own:
-            continue
-        x, y = (_units(np.array([r[c] for r in own], np.float64)) for c in "xy")
-        n, axes = counts[d], 2 << max(0, d - 1).bit_length()
-        best = (n + _ROW_COST, plan[d])
-        for m in rotations:
-            buckets = axes**m
-            if m > 1 and buckets > 64 * n or buckets > 1 << 62:
-                continue
-            place = np.full((max(tables), len(own)), MOST_PROBES)
-            for t in range(max(tables)):
-                for i in range(0, len(own), 64):
-                    hit = keys_of(x[i : i + 64], t, m, MOST_PROBES) == keys_of(y[i : i + 64], t, m)
-                    place[t, i : i + 64] = np.where(hit.any(1), hit.argmax(1), MOST_PROBES)
-            for t in tables:
-                needed = np.sort(place[:t].min(0))[min(len(own) - 1, int(np.ceil(TARGET * len(own))))]
-                probes = min(int(needed) + 1, buckets)
-                cost = t * (_ROW_COST + probes * max(1.0, n / buckets))
-                if needed < MOST_PROBES and cost < best[0]:
-                    best = (cost, (t, m, probes, max(1, n // TILE)))
-        plan[d] = best[1]
+    vectors = classes.select("number", "vector", "first")
+    pairs = found.join(vectors.withColumnsRenamed({"number": "found", "vector": "y"}), "found")
+    true = pairs.withColumn("r", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k)
+    pairs = true.join(sample.select(F.col("number").alias("asker"), F.col("vector").alias("x")), "asker").select("x", "y").collect()  # at most SAMPLE * k for each dimension
+    by_size: dict[int, list] = {}
+    for r in pairs:
+        by_size.setdefault(len(r["x"]), []).append((r["x"], r["y"]))
+    for d, own in by_size.items():
+        x, y = (_units(np.array([p[c] for p in own], np.float64)) for c in (0, 1))
+        if (found := _cheapest(x, y, counts[d], tables, rotations)) is not None:
+            plan[d] = (*found, max(1, counts[d] // TILE))
     drop_staged(sample)
     return plan
 
 
+def _cheapest(x: np.ndarray, y: np.ndarray, n: int, tables: tuple[int, ...], rotations: tuple[int, ...]) -> tuple[int, int, int] | None:
+    """Tables, rotations, probes by which TARGET of the pairs (x, y) meet among n vectors, at the least cost of a query."""
+    axes, best = 2 << max(0, x.shape[1] - 1).bit_length(), None
+    for m in rotations:
+        buckets = axes**m
+        if m > 1 and buckets > 64 * n or buckets > 1 << 62:
+            continue
+        place = np.full((max(tables), len(x)), MOST_PROBES)
+        for t in range(max(tables)):
+            for i in range(0, len(x), 64):
+                hit = keys_of(x[i : i + 64], t, m, MOST_PROBES) == keys_of(y[i : i + 64], t, m)
+                place[t, i : i + 64] = np.where(hit.any(1), hit.argmax(1), MOST_PROBES)
+        for t in tables:
+            needed = np.sort(place[:t].min(0))[int(np.ceil(TARGET * len(x))) - 1]
+            probes = min(int(needed) + 1, buckets)
+            cost = t * (_TABLE_COST + probes * (_PROBE_COST + n / buckets))
+            if needed < MOST_PROBES and (best is None or cost < best[0]):
+                best = (cost, (t, m, probes))
+    return best and best[1]
+
+
 def usable(column: str):
     """Not null, without null or non-finite components, and not zero."""
     c = F.col(column).cast("array<double>")

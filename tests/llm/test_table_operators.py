@@ -314,7 +314,10 @@ def test_neighbours_of_odd_rows(spark, monkeypatch, tile):
     got = {}
     for r in sorted(neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
-    assert got == {i: n for i, n in plain_neighbours(rows).items() if n}
+    want, every = plain_neighbours(rows), plain_neighbours(rows, len(rows))
+    assert {i: len(n) for i, n in got.items()} == {i: len(n) for i, n in want.items() if n}
+    assert all(n == sorted(n) and set(n) <= set(every[i]) for i, n in got.items())  # exact scores, in order, ties by id
+    assert sum(len(set(n) & set(want[i])) for i, n in got.items()) >= 0.9 * sum(map(len, want.values()))
     assert neighbours.nearest(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
@@ -350,10 +353,45 @@ def found(df):
     return got
 
 
-def test_neighbour_query_recall(spark):
-    folder = "/root/testdata/sf0.1"
+def looked_at(rows, plan):
+    """The share of all rows that the queries look at, from their keys."""
+    ids, x = np.array([r[0] for r in rows]), neighbours._units(np.array([r[1] for r in rows], np.float64))
+    tables, rotations, probes, _ = plan[x.shape[1]]
+    asks, seen = np.flatnonzero(ids % 50 == 0), 0
+    assert probes
+    for q in asks:
+        met = np.zeros(len(x), bool)
+        for t in range(tables):
+            met |= np.isin(neighbours.keys_of(x, t, rotations)[:, 0], neighbours.keys_of(x[[q]], t, rotations, probes)[0])
+        seen += met.sum()
+    return seen / len(asks) / len(x)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbour_query_recall(spark, monkeypatch, sf):
+    folder, plans, real = f"/root/testdata/{sf}", [], neighbours._plan
+    monkeypatch.setattr(neighbours, "_plan", lambda *a: plans.append(real(*a)) or plans[-1])
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
     assert recall(rows, found(Q.op7_nearest_neighbours(spark, folder))) >= 0.9
+    assert looked_at(rows, plans[0]) < 0.5
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 0.0]), (50, [1e-200, 1e-200]), (3, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"], abs=1e-15)))
+    half, three = 0.5**0.5, 3 / 10**0.5
+    assert got == {0: [(50, 1.0), (1, three), (2, half), (3, half)], 50: [(0, 1.0), (1, three), (2, half), (3, half)]}
+
+
+def test_every_dimension_has_a_plan(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=d).tolist()) for d in (3, 8, 16, 24, 32, 40, 48) for i in range(d * 1000, d * 1000 + 400)]
+    classes = spark.createDataFrame([(i, i, v, i % 50 == 0) for i, v in rows], "number long, first long, vector array<double>, asks boolean")
+    plan = neighbours._plan(classes, 5, neighbours.TABLES, neighbours.ROTATIONS)
+    assert len(plan) == 7 and all(p[2] for p in plan.values())
 
 
 @pytest.mark.parametrize(("n", "dims", "spread"), [(8, 64, 1), (8, 512, 1), (60, 512, 1), (3000, 256, 0.05), (3000, 768, 0.03), (4000, 256, 1)])
