@@ -41,8 +41,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: CUTOFF by itself; of root_repeats, the base rules have taken what is far.
 PARTS = {"log_word": 0.10, "root_symbols": 0.05, "root_dup_lines": 0.12, "root_repeats": 0.10}
 SUPPORT = 0.5
-#: Steps of all starts, and of the best at most; it ends when no logarithm of a determinant changes by more than STABLE.
-TRIED, MOST_STEPS, STABLE = 2, 10, 1e-3
+#: Steps of all starts; the best then goes on as long as the logarithm of its determinant falls by more than STABLE.
+TRIED, STABLE = 2, 1e-3
 #: chi-square with four degrees of freedom: one in 10^9 documents that follow the estimate lies beyond.
 CUTOFF = 47.0
 #: The factor that makes the covariance of the nearest SUPPORT of normal vectors in four dimensions that of all.
@@ -165,22 +165,31 @@ def _nearest(measured: DataFrame) -> DataFrame:
 
 
 def _concentrated(rows: DataFrame) -> DataFrame:
-    """grp, mean, cov of the least determinant that the steps find for each group."""
+    """grp, start, n, mean, cov and so on of the least determinant that the steps find for each group.
+
+    Each group goes on by itself until its determinant falls no more; only
+    groups that still fall are measured again. Determinants are bounded below
+    by the floors of the parts, so a group takes finitely many steps.
+    """
     estimate = staged(_starts(rows), "estimate")
-    changes = None
-    for turn in range(TRIED + MOST_STEPS):
-        before = estimate
-        if turn == TRIED:
-            best = estimate.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-            estimate = staged(estimate.join(best, ["grp", "start"]), "best-start")
-        estimate = staged(_moments(_nearest(_measured(rows, estimate)), "weight"), "estimate")
-        if turn >= TRIED:
-            was = before.select("grp", "start", F.col("logdet").alias("was"))
-            changes = estimate.join(was, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was"))).alias("m")).collect()[0]["m"]
+    for _ in range(TRIED):
+        before, estimate = estimate, staged(_moments(_nearest(_measured(rows, estimate)), "weight"), "estimate")
         drop_staged(before)
-        if changes is not None and changes <= STABLE:
+    best = estimate.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    falling, done = staged(estimate.join(best, ["grp", "start"]), "best-start"), []
+    columns = [F.col(c) for c in estimate.columns]
+    while True:
+        new = _moments(_nearest(_measured(rows, falling)), "weight")
+        was = falling.select("grp", F.struct(*columns).alias("was"))
+        pair = staged(new.join(was, "grp").select(F.struct(*columns).alias("now"), "was", (F.col("was.logdet") - F.col("logdet")).alias("fell")), "estimate")
+        done.append(pair.where(F.col("fell") <= STABLE).select(F.when(F.col("fell") >= 0, F.col("now")).otherwise(F.col("was")).alias("e")).select("e.*"))
+        falling = pair.where(F.col("fell") > STABLE).select("now.*")
+        if falling.isEmpty():
             break
-    return estimate
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return staged(out, "estimate")
 
 
 def shrunk(n: float, mean: np.ndarray, cov: np.ndarray, to_mean: np.ndarray, to_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
