@@ -531,10 +531,28 @@ SELECT date_trunc('day', ts) AS day, event_type AS kind, COUNT(*) AS n FROM even
 def stream_gap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
+    from ..runtime import shared_dir
+
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     asks = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), (F.get_json_object("props", "$.k").cast("int") < 50).alias("faq_hit"))
-    name = f"gaps_{uuid.uuid4().hex}"
-    running = messages.gap_counts(asks).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select(F.col("day").cast("timestamp_ntz").alias("day"), "kind", "n")
+    # Counts as they change go to a table, batch by batch; the last of each day and kind holds.
+    folder = f"{shared_dir(spark)}/streams/gaps-{uuid.uuid4().hex}"
+    messages.written(messages.gap_counts(asks), f"{folder}/rows", f"{folder}/state", "update", availableNow=True).awaitTermination()
+    return messages.latest(spark, f"{folder}/rows", ["day", "kind"]).select(F.col("day").cast("timestamp_ntz").alias("day"), "kind", "n")
+
+
+@query("""
+WITH e AS (SELECT *, LAG(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+SELECT event_id, COALESCE(CAST(epoch(date_trunc('second', ts)) AS BIGINT) - CAST(epoch(date_trunc('second', before)) AS BIGINT) <= 3600, FALSE) AS repeated FROM e""")
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from ..runtime import shared_dir
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{shared_dir(spark)}/streams/repeats-{uuid.uuid4().hex}"
+    messages.written(messages.repeated_within(rows, ["user_id", "event_type"], seconds=3600), f"{folder}/rows", f"{folder}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("event_id", "repeated")

@@ -451,5 +451,5 @@ def dag_layers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diagram_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diagram for each order, between five nodes."""
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", (p * 100_000 + s).alias("at"), (p % 5).cast("string").alias("src"), (s % 5).cast("string").alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(p, s).alias("at"), (p % 5).cast("string").alias("src"), (s % 5).cast("string").alias("dst"))
     return graph.diagram_layers(edges, "l_orderkey", "at")

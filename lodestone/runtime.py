@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -25,3 +26,24 @@ def kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "number", parts: int | None = None) -> DataFrame:
+    """``rows`` with dense numbers from 0 in ``order`` (equal rows in any order among themselves).
+
+    Rows are dealt by range and ordered inside it; how many each range holds
+    tells where the next begins, so no task sees more than a range, and only
+    the counts (a row for each range) come to the driver.
+    """
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number of a row inside its range and that of the range are in one: monotonically_increasing_id has 33 bits for the first.
+    placed = kept(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, upto = [], 0
+    for p in sorted(sizes):
+        starts.append((p, upto))
+        upto += sizes[p]
+    begins = F.broadcast(spark.createDataFrame(starts, "_p long, _start long"))  # a row for each range
+    own = placed.join(begins, F.shiftright("_at", 33) == F.col("_p"))
+    return own.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_start")

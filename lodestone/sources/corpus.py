@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..runtime import kept
+from ..runtime import kept, numbered
 from . import office
 
 Parser = Callable[[bytes], str]
@@ -82,10 +82,8 @@ def parse(files: DataFrame, parsers: Mapping[str, Parser] = PARSERS) -> DataFram
 
 def documents(spark: SparkSession, folder: str, **options) -> DataFrame:
     """doc_id by order of paths, path, source, text of all files with text: the same ids for the same files."""
-    from pyspark.sql import Window as W
-
     texts = kept(parse(scan(spark, folder, **options)).where(F.trim("text") != ""))  # parsed once
-    numbers = texts.select("path").withColumn("doc_id", F.row_number().over(W.orderBy("path")) - 1)  # only paths are put in order in one task
+    numbers = numbered(texts.select("path"), ["path"], "doc_id")  # texts stay where they are
     return texts.join(numbers, "path").select("doc_id", "path", "source", "text")
 
 

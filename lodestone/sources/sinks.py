@@ -77,6 +77,65 @@ def cached(jobs: DataFrame, folder: str, run: Callable[[DataFrame], DataFrame],
     return jobs.join(last, "key", "left")
 
 
+def resumable(jobs: DataFrame, folder: str, work: Callable[[dict], str], every: int = 10) -> DataFrame:
+    """key, text, error of all jobs: those in the cache, and the others, which tasks write to it as they go.
+
+    jobs: key and more; ``work``: a row to its text, anything that takes long.
+    A task commits a file of results after every so many rows, so a stop loses
+    fewer than that in each task. A file appears whole or not at all (written
+    aside and renamed, through pyarrow's file systems: shared folders, HDFS, S3,
+    GCS). A row that fails has an error and, like an empty text, is done again
+    next time; of a key that was done twice one text counts.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    spark, columns = jobs.sparkSession, jobs.columns
+    fs, where = _fs(spark, folder)
+    told = pa.schema([("key", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+    def read() -> DataFrame:
+        there = fs.exists(where) and len(fs.listStatus(where)) > 0
+        return spark.read.schema("key string, text string, error string").parquet(folder) if there else spark.createDataFrame([], "key string, text string, error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import pyarrow.parquet as pq
+        from pyarrow import fs as stores
+
+        store, path = stores.FileSystem.from_uri(folder)
+        held: list[dict] = []
+        done = 0
+
+        def commit() -> None:
+            name = f"{uuid.uuid4().hex}.parquet"
+            store.create_dir(path, recursive=True)
+            pq.write_table(pa.Table.from_pylist(held, schema=told), f"{path}/_{name}", filesystem=store)
+            store.move(f"{path}/_{name}", f"{path}/batch-{name}")
+            held.clear()
+
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                try:
+                    held.append({"key": row["key"], "text": work(row), "error": None})
+                except Exception as e:  # noqa: BLE001
+                    held.append({"key": row["key"], "text": "", "error": f"{type(e).__name__}: {e}"})
+                done += 1
+                if len(held) >= every:
+                    commit()
+        if held:
+            commit()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    finished = read().where("text <> ''").select("key").distinct()
+    jobs.join(finished, "key", "left_anti").select(*columns).mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
+    best = read().groupBy("key").agg(F.max(F.struct((F.col("text") != "").alias("done"), "text", "error")).alias("r"))
+    return jobs.join(best.select("key", "r.text", "r.error"), "key", "left")
+
+
 def reply_line(reply: dict) -> tuple[str, int]:
     """One JSON line and the exit status of a command: 1 for errors only."""
     return json.dumps(reply, ensure_ascii=False, sort_keys=True), int(reply.get("type") == "error")

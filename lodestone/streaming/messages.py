@@ -1,14 +1,24 @@
-"""Messages and events as streams. An extension: the batch operators, run on micro-batches."""
+"""Messages and events as streams. An extension: the batch operators, run on micro-batches.
+
+Sinks are folders with a part for each micro-batch, written anew if a batch is
+run again, so a retry changes nothing.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.route import message_class, question_kind, route
 
+_BATCH = "batch"
+
 
 def routed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """Stateless: route, body, class and kind of each message."""
@@ -27,10 +37,55 @@ def first_submissions(rows: DataFrame, keys: list[str], ts: str = "ts", within:
     return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def answered(messages: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Starts answering: each micro-batch reads the knowledge anew through ``answer``, so a write is seen by the next batch."""
+def repeated_within(rows: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """The rows with ``repeated``, as operators.registry has it, on a stream: whether the same keys came up to so long before.
+
+    A key's state is the time of its last row; a timer drops it once the
+    watermark shows that nothing can repeat it any more. Rows of a key within
+    one micro-batch are taken in order of time; one that comes after a later
+    one, but inside the watermark, is held against the last before it that is
+    remembered. Rows behind the watermark are dropped, and counted by Spark
+    (numRowsDroppedByWatermark in the query's progress).
+    """
+    schema = rows.schema
+
+    def held(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(ts, kind="stable")
+        told = []
+        for at in frame[ts]:
+            second = int(at.timestamp())
+            told.append(last is not None and 0 <= second - last <= seconds)
+            last = second if last is None else max(last, second)
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + seconds) * 1000, state.getCurrentWatermarkMs()) + 1000)
+        yield frame.assign(repeated=told)
+
+    marked = rows.withWatermark(ts, late).groupBy(*keys)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return marked.applyInPandasWithState(held, f"{out}, repeated boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def written(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", make: Callable[[DataFrame], DataFrame] | None = None, **trigger: Any):
+    """Starts writing the micro-batches of a stream (or what ``make`` makes of them) to ``sink``, each to a part of its own number."""
 
     def run(batch: DataFrame, number: int) -> None:
-        answer(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        (make(batch) if make else batch).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/{_BATCH}={number}")
+
+    started = stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (started.trigger(**trigger) if trigger else started).start()
+
+
+def answered(messages: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, **trigger: Any):
+    """Starts answering: each micro-batch reads the knowledge anew through ``answer``, so a write is seen by the next batch."""
+    return written(messages, sink, checkpoint, make=answer, **trigger)
+
 
-    return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
+    """What a query in update mode has told last of each key."""
+    rows = spark.read.parquet(sink)
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(_BATCH).desc()))
+    return rows.withColumn("_last", last).where("_last = 1").drop("_last", _BATCH)
