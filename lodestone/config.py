@@ -108,6 +108,7 @@ FACT_DATE = r"^\s*(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?\s
 
 # Marks in corpus texts.
 PAGE_MARK = r"\[教材 P(\d+)"
+PAGE_MARK_WRITTEN = "[教材 P"
 ANCHOR_LINE = r"(?m)^检索[:：].*$"
 ANCHOR_REACH = 400
 
