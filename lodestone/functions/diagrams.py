@@ -166,14 +166,12 @@ class Chart:
 
 
 def flowchart(text: str) -> Chart:
-    lines = [(n, x.strip()) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
+    lines = [(n, x.strip()) for n, x in enumerate(text.split("\n"), 1) if x.strip() and not x.strip().startswith(COMMENT)]
     head = HEAD.fullmatch(lines[0][1]) if lines else None
     if head is None:
         raise Broken(lines[0][0] if lines else 1, "the first line is no `flowchart TD` or `flowchart LR`")
     chart = Chart("LR" if head[1] == "LR" else "TD")
     for n, line in lines[1:]:
-        if line.startswith(COMMENT):
-            continue
         if m := re.fullmatch(r"subgraph\s+(.*)", line):
             chart.group(m[1], n)
         elif line == "end":

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lattice, names
+from ..functions import diagrams, lattice, names
 from ..functions.tokenize import words
 from ..operators import graph
+from ..runtime import numbered
 from . import catalogue
 from .catalogue import _WORDS, query, table
 
@@ -103,4 +104,47 @@ def cyclic_edges_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cyclic_edges(edges, graph.strong_components(edges))
 
 
+# Numbers, and diagrams ------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(ROW_NUMBER() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST, doc_id) - 1 AS BIGINT) AS number FROM documents")
+def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id")
+    return numbered(docs, ["source", "lang", "doc_id"]).select("doc_id", "number")
+
+
+_LINES = """
+lines AS (
+  SELECT l_orderkey AS id, l_partkey % 7 AS p, l_suppkey % 5 AS s, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS place, l_returnflag AS flag FROM lineitem),
+numbered AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY id ORDER BY place, p, s, q, flag) - 1 AS INTEGER) AS no FROM lines)"""
+
+
+def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown text for each order: its lines as links of a flowchart; those of every ninth order end in the middle of one."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", (F.col("l_partkey") % 7).alias("p"), (F.col("l_suppkey") % 5).alias("s"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("flag"))
+    each = line.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p", "s", "q", "flag"))).alias("l"))  # the lines of an order
+    text = F.transform("l", lambda x: F.concat(F.lit("P"), x["p"].cast("string"), F.lit('["part --'), x["p"].cast("string"), F.lit('"]'), F.when(x["flag"] == "R", " -.->|").otherwise(" -->|"), x["q"].cast("string"), F.lit("| S"), x["s"].cast("string")))
+    broken = F.when(F.col("id") % 9 == 0, "\nP1 -->").otherwise("")
+    chart = F.concat(F.lit("# order\n```\n:::no block\n```\n:::note of the order\ninside\n:::\n```mermaid\n%% caption: order "), F.col("id").cast("string"), F.lit("\nflowchart LR\n"), F.array_join(text, "\n"), broken, F.lit("\n```\n"))
+    return each.select("id", chart.alias("text"))
+
+
+@query(f"""
+WITH {_LINES}
+SELECT id, no, 'P' || p AS src, 'S' || s AS dst, CAST(q AS VARCHAR) AS label, flag = 'R' AS dashed, NULL AS error FROM numbered WHERE id % 9 <> 0
+UNION ALL SELECT DISTINCT id, NULL, NULL, NULL, NULL, NULL, 'line ' || (2 + 1 + COUNT(*) OVER (PARTITION BY id)) || ': out of place: the end of the line' FROM numbered WHERE id % 9 = 0""")
+def flowcharts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = diagrams.marked_blocks(_order_documents(spark, sf_dir), "id", "text").where("kind = 'mermaid'")
+    charts = diagrams.flowcharts(blocks, "id", "body")
+    links = charts.where("error IS NULL").select("id", F.inline("edges"), "error").select("id", "no", "src", "dst", "label", "dashed", "error")
+    return links.unionByName(charts.where("error IS NOT NULL").select("id", "error"), allowMissingColumns=True)
+
+
+@query("""
+SELECT DISTINCT l_orderkey AS id, no, kind, args, line FROM lineitem,
+  (SELECT * FROM (VALUES (0, 'note', 5), (1, 'mermaid', 8)) b(no, kind, line)) b, LATERAL (SELECT CASE WHEN kind = 'note' THEN 'of the order' ELSE 'order ' || l_orderkey END AS args)""")
+def blocks_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagrams.marked_blocks(_order_documents(spark, sf_dir), "id", "text").select("id", "no", "kind", "args", "line")
+
+
 assert catalogue.QUERIES
