@@ -115,6 +115,69 @@ def test_verdicts_are_those_of_plain_steps(spark, folder):
     assert near > 0.95 * sum(d is not None for _, d in want.values())
 
 
+def plain_forest(x, y, trees, depth, rate, bins, least, ridge):
+    """Boosted trees by trying every cut of every node; a tree is (feature, threshold, left, right) or a value."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    share = (y.sum() + 1) / (len(y) + 2)
+    total, out = np.full(len(y), np.log(share / (1 - share))), []
+
+    def grown(rows, g, h, level):
+        value = -rate * g[rows].sum() / (h[rows].sum() + ridge)
+        best = (1e-9, None)
+        if level < depth and len(rows) >= 2 * least:
+            for f in range(x.shape[1]):
+                for cut in edges[f]:
+                    a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(len(a), len(b)) >= least:
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + ridge) for s in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+                        if gain > best[0] * (1 + 1e-12):
+                            best = (gain, (f, cut, a, b))
+        if best[1] is None:
+            return value
+        f, cut, a, b = best[1]
+        return f, cut, grown(a, g, h, level + 1), grown(b, g, h, level + 1)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        out.append(grown(np.arange(len(y)), p - y, p * (1 - p), 0))
+        total = total + np.array([walked(out[-1], r) for r in x])
+    return 1 / (1 + np.exp(-total)), out
+
+
+def walked(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_forest_is_that_of_plain_boosting(monkeypatch):
+    monkeypatch.setattr(boosting, "TREES", 8)
+    monkeypatch.setattr(boosting, "DEPTH", 3)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 5))
+    x[:, 2] = np.round(x[:, 2])  # ties
+    y = (x[:, 0] + x[:, 2] * x[:, 3] + rng.normal(size=260) > 0).astype(float)
+    want, _ = plain_forest(x, y, 8, 3, boosting.RATE, boosting.BINS, boosting.LEAST_ROWS, boosting.RIDGE)
+    assert np.allclose(boosting.fit(x, y).score(x), want, atol=1e-9)
+
+
+def test_scores_are_those_of_a_plain_walk_through_the_trees(spark, odd, odd_rows):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    forest = boosting.learn(docs, labels)
+
+    def tree(t, at=0, level=0):
+        if level == boosting.DEPTH or forest.left[t][at] == at:
+            return forest.value[t][at]
+        return int(forest.feature[t][at]), forest.threshold[t][at], tree(t, forest.left[t][at], level + 1), tree(t, forest.right[t][at], level + 1)
+
+    trees = [tree(t) for t in range(len(forest.feature))]
+    rows = [(r[0], r[1] or "") for r in odd_rows]
+    made = [s for _, _, s in statistics.of_batch(pa.array([t for _, t in rows]))]
+    x = np.concatenate([boosting.features(s) for s in made])
+    want = sorted((repr(i), round(float(1 / (1 + np.exp(-forest.start - sum(walked(t, v) for t in trees)))), 9)) for (i, _), v in zip(rows, x, strict=True))
+    assert sorted((repr(r["doc_id"]), round(r["score"], 9)) for r in boosting.score(odd, forest).collect()) == want
+
+
 def test_quality_scores(spark, data):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in Q.op1_quality_classifier(spark, "/root/testdata/sf0.01").collect()]
