@@ -204,3 +204,16 @@ def flowcharts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["direction", "nodes", "edges", "groups", "error"])
 
     return texts.select(F.col(id_col).alias("id"), read(text).alias("c")).select("id", "c.*")
+
+
+# Blocks that show something.
+SHOWN = ("chart", "compare", "stats", "steps", "timeline", "cards")
+
+
+def markdown_statistics(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, title (the first heading of the first level), n_sections (of the second), n_rows (of tables), n_charts (diagrams and blocks that show something, alone on their line), size."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    title = F.when(t.rlike(r"(?m)^# +\S"), F.trim(F.regexp_extract(t, r"(?m)^# +(\S.*)$", 1)))
+    charts = count(r"(?m)^```mermaid[ \t]*$") + count(rf"(?m)^:::(?:{'|'.join(SHOWN)})[ \t]*$")
+    return texts.select(F.col(id_col).alias("id"), title.alias("title"), count(r"(?m)^## ").alias("n_sections"), count(r"(?m)^\|.*\|$").alias("n_rows"), charts.alias("n_charts"), F.length(t).alias("size"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
+#: Chapters up to this number are sent to all executors.
+MOST_SENT = 100_000
+
+
 def chapters_in_name(name: Column | str) -> Column:
     """The chapters a file's name declares: both ends of each range, sorted."""
     n = F.col(name) if isinstance(name, str) else name
@@ -136,7 +140,9 @@ def pages_of(pages: DataFrame, starts: DataFrame, offset: int = 16) -> DataFrame
     ranges = starts.withColumn("printed_end", F.coalesce(end, F.lit(1 << 30)))
     page = F.col("pdf_page") - offset
     by_chapter = pages.withColumn("printed_page", page)
-    return by_chapter.join(F.broadcast(ranges), page.between(F.col("printed_start"), F.col("printed_end")))  # a chapter table
+    if ranges.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        ranges = F.broadcast(ranges)
+    return by_chapter.join(ranges, page.between(F.col("printed_start"), F.col("printed_end")))
 
 
 def manifest(rows: DataFrame, reason: str) -> DataFrame:

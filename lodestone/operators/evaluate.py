@@ -141,3 +141,8 @@ def of_largest(value: str) -> Column:
 
     all_ = W.partitionBy(F.lit(0))
     return F.when((F.min(value).over(all_) >= 0) & (F.max(value).over(all_) > 0), F.col(value) / F.max(value).over(all_))
+
+
+def chosen(cases: DataFrame, part: str, name: str = "case") -> DataFrame:
+    """The cases whose name holds ``part``; all of them for an empty one."""
+    return cases.where(F.contains(F.col(name), F.lit(part))) if part else cases

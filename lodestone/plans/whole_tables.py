@@ -258,14 +258,14 @@ def lead_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '……' ELSE text END AS squeezed, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped,
-  CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 30 END AS INTEGER) AS chapter, array_to_string(list_transform(string_split(left(text, 20), ''), lambda c: lower(printf('%X', unicode(c)))), ' ') AS points,
+  CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 30 END AS INTEGER) AS chapter, md5(array_to_string(list_transform(string_split(text, ''), lambda c: lower(printf('%X', unicode(c)))), ' ')) AS points,
   CASE WHEN doc_id % 2 = 0 THEN md5('rest') ELSE md5('第 5 章 ' || source || repeat('x', 30) || E'\nrest') END AS headless, '检索:' || source AS anchor, (doc_id % 90) || '' AS cell FROM documents""")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     name = F.when(k % 3 == 0, F.concat(F.lit("第 "), (k % 30).cast("string"), F.lit(" 章.pdf"))).otherwise(F.col("source"))
     page = F.concat(F.lit("第 5 章 "), "source", F.when(k % 2 == 0, "").otherwise("x" * 30), F.lit("\nrest"))
     anchored = F.concat(F.lit("Titel\n检索:"), "source", F.lit("\n"), "text", F.lit("\n检索:zwei"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.squeezed("text", 40).alias("squeezed"), _md5(T.html_escaped("text")).alias("escaped"), T.chapter_of(name).alias("chapter"), F.array_join(T.code_points("text"), " ").alias("points"), _md5(T.strip_running_header(page)).alias("headless"), T.anchor_of(anchored).alias("anchor"), T.cell_text(F.concat(F.lit(" "), (k % 90).cast("string"), F.lit(".00 "))).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.squeezed("text", 40).alias("squeezed"), _md5(T.html_escaped("text")).alias("escaped"), T.chapter_of(name).alias("chapter"), _md5(F.array_join(T.code_points("text", 1 << 30), " ")).alias("points"), _md5(T.strip_running_header(page)).alias("headless"), T.anchor_of(anchored).alias("anchor"), T.cell_text(F.concat(F.lit(" "), (k % 90).cast("string"), F.lit(".00 "))).alias("cell"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, which executors share too."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept").rstrip("/")
+    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, if executors share it.
+
+    A warehouse in a local folder is shared only where all runs in one process;
+    on a cluster that is an error.
+    """
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+    return f"{warehouse}/_kept"
 
 
 def kept(df: DataFrame) -> DataFrame:
