@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, if executors share it.
+
+    A warehouse in a local folder is shared only where all runs in one process;
+    on a cluster that is an error.
+    """
     own = spark.conf.get("spark.checkpoint.dir", None)
-    return (own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
+    if own:
+        return own.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+    return f"{warehouse}/_staged"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
