@@ -88,6 +88,11 @@ def document_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return bm25.stored(table(spark, sf_dir, "documents"), "doc_id", words("text"), "documents")
 
 
+def chunk_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    parts = chunk_documents(spark, sf_dir).withColumn("id", F.struct(*_CHUNK))
+    return bm25.stored(parts, "id", words("text"), "chunks", "split_text 1")
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
 
@@ -148,9 +153,7 @@ _CHUNK_INDEX = _INDEX.replace("doc_id AS id", _struct(_CHUNK) + " AS id").replac
 
 @query(f"WITH RECURSIVE {_CHUNKS}, {_CHUNK_INDEX}, {_LUCENE}, {_scored('SELECT item_id AS q, text FROM benchmark', 5)} SELECT q AS item_id, c.doc_id, CAST(c.chunk_no AS INTEGER) AS chunk_no, CAST(rank AS INTEGER) AS rank, ROUND(score, 6) AS score, c.text FROM best JOIN chunks c ON c.doc_id = id.doc_id AND c.chunk_no = id.chunk_no")
 def bm25_topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = chunk_documents(spark, sf_dir).withColumn("id", F.struct(*_CHUNK))
-    index = bm25.stored(parts, "id", words("text"), "chunks", "split_text 1")
-    found = kept(bm25.search(index, benchmark_queries(spark, sf_dir), "q", words("text"), 5))
+    found = kept(bm25.search(chunk_index(spark, sf_dir), benchmark_queries(spark, sf_dir), "q", words("text"), 5))
     # Only documents that hold one of the best are cut again.
     hit = found.select("id.doc_id").distinct()
     docs = table(spark, sf_dir, "documents").join(hit, "doc_id", "left_semi")
