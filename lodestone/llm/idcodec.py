@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .staging import new_path, staged
 from .tokens import byte_level, sliced_texts
+from .words import slices, text_bytes
 
 LIMIT = 18
 STEP = 128
 #: Ids in a block; a longer document is a block of its own.
 BLOCK = 1 << 18
 END_ID = 2
+#: Bytes of ids that are counted at a time.
+COUNTED = 8 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -92,8 +95,9 @@ class Book:
             placed = codes << room  # in the 64 bits that begin at this word
             edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             sums = np.add.reduceat(placed, edges)  # no two codes share a bit
-            np.add.at(words, word[edges], sums >> np.uint64(32))
-            np.add.at(words, word[edges] + 1, sums & np.uint64(0xFFFFFFFF))
+            own = word[edges]  # each once
+            words[own] += sums >> np.uint64(32)
+            words[own + 1] += sums & np.uint64(0xFFFFFFFF)
         return words.astype(">u4").tobytes()[: (bits + 7) // 8], begins[::STEP]
 
     def decode(self, data: bytes, n: int, marks: np.ndarray) -> np.ndarray:
@@ -149,11 +153,11 @@ def _totals(tokens: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                part = np.frombuffer(ids.as_buffer(), "<u4")
-                if len(part) and int(part.max()) >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(int(part.max()) + 1 - len(seen), np.int64)])
-                seen[: int(part.max()) + 1] += np.bincount(part)
+            offsets, data = text_bytes(batch.column(0))  # all documents of a batch at once
+            for i, j in slices(offsets, COUNTED):
+                more = np.bincount(data[offsets[i] : offsets[j]].copy().view("<u4"), minlength=len(seen))
+                more[: len(seen)] += seen
+                seen = more
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["token", "n"])
 
