@@ -54,7 +54,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rest = F.struct(*(named(c) for c in others)).alias("rest")
     kept = recompression.remove_repeats(docs.select("doc_id", "text", rest, F.col("text").isNull().alias("none")), carry=("rest", "none")).where("n_removed = 0 OR n_removed < n_words")
     cut = F.col("n_removed") > 0
-    new = {"text": F.when(cut, F.col("kept_text")).when(~F.col("none"), F.col("whole_text")), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("rest").getField("n_chars").cast("long"))}
+    new = {"text": F.when(cut, F.col("kept_text")).when(~F.col("none"), F.col("whole_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("rest").getField("n_chars").cast("long"))
     return kept.select(*((new[c] if c in new else F.col("rest").getField(c)).alias(c) for c in docs.columns))
 
 

@@ -110,7 +110,12 @@ def held_out(id_col: str):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Fits a forest on at most ``sample`` labelled documents outside the held-out fifth; both tables are read whole."""
+    """Fits a forest on at most ``sample`` labelled documents outside the held-out fifth; both tables are read whole.
+
+    Of several labels of one id the largest counts; null labels and ids, and
+    labels without a document, are passed over; a document that is repeated is
+    learnt as often. Without labelled documents the forest is a constant.
+    """
     chosen = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("key")).select("id", "label", "text")

@@ -220,7 +220,10 @@ def write_ids(docs: DataFrame, path: str, to: str | None = None, end_id: int = E
 
 
 def read_ids(spark: SparkSession, folder: str, digest: bool = False, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of write_ids: id_col, start (ids of all documents before), n_tokens, and ids (array) or ids_crc32."""
+    """One row per document of write_ids: id_col, start (ids of all documents before), n_tokens, and ids (array) or ids_crc32.
+
+    A folder written from an empty table gives no rows; one without files is an error.
+    """
     rows = spark.read.parquet(f"{folder}/book").collect()  # a row for each id of the vocabulary
     rows.sort(key=lambda r: r["token"])
     sent = spark.sparkContext.broadcast((np.array([r["token"] for r in rows], np.int64), np.array([r["length"] for r in rows], np.int64)))

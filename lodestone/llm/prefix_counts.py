@@ -239,7 +239,8 @@ def store_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
     """id_col, prefix_tokens: array of the token counts of text[:0], text[:1], ... text (null: [0]).
 
     For use where many budgets are asked of one text: element_at(prefix_tokens,
-    n + 1) is the count of the first n code points.
+    n + 1) is the count of the first n code points. Null ids are kept, repeated
+    rows come as often as they occur; of an empty table nothing comes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

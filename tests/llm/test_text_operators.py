@@ -284,3 +284,21 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert got == {n: x for n, x in label.items() if n != x}
     assert components.components(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
+def test_very_long_texts_of_many_words(spark):
+    """Over the slice of a megabyte, by far, and alike but for some words."""
+    rng = np.random.default_rng(12)
+    body = [f"w{k}" for k in rng.integers(0, 4000, 250_000)]
+    other = list(body)
+    for k in rng.integers(0, len(other), 60):
+        other[k] = "changed"
+    rows = [(1, " ".join(body)), (2, "\n".join(other)), (3, "a few words of a short text that say nothing at all"), (4, " ".join(body[100_000:100_120]))]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string").repartition(2)
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256)
+    got = recompression.remove_repeats(df).select("doc_id", "n_words", "n_removed", digest).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.without_repeats(rows))
+    linked = signature_tree.link_documents(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, linked)) == sorted(brute.linked(rows))
+    base = {r["doc_id"]: tuple(r[n] for n in outliers.BASE) for r in outliers.judge(df).collect()}
+    assert base == {i: brute.base_statistics(t) for i, t in rows}
