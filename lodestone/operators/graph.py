@@ -12,29 +12,23 @@ from ..runtime import kept
 def layers(edges: DataFrame) -> DataFrame:
     """node, layer: the longest path to each node of a graph without cycles. edges: src, dst.
 
-    In each round the nodes that no edge leads to any more get the next layer
-    and go with their edges, so a round works on what is left, and there are as
-    many rounds as layers. Where edges are left and no such node is, the graph
-    has a cycle, which is an error (see ``strong_components``). Edges without an
-    end are passed over.
+    In each round the edges stay whose beginning is still led to, so a round
+    works on what is left, and a node's layer is the number of rounds in which
+    edges lead to it. There are as many rounds as layers. Where a round takes no
+    edge away, the graph has a cycle, which is an error (see
+    ``strong_components``). Edges without an end are passed over.
     """
     left = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-    found, layer = [], 0
-    while True:
-        below = left.select(F.col("dst").alias("node")).distinct()
-        found.append(kept(nodes.join(below, "node", "left_anti")).withColumn("layer", F.lit(layer)))
-        if left.isEmpty():
-            break
-        if found[-1].isEmpty():
-            raise ValueError("the graph has a cycle")
-        nodes = below
-        left = kept(left.join(found[-1].select(F.col("node").alias("src")), "src", "left_anti"))
+    told = left.select(F.col("src").alias("node")).union(left.select("dst")).withColumn("layer", F.lit(0))
+    count, layer = left.count(), 0
+    while count:
         layer += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        told = told.unionByName(left.select(F.col("dst").alias("node"), F.lit(layer).alias("layer")))
+        left = kept(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        before, count = count, left.count()
+        if count == before:
+            raise ValueError("the graph has a cycle")
+    return told.groupBy("node").agg(F.max("layer").alias("layer"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -51,24 +45,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
     nodes = kept(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
     left = kept(left.where("src <> dst"))
     found: list[DataFrame] = []
-    while not nodes.isEmpty():
-        left, nodes = _trimmed(left, nodes, found)
+    while True:
+        left, alone = _trimmed(left), nodes
+        nodes = kept(left.select(F.col("src").alias("node")).distinct())  # each of them leads and is led to
+        found.append(alone.join(nodes, "node", "left_anti").withColumn("component", F.col("node")))
         if nodes.isEmpty():
             break
         colours = _spread(nodes.withColumn("colour", F.col("node")), left)
         ends = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("from")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("to")), "dst")
         inner = kept(ends.where(F.col("from") == F.col("to")).select("src", "dst", F.col("to").alias("colour")))
-        reached = kept(colours.where("node = colour"))
-        new = reached
+        reached = new = colours.where("node = colour")
         while not new.isEmpty():  # backwards from the node of each colour
             new = new.select(F.col("node").alias("dst")).join(inner, "dst").select(F.col("src").alias("node"), "colour").distinct()
             new = kept(new.join(reached.select("node"), "node", "left_anti"))
-            reached = kept(reached.union(new))
+            reached = reached.union(new)
+        reached = kept(reached)
         found.append(reached.join(reached.groupBy("colour").agg(F.min("node").alias("component")), "colour").select("node", "component"))
         nodes = kept(nodes.join(reached.select("node"), "node", "left_anti"))
         left = _among(left, nodes)
-    if not found:
-        return nodes.withColumn("component", F.col("node"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -80,16 +74,19 @@ def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept(inside.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
 
 
-def _trimmed(left: DataFrame, nodes: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Edges and nodes without those that nothing leads to or from; these are put into ``found``."""
-    while True:
-        both = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-        alone = kept(nodes.join(both, "node", "left_anti"))
-        if alone.isEmpty():
-            return left, nodes
-        found.append(alone.withColumn("component", F.col("node")))
-        nodes = kept(nodes.join(alone, "node", "left_anti"))
-        left = _among(left, nodes)
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The edges that are left when those go, again and again, whose beginning nothing leads to or whose end leads nowhere."""
+    count = left.count()
+    while count:
+        for _ in range(2):  # two steps in one job
+            led = left.select(F.col("dst").alias("src")).distinct()
+            leading = left.select(F.col("src").alias("dst")).distinct()
+            left = left.join(led, "src", "left_semi").join(leading, "dst", "left_semi").select("src", "dst")
+        left = kept(left)
+        before, count = count, left.count()
+        if count == before:
+            break
+    return left
 
 
 def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
