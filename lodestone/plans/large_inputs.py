@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import diagrams, lattice, names
 from ..functions.tokenize import words
 from ..operators import graph
-from ..runtime import numbered
+from ..runtime import kept, numbered
 from . import catalogue
 from .catalogue import _WORDS, query, table
 
@@ -36,11 +36,11 @@ path AS (
 SELECT word, cut[rest + 1] AS pieces, best[rest + 1] AS cost FROM path WHERE rest = length(word)""")
 def lattice_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Long words of these texts are put together from short ones: all words are cut by a dictionary of the short frequent ones.
-    told = table(spark, sf_dir, "documents").select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    told = kept(table(spark, sf_dir, "documents").select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     dictionary = told.where((F.length("word") <= _LONGEST) & (F.col("n") >= _LEAST))
     cut = lattice.tokenizer(dictionary, every_run=True)
     costs = lattice.costs(dictionary)
-    pieces = told.select("word", cut("word").alias("p"))
+    pieces = kept(told.select("word", cut("word").alias("p")))
     unknown = costs.agg(F.max("unknown").alias("u"))  # one row
     paid = pieces.select("word", F.explode("p").alias("piece")).join(costs.select(F.col("word").alias("piece"), "cost"), "piece", "left").crossJoin(F.broadcast(unknown))
     paid = paid.groupBy("word").agg(F.sum(F.coalesce("cost", "u")).alias("cost"))
