@@ -47,21 +47,25 @@ def answer_sections(docs: DataFrame, text_col: str, heading: str = C.ANSWER_HEAD
     """docs without the text, with part (from 1), label and body: what stands before the first heading, and from each heading to the next.
 
     A text without headings is one part. ``labels``: what goes around the
-    heading's groups, of which the first that fits counts. Texts are cut inside
-    their rows; a null text has no parts.
+    heading's groups, of which the first that fits counts. A heading is found
+    inside one line. Texts are cut inside their rows; a null text has no parts.
     """
-    text, plain = F.col(text_col), heading.removeprefix("^")
-    opens = rf"\A{plain}"
-    cut = F.split(text, rf"(?md)(?=^{plain})")
-    trimmed = F.filter(F.transform(cut, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    text, opens = F.col(text_col), rf"(?d){heading}"
 
-    def label(part: Column) -> Column:
-        told = [(F.regexp_extract(part, opens, g), before, after) for g, (before, after) in enumerate(labels, 1)]
+    def label(line: Column) -> Column:
+        told = [(F.regexp_extract(line, opens, g), before, after) for g, (before, after) in enumerate(labels, 1)]
         return F.coalesce(*(F.when(t != "", F.concat(F.lit(before), t, F.lit(after))) for t, before, after in told), F.lit(C.PREAMBLE))
 
-    parts = F.transform(trimmed, lambda p: F.struct(label(p).alias("label"), p.alias("body")))
+    def of(lines: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(lines, i).rlike(opens))
+        parts = F.transform(F.array(heads), lambda h: F.transform(h, lambda i, k: F.struct(label(F.get(lines, i)).alias("label"), F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(h, k + 1), F.size(lines)) - i), "\n").alias("body"))))
+        trimmed = F.transform(F.get(parts, F.lit(0)), lambda p: F.struct(p["label"].alias("label"), F.regexp_replace(p["body"], r"^\s+|\s+$", "").alias("body")))
+        return F.filter(trimmed, lambda p: p["body"] != "")
+
     whole = F.array(F.struct(F.lit(C.WHOLE_TEXT).alias("label"), text.alias("body")))
-    parts = F.when(text.rlike(rf"(?md)^{plain}"), parts).when(text.isNotNull(), whole)
+    # Lambdas bind what is used more than once, as in bm25.counted.
+    cut = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.when(F.exists(lines, lambda x: x.rlike(opens)), of(lines)).otherwise(whole)), F.lit(0))
+    parts = F.when(text.isNotNull(), cut)
     others = [c for c in docs.columns if c != text_col]
     return docs.select(*others, F.posexplode(parts).alias("part", "p")).select(*others, (F.col("part") + 1).alias("part"), "p.label", "p.body")
 
