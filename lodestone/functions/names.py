@@ -1,23 +1,29 @@
 """Names of a register in texts, where there are too many to go through them one by one.
 
 Up to MOST_SENT names go to all workers, and each builds one automaton
-(Aho-Corasick) that finds all of them in a single walk over a text. A larger
-register is joined on the first signs of its names. Both find the same.
+(Aho-Corasick) that finds all of them in a single walk over a text. Of a larger
+register a bitmap of hashes goes to them: the places of a text whose hash is
+marked are joined with the names. Both find the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..runtime import kept
 from .tokenize import _col
 
 #: Names that are sent to all workers; more are joined.
 MOST_SENT = 500_000
+#: Bits of the bitmap for each name, its size at most (as a power of two: 128 MB), bits set for each name, and signs that are hashed at a time.
+NAME_BITS, MOST_BITS, SET, SLICE = 32, 30, 3, 1 << 20
 
 
 def register(names: DataFrame, name: str = "name", no: str = "no") -> DataFrame:
@@ -69,9 +75,10 @@ class Automaton:
 
 def find(texts: DataFrame, id_col: str, text: str, names: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """id, no, name: the names (no, name; see register) that each text holds anywhere, each once. Null texts hold none."""
-    sent = _sent(names, most_sent)
-    if sent is None:
+    names = kept(names.select("no", "name"))
+    if names.count() > most_sent:
         return _joined(texts, id_col, text, names)
+    sent = _sent(names, most_sent)
     shared = texts.sparkSession.sparkContext.broadcast(Automaton(sent))
 
     @F.pandas_udf("array<int>")
@@ -84,23 +91,113 @@ def find(texts: DataFrame, id_col: str, text: str, names: DataFrame, most_sent:
     return held.join(listed, "place").select("id", F.col("no").cast(names.schema["no"].dataType).alias("no"), "name")
 
 
-def _joined(texts: DataFrame, id_col: str, text: str, names: DataFrame, signs: int = 4) -> DataFrame:
-    """Names meet the places of texts that begin with the same signs (names shorter than that: with all of theirs), and are compared there."""
-    n = F.least(F.length("name"), F.lit(signs))
-    keyed = names.select("no", "name", n.alias("n"), F.substring("name", F.lit(1), n).alias("key"))
-    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most ``signs`` rows
+def _joined(texts: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
+    """Stretches of a text that are as long as a name and whose hash is marked meet the names, each once for a text.
+
+    A text is hashed once for each length that names have. What is marked by
+    chance goes in the join, where signs are compared.
+    """
+    told = names.agg(F.count("*").alias("n"), F.collect_set(F.length("name")).alias("lengths")).first()  # one row
+    if not told["n"]:
+        return names.limit(0).crossJoin(texts.select(F.col(id_col).alias("id")).limit(0)).select("id", "no", "name")
+    lengths, bits = sorted(told["lengths"]), min(MOST_BITS, max(15, (NAME_BITS * told["n"] - 1).bit_length()))
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(names, bits))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, values in _slices(batch.column(1)):
+                row, found = _marked(values, lengths, marks.value, bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(found, pa.string())], names=["id", "name"])
+
     body = texts.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    begins = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.struct(*(F.substring("text", i, F.lit(m)).alias(f"k{m}") for m in sizes), F.substring("text", i, F.lit(64)).alias("here"), i.alias("i")))
-    at = body.select("id", F.inline(begins))
-    out = None
-    for m in sizes:
-        own = at.select("id", F.col(f"k{m}").alias("key"), "here", "i").join(keyed.where(F.col("n") == m).drop("n"), "key").where(F.startswith("here", F.substring("name", F.lit(1), F.lit(64))))
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return names.limit(0).crossJoin(body.select("id").limit(0)).select("id", "no", "name")
-    short = out.where(F.length("name") <= 64).select("id", "no", "name")
-    long = out.where(F.length("name") > 64).join(body, "id").where(F.col("text").substr(F.col("i"), F.length("name")) == F.col("name")).select("id", "no", "name")
-    return short.unionByName(long).distinct()
+    found = body.mapInArrow(stretches, f"id {body.schema['id'].dataType.simpleString()}, name string")
+    return found.join(names, "name").select("id", "no", "name")
+
+
+def _marks(names: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of all names: 2 ** ``bits`` bits, put together where the names lie; the driver gets the bitmap only."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values in _slices(batch.column(0)):
+                hashes = Hashed(values).whole()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_bit(hashes, k, bits) for k in range(SET)]) + 1)], names=["bit"])
+
+    marked = names.select("name").mapInArrow(places, "bit long").select(F.bitmap_bucket_number("bit").alias("part"), F.bitmap_bit_position("bit").alias("at"))
+    parts = marked.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))  # dealt first: a part is made once
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():  # the bitmap
+        begin = (r["part"] - 1) * len(r["bits"])
+        out[begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of slices of about SLICE signs."""
+    first, values, size = 0, [], 0
+    for n, x in enumerate(texts):
+        values.append(x.as_py())
+        size += len(values[-1])
+        if size >= SLICE:
+            yield first, values
+            first, values, size = n + 1, [], 0
+    if values:
+        yield first, values
+
+
+#: Odd, so that it has an inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bit(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th bit of each hash."""
+    return ((hashes + np.uint64(k) * (hashes >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+class Hashed:
+    """Texts in a row, with sums from which the hash of any stretch follows: equal stretches of equal length have equal hashes."""
+
+    def __init__(self, texts: list[str]):
+        self.text = "".join(texts)
+        signs = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.row = np.repeat(np.arange(len(texts)), sizes)
+        raised = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(signs), base, np.uint64)]))
+        self.back = raised(pow(_BASE, -1, 1 << 64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_scramble(signs + np.uint64(1)) * raised(_BASE)[:-1])])
+
+    def of(self, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        return _scramble((self.sums[end] - self.sums[begin]) * self.back[begin])
+
+    def whole(self) -> np.ndarray:
+        return self.of(self.begins, self.ends)
+
+
+def _marked(texts: list[str], lengths: list[int], marks: np.ndarray, bits: int) -> tuple[np.ndarray, list[str]]:
+    """The row of each marked stretch, and the stretch, each once for a text."""
+    own, rows, found = Hashed(texts), [np.zeros(0, np.int64)], []
+    left = own.ends[own.row] - np.arange(len(own.row))  # signs from each place to the end of its text
+    for n in lengths:
+        if n > len(own.row):
+            break
+        hashes = own.of(slice(0, len(own.sums) - n), slice(n, None))
+        at = np.flatnonzero(left[: len(hashes)] >= n)
+        for k in range(SET):
+            bit = _bit(hashes[at], k, bits)
+            at = at[(marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        row, pieces = own.row[at], [own.text[i : i + n] for i in at.tolist()]
+        once = list(dict.fromkeys(zip(row.tolist(), pieces, strict=True)))
+        rows.append(np.array([r for r, _ in once], np.int64))
+        found += [x for _, x in once]
+    return np.concatenate(rows), found
 
 
 def redactor(names: DataFrame, mask: str = C.STUDENT_MASK, most_sent: int = MOST_SENT) -> Callable[[Column | str], Column]:
