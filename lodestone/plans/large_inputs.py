@@ -136,8 +136,9 @@ UNION ALL SELECT DISTINCT id, NULL, NULL, NULL, NULL, NULL, 'line ' || (2 + 1 +
 def flowcharts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = diagrams.marked_blocks(_order_documents(spark, sf_dir), "id", "text").where("kind = 'mermaid'")
     charts = diagrams.flowcharts(blocks, "id", "body")
-    links = charts.where("error IS NULL").select("id", F.inline("edges"), "error").select("id", "no", "src", "dst", "label", "dashed", "error")
-    return links.unionByName(charts.where("error IS NOT NULL").select("id", "error"), allowMissingColumns=True)
+    links = F.transform("edges", lambda e: F.struct(e["no"].alias("no"), e["src"].alias("src"), e["dst"].alias("dst"), e["label"].alias("label"), e["dashed"].alias("dashed"), F.col("error").alias("error")))
+    fault = F.expr("array(named_struct('no', int(NULL), 'src', string(NULL), 'dst', string(NULL), 'label', string(NULL), 'dashed', boolean(NULL), 'error', error))")
+    return charts.select("id", F.inline(F.when(F.col("error").isNull(), links).otherwise(fault)))
 
 
 @query("""
