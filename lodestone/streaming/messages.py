@@ -9,15 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType, BooleanType, IntegralType, StructField, StructType
 
 from ..operators.route import message_class, question_kind, route
 
 _BATCH = "batch"
+#: Groups of keys whose state is held together.
+BUCKETS = 1024
+#: The time of a key that has not come up; far from both ends, so that differences do not overflow.
+_NEVER = -(1 << 61)
 
 
 def routed(messages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,36 +43,59 @@ def first_submissions(rows: DataFrame, keys: list[str], ts: str = "ts", within:
     return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def repeated_within(rows: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+def repeated_within(rows: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 86_400, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """The rows with ``repeated``, as operators.registry has it, on a stream: whether the same keys came up to so long before.
 
     A key's state is the time of its last row; a timer drops it once the
-    watermark shows that nothing can repeat it any more. Rows of a key within
-    one micro-batch are taken in order of time; one that comes after a later
-    one, but inside the watermark, is held against the last before it that is
-    remembered. Rows behind the watermark are dropped, and counted by Spark
-    (numRowsDroppedByWatermark in the query's progress).
+    watermark shows that nothing can repeat it any more. Keys lie in BUCKETS
+    groups, and a call works on all rows of a bucket, so its cost is that of
+    rows, not of keys; ``buckets`` is fixed with a checkpoint. Rows of a key
+    within one micro-batch are taken in order of time; one that comes after a
+    later one, but inside the watermark, is held against the last before it that
+    is remembered. Rows behind the watermark are dropped, and counted by Spark
+    (numRowsDroppedByWatermark in the query's progress). Rows without a time
+    repeat nothing.
     """
     schema = rows.schema
-
-    def held(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    # pandas has whole numbers with nulls among them as floats: zeros stand for them, with a mark.
+    whole = [f.name for f in schema if isinstance(f.dataType, IntegralType)]
+    marks = {f"_null_{k}": F.col(f"`{c}`").isNull() for k, c in enumerate(whole)}
+
+    def held(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        keys_, lasts = state.get if state.exists else ([], [])
+        known = pd.Series(lasts, index=pd.Index(keys_, dtype=object), dtype="int64")
+        if not state.hasTimedOut:
+            frame = pd.concat(list(frames), ignore_index=True).sort_values(ts, kind="stable", ignore_index=True)
+            timed = frame.loc[frame[ts].notna(), ["_key", "_second"]]
+            codes, names = pd.factorize(timed["_key"])
+            second = timed["_second"].to_numpy("int64")
+            order = np.argsort(codes, kind="stable")  # by key, then time
+            first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            from_state = known.reindex(names, fill_value=_NEVER).to_numpy("int64")
+            before = np.concatenate([[_NEVER], second[order][:-1]])[: len(order)]
+            before[first] = _NEVER
+            before = np.maximum(before, from_state[codes[order]])
+            since = second[order] - before
+            told = np.zeros(len(frame), bool)
+            told[timed.index.to_numpy()[order]] = (before != _NEVER) & (since >= 0) & (since <= seconds)
+            newest = np.maximum(second[order][np.append(first[1:], len(order)) - 1] if len(order) else np.zeros(0, "int64"), from_state)
+            known = pd.concat([known.drop(names, errors="ignore"), pd.Series(newest, index=names, dtype="int64")])
+            yield frame.drop(columns=["_bucket", "_key", "_second"]).assign(repeated=told)
+        known = known[(known + seconds + 1) * 1000 > now]
+        if len(known):
+            state.update((known.index.tolist(), known.tolist()))
+            state.setTimeoutTimestamp(max((int(known.min()) + seconds + 1) * 1000, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(ts, kind="stable")
-        told = []
-        for at in frame[ts]:
-            second = int(at.timestamp())
-            told.append(last is not None and 0 <= second - last <= seconds)
-            last = second if last is None else max(last, second)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + seconds) * 1000, state.getCurrentWatermarkMs()) + 1000)
-        yield frame.assign(repeated=told)
-
-    marked = rows.withWatermark(ts, late).groupBy(*keys)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return marked.applyInPandasWithState(held, f"{out}, repeated boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    sign = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    text = lambda c: sign(F.hex(c) if isinstance(schema[c].dataType, BinaryType) else F.col(f"`{c}`").cast("string"))
+    key = F.concat(*map(text, keys))
+    marked = rows.withWatermark(ts, late).withColumns({"_key": key, "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)), "_second": F.coalesce(F.unix_seconds(F.col(f"`{ts}`").cast("timestamp")), F.lit(0)), **marks}).withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0).cast(schema[c].dataType)) for c in whole})
+    out = StructType([*schema.fields, *(StructField(m, BooleanType()) for m in marks), StructField("repeated", BooleanType())])
+    found = marked.groupBy("_bucket").applyInPandasWithState(held, out, "keys array<string>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({c: F.when(~F.col(m), F.col(f"`{c}`")) for c, m in zip(whole, marks, strict=True)}).drop(*marks)
 
 
 def written(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", make: Callable[[DataFrame], DataFrame] | None = None, **trigger: Any):
